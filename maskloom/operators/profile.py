@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskloom.operators.apply import apply_rules
 from maskloom.operators.detect import DEFAULT_NAMES
 from maskloom.rules import Rule, rules_from_spec
+from maskloom.sources.scratch import settled
 
 SCAN_ORDER = ("path", "line_no", "det_no", "pos")
 
@@ -24,14 +25,12 @@ def files_by_kind(found: DataFrame, path: str = "path") -> DataFrame:
     return found.groupBy("kind", path).agg(F.count(F.lit(1)).alias("n"))
 
 
-def examples_by_kind(found: DataFrame, k: int = 5, order: Sequence[str] = SCAN_ORDER) -> DataFrame:
-    """The first ``k`` distinct masked examples of every kind in scan order.
+def _first_examples(first: DataFrame, k: int) -> DataFrame:
+    """Rank (kind, masked_example, first_seen) per kind, keeping the first ``k``.
 
-    Distinct examples are reduced on the map side. The rank then runs per kind
-    and bucket of examples before it runs per kind, so no task sees more than
-    ``k`` rows of each bucket however many examples one kind has.
+    The rank runs per kind and bucket of examples before it runs per kind, so no
+    task sees more than ``k`` rows of each bucket however many examples one kind has.
     """
-    first = found.groupBy("kind", "masked_example").agg(F.min(F.struct(*order)).alias("first_seen"))
     bucketed = first.withColumn("bucket", F.pmod(F.xxhash64("masked_example"), F.lit(256)))
     within = Window.partitionBy("kind", "bucket").orderBy("first_seen")
     overall = Window.partitionBy("kind").orderBy("first_seen")
@@ -40,6 +39,19 @@ def examples_by_kind(found: DataFrame, k: int = 5, order: Sequence[str] = SCAN_O
     return ranked.select("kind", "rank", "masked_example")
 
 
+def examples_by_kind(found: DataFrame, k: int = 5, order: Sequence[str] = SCAN_ORDER) -> DataFrame:
+    """The first ``k`` distinct masked examples of every kind in scan order."""
+    first = found.groupBy("kind", "masked_example").agg(F.min(F.struct(*order)).alias("first_seen"))
+    return _first_examples(first, k)
+
+
+def summarise(found: DataFrame, order: Sequence[str] = SCAN_ORDER) -> DataFrame:
+    """Findings counted per (kind, path, masked_example): all a report needs, in one shuffle."""
+    return found.groupBy("kind", "path", "masked_example").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
+    )
+
+
 # The rule proposed for every kind of finding, in rank order.
 SUGGESTIONS: tuple[tuple[str, dict[str, Any]], ...] = (
     (
@@ -139,9 +151,10 @@ def profile_report(
 ) -> DataFrame:
     """The whole report as rows (section, kind, key, rank, n), so that no row grows with the data.
 
-    ``files`` lists every scanned path, text or not. Detections are counted once
-    per (kind, path); the totals per kind add those counts up.
+    ``files`` lists every scanned path, text or not. The text is read once: a
+    summary of the findings is written to shared storage and feeds every section.
     """
+    summary = settled(summarise(found))
     nothing, no_rank, no_count = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("bigint")
 
     def section(df: DataFrame, name: str, kind=nothing, key=nothing, rank=no_rank, n=no_count) -> DataFrame:
@@ -153,8 +166,10 @@ def profile_report(
             n.cast("bigint").alias("n"),
         )
 
-    per_file = files_by_kind(found)
-    per_kind = per_file.groupBy("kind").agg(F.sum("n").alias("n"))
+    per_file = summary.groupBy("kind", "path").agg(F.sum("n").alias("n"))
+    per_kind = summary.groupBy("kind").agg(F.sum("n").alias("n"))
+    first = summary.groupBy("kind", "masked_example").agg(F.min("first_seen").alias("first_seen"))
+    first_examples = _first_examples(first, k)
     spark = found.sparkSession
     head = spark.createDataFrame(
         [("version", "1", 0), ("generated_at", generated_at, 0)] + [("detectors", n, i) for i, n in enumerate(names, 1)],
@@ -167,7 +182,7 @@ def profile_report(
         .unionByName(section(per_kind, "matches_by_kind", kind, n=n))
         .unionByName(section(per_file, "files_by_kind", kind, F.col("path").cast("string"), n=n))
         .unionByName(
-            section(examples_by_kind(found, k), "masked_examples_by_kind", kind, F.col("masked_example"), F.col("rank"))
+            section(first_examples, "masked_examples_by_kind", kind, F.col("masked_example"), F.col("rank"))
         )
         .unionByName(section(suggest_rules(per_kind), "suggested_rules", kind, F.col("rule"), F.col("rank")))
     )
