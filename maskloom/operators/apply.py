@@ -160,7 +160,8 @@ def changed_spans(before: Column, after: Column) -> Column:
     def spans(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else _spans(a, b) for a, b in zip(old, new)])
 
-    return spans(before, after)
+    # Not to be copied into filters: an explode of the spans would run it twice.
+    return spans.asNondeterministic()(before, after)
 
 
 def audit_lines(

@@ -1,0 +1,11 @@
+"""The registered queries."""
+
+from __future__ import annotations
+
+from maskloom.plans.tables import Query
+
+
+def all_queries() -> list[Query]:
+    from maskloom.plans import rewriting
+
+    return [*rewriting.QUERIES]
