@@ -81,8 +81,8 @@ def match_writer(rule: Rule, salt: str) -> Callable[[re.Match], str]:
     return write
 
 
-def python_step(state: Column, rule: Rule, salt: str) -> Column:
-    """state -> state for one rule; ``hits`` gains the match count, or NULL when not triggered."""
+def python_step(text: Column, hits: Column, rule: Rule, salt: str) -> Column:
+    """State after one rule; ``hits`` gains the match count, or NULL when not triggered."""
 
     @F.pandas_udf(STATE)
     def step(lines: pd.Series, counts: pd.Series) -> pd.DataFrame:
@@ -100,6 +100,7 @@ def python_step(state: Column, rule: Rule, salt: str) -> Column:
             hits.append([*earlier, count])
         return pd.DataFrame({"text": texts, "hits": hits})
 
-    # Two reads of the input and a non-deterministic mark keep the optimizer from
-    # folding the neighbouring lambdas and the UDF into one expression, which cannot run.
-    return step.asNondeterministic()(state["text"], state["hits"])
+    # Read twice and marked non-deterministic, so that the optimizer leaves the
+    # lambdas below and above in projections of their own: a UDF cannot take or be
+    # part of nested lambdas.
+    return step.asNondeterministic()(F.when(text.isNotNull(), text), hits)

@@ -62,7 +62,7 @@ def with_state(df: DataFrame, rules: Sequence[Rule], salt: str, text: Column, ou
             df = df.withColumn(out, fold(F.col(out), [_counting_step(rule, salt) for rule in run]))
         else:
             for rule in run:
-                df = df.withColumn(out, python_step(F.col(out), rule, salt))
+                df = df.withColumn(out, python_step(F.col(out)["text"], F.col(out)["hits"], rule, salt))
     return df
 
 
@@ -74,8 +74,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str =
             df = df.withColumn(out, rewritten_text(current, list(run), salt))
         else:
             for rule in run:
-                df = df.withColumn(out, _start(current)).withColumn(out, python_step(F.col(out), rule, salt))
-                df = df.withColumn(out, F.col(out)["text"])
+                df = df.withColumn(out, python_step(current, F.array().cast("array<int>"), rule, salt)["text"])
                 current = F.col(out)
         current = F.col(out)
     return df
@@ -169,4 +168,9 @@ def audit_lines(
 ) -> DataFrame:
     """Changed lines only, before and after, with the changed spans of the output."""
     changed = apply_rules(df, rules, salt, col).where(F.col(col) != F.col("line_out"))
-    return changed.withColumn("spans", changed_spans(F.col(col), F.col("line_out"))) if spans else changed
+    if not spans:
+        return changed
+    # Read twice, the rewritten line stays a column of its own below the UDF: a UDF
+    # cannot take nested lambdas as its argument.
+    after = F.when(F.col("line_out").isNotNull(), F.col("line_out"))
+    return changed.withColumn("spans", changed_spans(F.col(col), after))

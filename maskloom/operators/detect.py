@@ -19,7 +19,7 @@ KV_SECRET = r"(?iU)\b(api[_-]?key|token|secret|password)\s*=\s*([^\s\"']{8,})\b"
 PROBABLE_TOKEN = r"(?U)\b[A-Za-z0-9+/=_-]{24,}\b"
 CARD = r"(?U)\b(?:\d[ -]*?){13,19}\b"
 
-FINDINGS = "array<struct<kind:string,masked_example:string>>"
+FINDINGS = "array<struct<det_no:int,pos:int,detector:string,kind:string,masked_example:string>>"
 
 
 def _extract(line: Column, pattern: str, group: int, guard: Column | None = None) -> Column:
@@ -59,7 +59,7 @@ def probable_tokens(line: Column) -> Column:
 
 def card_numbers(line: Column) -> Column:
     digits = F.transform(_extract(line, CARD, 0), lambda hit: F.regexp_replace(hit, r"[^0-9]", ""))
-    return F.transform(F.filter(digits, lambda d: F.luhn_check(d)), mask_card)
+    return F.transform(F.filter(digits, lambda d: F.call_function("luhn_check", d)), mask_card)
 
 
 @dataclass(frozen=True)
@@ -96,19 +96,20 @@ def select_detectors(names: Iterable[str] = DEFAULT_NAMES, extra: Iterable[Detec
 
 def findings(line: Column, detectors: Iterable[Detector]) -> Column:
     """array<struct<det_no, pos, detector, kind, masked_example>> of one line."""
-    parts = []
-    for number, d in enumerate(detectors):
 
-        def entry(example: Column, pos: Column, number: int = number, d: Detector = d) -> Column:
-            return F.struct(
+    def entries(number: int, d: Detector) -> Column:
+        return F.transform(
+            d.find(line),
+            lambda example, pos: F.struct(
                 F.lit(number).alias("det_no"),
                 pos.alias("pos"),
                 F.lit(d.name).alias("detector"),
                 F.lit(d.kind).alias("kind"),
                 example.alias("masked_example"),
-            )
+            ),
+        )
 
-        parts.append(F.coalesce(F.transform(d.find(line), entry), F.array()))
+    parts = [F.coalesce(entries(number, d), F.array().cast(FINDINGS)) for number, d in enumerate(detectors)]
     return F.concat(*parts)
 
 

@@ -71,7 +71,7 @@ DOCUMENT_RULES = [
 
 # Non-ASCII letters count as word characters: the SQL engine's \b is ASCII only, so
 # digits next to such letters are told apart by writing the boundary out.
-_DOC_STEPS = rf"""
+DOC_STEPS = rf"""
 s1 AS (SELECT bundle, path, line_no, eol, line, {guarded_sql("contains(line, '@')", rewritten_sql("line", EMAIL, hash_sql("[EMAIL:", "]", 16)))} AS l1 FROM doc_lines),
 s2 AS (SELECT *, {guarded_sql("contains(l1, '.')", r"regexp_replace(l1, '\b(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\b', '\1.***.***.\4', 'g')", "l1")} AS l2 FROM s1),
 s3 AS (SELECT *, {guarded_sql("contains(lower(l2), 'token')", "regexp_replace(l2, 'token = \"([0-9a-f]+)\"', 'token = \"[TOKEN]\"', 'gi')", "l2")} AS l3 FROM s2),
@@ -109,7 +109,7 @@ def rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULE_STATS_SQL = with_tables(
     t.DOCUMENT_LINES,
-    _DOC_STEPS,
+    DOC_STEPS,
     _DOC_COUNTS,
     body="""SELECT path, line_no, (n1 + n2 + n3 + n4 + n5)::BIGINT AS n_replacements,
       array_to_string(list_filter([
@@ -131,7 +131,7 @@ def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULE_TOTALS_SQL = with_tables(
     t.DOCUMENT_LINES,
-    _DOC_STEPS,
+    DOC_STEPS,
     _DOC_COUNTS,
     body="""SELECT path, rule, coalesce(sum(n), 0)::BIGINT AS n, (grouping(path) * 2 + grouping(rule))::BIGINT AS level
     FROM (
@@ -156,7 +156,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGSHIP_SQL = with_tables(
     t.DOCUMENT_LINES,
-    _DOC_STEPS,
+    DOC_STEPS,
     _DOC_COUNTS,
     body="""SELECT bundle, count(*) AS n_lines, sum(n1 + n2 + n3 + n4 + n5)::BIGINT AS n_replacements,
       sum((line <> line_out)::BIGINT)::BIGINT AS n_changed FROM counts GROUP BY bundle""",
@@ -298,7 +298,7 @@ QUERIES = [
     Query(
         "apply_rules",
         _applied(t.document_lines, DOCUMENT_RULES),
-        with_tables(t.DOCUMENT_LINES, _DOC_STEPS, body="SELECT path, line_no, line_out FROM s5"),
+        with_tables(t.DOCUMENT_LINES, DOC_STEPS, body="SELECT path, line_no, line_out FROM s5"),
     ),
     Query(
         "rule_trigger",
@@ -436,9 +436,9 @@ QUERIES = [
         "audit_lines",
         audit_lines,
         with_tables(
-            t.DOCUMENT_LINES, _DOC_STEPS, body="SELECT path, line_no, line, line_out FROM s5 WHERE line <> line_out"
+            t.DOCUMENT_LINES, DOC_STEPS, body="SELECT path, line_no, line, line_out FROM s5 WHERE line <> line_out"
         ),
     ),
     Query("audit_spans", audit_spans),
-    Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, _DOC_STEPS, body=_DOCUMENTS_BACK)),
+    Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_DOCUMENTS_BACK)),
 ]

@@ -50,16 +50,15 @@ def padded(column: Column, width: int) -> Column:
 
 # --- documents as files ------------------------------------------------------
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle, path, text): ``source`` is the bundle, the document a file in it."""
-    docs = spread(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    return docs.select(
-        F.col("source").alias("bundle"), F.concat(F.lit("doc-"), padded(F.col("doc_id"), 10)).alias("path"), "text"
-    )
+def document_lines_of(documents: DataFrame) -> DataFrame:
+    """(bundle, path, line_no, line, eol): ``source`` is the bundle, the document a file in it."""
+    path = F.concat(F.lit("doc-"), padded(F.col("doc_id"), 10))
+    files = documents.select(F.col("source").alias("bundle"), path.alias("path"), "text")
+    return documents_to_lines(files, "text", ("bundle", "path"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_to_lines(documents(spark, sf_dir), "text", ("bundle", "path"))
+    return document_lines_of(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
 
 
 DOCUMENTS = """
@@ -88,10 +87,13 @@ doc_lines AS (
 # --- derived lines -----------------------------------------------------------
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users, passwords, ages and pins from ``events``."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    return kv_lines_of(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
+
+
+def kv_lines_of(events: DataFrame) -> DataFrame:
+    """Users, passwords, ages and pins."""
     user, event = text_of("user_id"), F.col("event_id")
-    return e.select(
+    return events.select(
         F.concat(F.lit("user-"), user).alias("path"),
         F.col("event_id").alias("line_no"),
         "ts",
@@ -115,11 +117,14 @@ kv_lines AS (
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, bearer headers, keys, cards and addresses from ``orders``."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return secret_lines_of(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+
+
+def secret_lines_of(orders: DataFrame) -> DataFrame:
+    """Tokens, bearer headers, keys, cards and addresses."""
     key, customer = F.col("o_orderkey"), text_of("o_custkey")
     digest = F.sha2(text_of(key), 256)
-    return o.select(
+    return orders.select(
         F.concat(F.lit("cust-"), customer).alias("path"),
         F.col("o_orderkey").alias("line_no"),
         F.concat(

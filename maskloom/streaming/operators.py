@@ -20,7 +20,8 @@ def detection_rate(
     col: str = "line",
 ) -> DataFrame:
     """Detections per kind and event-time window; rows later than ``delay`` are dropped."""
-    timed = lines.withWatermark(ts, delay) if lines.isStreaming else lines
+    timed = lines.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark(ts, delay) if timed.isStreaming else timed
     found = detections(timed, names, col, keep=(ts,))
     counts = found.groupBy(F.window(ts, window).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "kind", "n")
