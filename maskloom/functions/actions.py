@@ -151,6 +151,23 @@ def rewrite(text: Column, rule: Rule, salt: str) -> Column:
     return rewrite_matches(text, pattern.java, value_of(rule, salt))
 
 
+def _any_case(trigger: str) -> str:
+    """Pattern of an ASCII word in any case, as lower-casing both sides would find it.
+
+    Besides A-Z, only the Kelvin sign and the dotted capital I lower to ASCII letters,
+    the latter to an ``i`` and a combining dot: it can only end the word.
+    """
+    letters = []
+    for i, char in enumerate(trigger.lower()):
+        if char == "k":
+            letters.append("[kK\\u212A]")
+        elif char == "i" and i == len(trigger) - 1:
+            letters.append("[iI\\u0130]")
+        else:
+            letters.append(char if char.isalnum() else f"\\x{ord(char):02x}")
+    return "(?i)" + "".join(letters)
+
+
 def triggered(text: Column, rule: Rule) -> Column:
     """The guard, tested on the text as the earlier rules left it."""
     if not rule.enabled:
@@ -159,4 +176,6 @@ def triggered(text: Column, rule: Rule) -> Column:
         return text.isNotNull()
     if rule.case_sensitive:
         return F.contains(text, F.lit(rule.trigger))
+    if rule.trigger.isascii():
+        return F.rlike(text, F.lit(_any_case(rule.trigger)))
     return F.contains(F.lower(text), F.lit(rule.trigger.lower()))

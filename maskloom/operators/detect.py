@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.binding import let
-from maskloom.functions.masking import mask_card, mask_email, mask_ipv4, mask_token
+from maskloom.functions.masking import matched_card, matched_email, matched_ipv4, matched_token
 
 # What the detectors look for.
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -29,37 +29,36 @@ def _extract(line: Column, pattern: str, group: int, guard: Column | None = None
 
 
 def emails(line: Column) -> Column:
-    return F.transform(_extract(line, EMAIL, 0, F.contains(line, F.lit("@"))), mask_email)
+    return F.transform(_extract(line, EMAIL, 0, F.contains(line, F.lit("@"))), matched_email)
 
 
 def ipv4s(line: Column) -> Column:
-    return F.transform(_extract(line, IPV4, 0, F.contains(line, F.lit("."))), mask_ipv4)
+    return F.transform(_extract(line, IPV4, 0, F.contains(line, F.lit("."))), matched_ipv4)
 
 
 def bearer_tokens(line: Column) -> Column:
-    found = _extract(line, BEARER, 1, F.contains(F.lower(line), F.lit("bearer")))
-    return F.transform(found, lambda token: F.concat(F.lit("Bearer "), mask_token(token)))
+    # No guard: lower-casing a line costs more than the pattern.
+    return F.transform(_extract(line, BEARER, 1), lambda token: F.concat(F.lit("Bearer "), matched_token(token)))
 
 
 def kv_secrets(line: Column) -> Column:
     """The key never holds '=' or blanks, so the whole match splits back exactly."""
 
     def masked(hit: Column) -> Column:
-        key = F.regexp_extract(hit, r"(?U)\A([^=\s]+)", 1)
-        value = F.regexp_extract(hit, r"(?sU)\A[^=]+=\s*(.*)\z", 1)
-        return F.concat(key, F.lit("="), mask_token(value))
+        parts = F.split(hit, r"(?U)\s*=\s*", 2)
+        return let(parts, lambda kv: F.concat(kv[0], F.lit("="), let(kv[1], matched_token)))
 
     return F.transform(_extract(line, KV_SECRET, 0, F.contains(line, F.lit("="))), masked)
 
 
 def probable_tokens(line: Column) -> Column:
     mixed = lambda token: F.rlike(token, F.lit("[A-Za-z]")) & F.rlike(token, F.lit("[0-9]"))
-    return F.transform(F.filter(_extract(line, PROBABLE_TOKEN, 0), mixed), mask_token)
+    return F.transform(F.filter(_extract(line, PROBABLE_TOKEN, 0), mixed), matched_token)
 
 
 def card_numbers(line: Column) -> Column:
     digits = F.transform(_extract(line, CARD, 0), lambda hit: F.regexp_replace(hit, r"[^0-9]", ""))
-    return F.transform(F.filter(digits, lambda d: F.call_function("luhn_check", d)), mask_card)
+    return F.transform(F.filter(digits, lambda d: F.call_function("luhn_check", d)), matched_card)
 
 
 @dataclass(frozen=True)

@@ -87,7 +87,7 @@ doc_lines AS (
 # --- derived lines -----------------------------------------------------------
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv_lines_of(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
+    return kv_lines_of(spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")))
 
 
 def kv_lines_of(events: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ kv_lines AS (
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_lines_of(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    return secret_lines_of(spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")))
 
 
 def secret_lines_of(orders: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ secret_lines AS (
 
 def date_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with and without padding, date-times and impossible dates from ``orders``."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     unpadded = F.concat_ws("/", F.day(day), F.month(day), F.year(day))
     return o.select(
