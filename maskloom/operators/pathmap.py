@@ -132,13 +132,18 @@ def path_map(components: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def path_map_stats(components: DataFrame, mapping: DataFrame) -> DataFrame:
     """paths_total, paths_changed, components_changed, collisions_resolved."""
-    paths = mapping.agg(
-        F.count(F.lit(1)).alias("paths_total"),
-        F.count_if(F.col("rel_path") != F.col("anon_path")).alias("paths_changed"),
+    nothing = F.lit(0)
+    paths = mapping.select(
+        F.lit(1).alias("paths_total"),
+        (F.col("rel_path") != F.col("anon_path")).cast("int").alias("paths_changed"),
+        nothing.alias("components_changed"),
+        nothing.alias("collisions_resolved"),
     )
-    parts = components.agg(
-        F.count_if("changed").alias("components_changed"),
-        F.count_if(F.col("attempt") > 0).alias("collisions_resolved"),
+    parts = components.select(
+        nothing.alias("paths_total"),
+        nothing.alias("paths_changed"),
+        F.col("changed").cast("int").alias("components_changed"),
+        (F.col("attempt") > 0).cast("int").alias("collisions_resolved"),
     )
-    # One row beside one row.
-    return paths.withColumn("_k", F.lit(1)).join(parts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    counted = paths.unionByName(parts)
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted.columns])

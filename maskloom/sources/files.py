@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,24 +12,38 @@ from maskloom.functions.text import decode_text, is_text
 from maskloom.operators.documents import documents_to_lines
 from maskloom.operators.files import included_files
 from maskloom.sources.scratch import settled
+from maskloom.sources.trees import is_local, list_files, local_path, with_content
 
 
-def read_files(spark: SparkSession, path: str, bundle: str | None = None) -> DataFrame:
-    """(bundle, rel_path, path, length, content) of all files at or below ``path``.
+def read_files(spark: SparkSession, path: str, bundle: str | None = None, complete: bool = True) -> DataFrame:
+    """(bundle, rel_path, length, content) of all files at or below ``path``.
 
-    ``rel_path`` starts below the root. ``content`` is only read where a later step uses it.
+    ``rel_path`` starts below the root. ``content`` is only read where a later step
+    uses it. ``complete`` adds the empty and hidden files Spark's file source passes
+    over, and drops what it reaches through symbolic links.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/").split("://", 1)[-1].lstrip("/")
+    root = path.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("/")
     inner = F.regexp_replace(F.col("path"), r"\A[a-z0-9]+:/*", "")
     below = F.when(F.startswith(inner, F.lit(root + "/")), F.substring(inner, F.lit(len(root) + 2), F.length(inner)))
-    return found.select(
-        F.lit(root.rsplit("/", 1)[-1] if bundle is None else bundle).alias("bundle"),
-        F.coalesce(below, F.substring_index(inner, "/", -1)).alias("rel_path"),
-        "path",
-        "length",
-        "content",
-    )
+    files = found.select(F.coalesce(below, F.substring_index(inner, "/", -1)).alias("rel_path"), "length", "content")
+    if complete and not _is_single_file(path):
+        listed = list_files(spark, path)
+        passed_over = listed.join(files.select("rel_path"), "rel_path", "left_anti")
+        if is_local(path):
+            files = files.join(listed.select("rel_path"), "rel_path", "left_semi")
+        files = files.unionByName(with_content(passed_over, path))
+    name = root.rsplit("/", 1)[-1] if bundle is None else bundle
+    return files.select(F.lit(name).alias("bundle"), "rel_path", "length", "content")
+
+
+def _is_single_file(path: str) -> bool:
+    if is_local(path):
+        return os.path.isfile(local_path(path))
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.get_file_info(inner).type == fs.FileType.File
 
 
 def lines_of_files(files: DataFrame, keep: Sequence[str] = ("bundle", "rel_path")) -> DataFrame:
