@@ -123,7 +123,8 @@ def rule_stats(df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str =
 
 def rule_totals(stats: DataFrame, path: str = "path") -> DataFrame:
     """Replacements per file and rule, with totals per file and overall (``rollup``)."""
-    pairs = stats.select(F.col(path), F.explode("by_rule").alias("rule", "n"))
+    # An outer explode: the plain one would add a filter that evaluates the rules twice.
+    pairs = stats.select(F.col(path), F.explode_outer("by_rule").alias("rule", "n")).where(F.col("rule").isNotNull())
     return (
         pairs.rollup(path, "rule")
         .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
@@ -167,7 +168,12 @@ def audit_lines(
     df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str = "line", spans: bool = True
 ) -> DataFrame:
     """Changed lines only, before and after, with the changed spans of the output."""
-    changed = apply_rules(df, rules, salt, col).where(F.col(col) != F.col("line_out"))
+    if all(runs_on_jvm(rule) for rule in active_rules(rules)):
+        # A filter on the result would evaluate the rules twice for every line it keeps.
+        kept = let(rewritten_text(F.col(col), rules, salt), lambda after: F.when(after != F.col(col), F.array(after)))
+        changed = df.select("*", F.explode(kept).alias("line_out"))
+    else:
+        changed = apply_rules(df, rules, salt, col).where(F.col(col) != F.col("line_out"))
     if not spans:
         return changed
     # Read twice, the rewritten line stays a column of its own below the UDF: a UDF

@@ -69,11 +69,12 @@ def bundle_base_name(
 def bundle_summary(files: DataFrame, bundle: str = "bundle", error: str = "error") -> DataFrame:
     """Per-bundle file counts and status, with the batch's totals in a row of their own.
 
-    A bundle fails when any of its files carries an error; the others go on. File
-    counts per bundle reduce on the map side before anything is shuffled.
+    A bundle fails when any of its rows carries an error; the others go on. A row
+    without disposition stands for a bundle that could not be read. File counts
+    reduce on the map side before anything is shuffled.
     """
     per_bundle = files.groupBy(bundle).agg(
-        F.count(F.lit(1)).alias("n_files"),
+        F.count("disposition").alias("n_files"),
         F.count_if(F.col("disposition") == "anonymise").alias("n_anonymised"),
         F.count_if(F.col("disposition") == "passthrough").alias("n_passthrough"),
         F.count_if(F.col("disposition") == "excluded").alias("n_excluded"),

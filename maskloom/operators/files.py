@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.functions.binding import let
 from maskloom.functions.globs import DEFAULT_EXCLUDES, is_excluded
 from maskloom.functions.text import is_text
 from maskloom.operators.bundles import numbered
@@ -43,14 +44,10 @@ def classify_files(
     content: str = "content",
     defaults: bool = True,
 ) -> DataFrame:
-    """Add ``disposition``: exclusion is decided first, then text or binary."""
+    """Add ``disposition``: exclusion is decided first, then text or binary. NULL without content."""
     verdict = _verdict(F.col(path), patterns, defaults, case_insensitive)
-    return df.withColumn(
-        "disposition",
-        F.when(verdict, F.lit(EXCLUDED))
-        .when(is_text(F.col(content)), F.lit(ANONYMISE))
-        .otherwise(F.lit(PASSTHROUGH)),
-    )
+    by_content = let(is_text(F.col(content)), lambda text: F.when(text, F.lit(ANONYMISE)).when(~text, F.lit(PASSTHROUGH)))
+    return df.withColumn("disposition", F.when(verdict, F.lit(EXCLUDED)).otherwise(by_content))
 
 
 def plan_report(files: DataFrame, rules: Sequence[Rule], bundle: str = "bundle", size: str = "length") -> DataFrame:

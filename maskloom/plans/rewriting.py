@@ -284,7 +284,7 @@ def write_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = t.document_lines(spark, sf_dir).withColumnRenamed("path", "rel_path")
     target = new_folder(spark, "published")
-    publish(apply.apply_rules(lines, DOCUMENT_RULES, SALT), target)
+    publish(lines, DOCUMENT_RULES, target, SALT)
     documents = lines_to_documents(spark.read.parquet(f"{target}/lines"), ("bundle", "rel_path"))
     return documents.select("bundle", "rel_path", "text")
 

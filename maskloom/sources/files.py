@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.text import decode_text, is_text
+from maskloom.operators.apply import apply_rules
 from maskloom.operators.documents import documents_to_lines
 from maskloom.operators.files import included_files
+from maskloom.rules import Rule
 from maskloom.sources.scratch import settled
 from maskloom.sources.trees import is_local, list_files, local_path, with_content
 
@@ -60,6 +62,10 @@ def read_lines(spark: SparkSession, path: str, exclude: Iterable[str] = (), defa
     return lines_of_files(files)
 
 
+# Blocks listed in at most about 200 MB are sent to every task; beyond that the join shuffles.
+BROADCAST_BLOCKS = 1_000_000
+
+
 def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line, eol) of text files of any size, each split over many tasks.
 
@@ -100,6 +106,8 @@ def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
         (F.sum("n_bytes").over(in_file) > F.col("size")).alias("open_end"),
         F.bool_and("utf8").over(in_file).alias("utf8"),
     )
+    if blocks.count() <= BROADCAST_BLOCKS:
+        placed = F.broadcast(placed)
     line_no = F.col("seq") - F.col("first_seq") + F.col("lines_before") + 1
     content = F.col("value").cast("binary")
     text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(content, "ISO-8859-1"))
@@ -116,21 +124,25 @@ def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_anonymised(
     lines: DataFrame,
+    rules: Sequence[Rule],
     target: str,
+    salt: str = "",
     passthrough: DataFrame | None = None,
-    col: str = "line_out",
     partitions: int | None = None,
 ) -> None:
-    """Publish rewritten lines and untouched files below ``target``, sorted by bundle and path.
+    """Rewrite lines and publish them and the untouched files below ``target``.
 
-    Range partitioning on (bundle, rel_path, line_no) spreads a large bundle or file
-    over as many tasks as it needs while the output stays in order. The commit
-    protocol makes each folder appear as a whole.
+    Lines get one folder per bundle, sorted by path. Range partitioning on (bundle, rel_path,
+    line_no) spreads a large bundle or file over as many tasks as it needs and keeps
+    small ones together. It samples its input, so the rules run after it, not twice.
+    The commit protocol makes each table appear as a whole.
     """
     order = ["bundle", "rel_path", "line_no"]
-    kept = lines.select("bundle", "rel_path", "line_no", F.col(col).alias("line"), "eol")
+    kept = lines.select(*order, "line", "eol")
     placed = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
-    placed.sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{target}/lines")
+    done = apply_rules(placed.sortWithinPartitions(*order), rules, salt, "line", "line")
+    done.write.mode("errorifexists").partitionBy("bundle").parquet(f"{target}/lines")
     if passthrough is not None:
-        files = passthrough.select("bundle", "rel_path", "content").repartitionByRange("bundle", "rel_path")
-        files.sortWithinPartitions("bundle", "rel_path").write.mode("errorifexists").parquet(f"{target}/files")
+        # Contents are written by the tasks that read them: moving them would gain nothing.
+        files = passthrough.select("bundle", "rel_path", "content").sortWithinPartitions("bundle", "rel_path")
+        files.write.mode("errorifexists").parquet(f"{target}/files")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.globs import DEFAULT_EXCLUDES, glob_to_java, is_excluded, pattern_lines
 from maskloom.functions.text import decode_text, is_text
-from maskloom.operators.apply import apply_rules
 from maskloom.operators.documents import lines_to_documents
 from maskloom.operators.files import classify_files, exclude_files, plan_preview, plan_report
 from maskloom.rules import Replace, Rule
@@ -157,9 +156,10 @@ def test_large_files_are_split_and_stay_in_order(spark, tmp_path):
 def test_published_output_is_whole_and_ordered(spark, tree, tmp_path, partitions):
     files = read_files(spark, str(tree))
     marked = classify_files(files)
-    done = apply_rules(lines_of_files(marked.where("disposition = 'anonymise'")), [Rule("u", "user=", "user=\\w+", Replace("user=?"))])
+    lines = lines_of_files(marked.where("disposition = 'anonymise'"))
+    rules = [Rule("u", "user=", "user=\\w+", Replace("user=?"))]
     target = str(tmp_path / "out")
-    write_anonymised(done, target, marked.where("disposition = 'passthrough'"), partitions=partitions)
+    write_anonymised(lines, rules, target, "", marked.where("disposition = 'passthrough'"), partitions)
     back = lines_to_documents(spark.read.parquet(f"{target}/lines"), ("bundle", "rel_path"))
     assert {r["rel_path"]: r["text"] for r in back.collect()} == {
         "a.log": "user=?\r\nsecond\rthird\n", "sub/latin.txt": "café\nend", ".hidden/_deep/.profile": "user=?\n",
@@ -167,4 +167,4 @@ def test_published_output_is_whole_and_ordered(spark, tree, tmp_path, partitions
     kept = spark.read.parquet(f"{target}/files").collect()
     assert [(r["rel_path"], bytes(r["content"])) for r in kept] == [("sub/image.bin", b"\x00\x01")]
     with pytest.raises(Exception):
-        write_anonymised(done, target)
+        write_anonymised(lines, rules, target)
