@@ -28,9 +28,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to shared storage, its lineage cut."""
-    spark = df.sparkSession
-    folder = scratch_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` computed once and kept as a table in shared storage, its lineage cut.
+
+    Later steps read only the columns they need and plan with the table's real size.
+    """
+    folder = new_folder(df.sparkSession, "settled")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
