@@ -55,8 +55,8 @@ def read_bundles(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
                 parts.append(_archive_members(spark, source, source))
             else:
                 parts.append(read_files(spark, source, source).withColumn("error", F.lit(None).cast("string")))
-        except AnalysisException as exc:
-            row = [(source, None, None, None, f"unreadable: {exc.getCondition()}")]
+        except (AnalysisException, FileNotFoundError) as exc:
+            row = [(source, None, None, None, f"unreadable: {type(exc).__name__}")]
             parts.append(spark.createDataFrame(row, FILES))
     whole = parts[0]
     for part in parts[1:]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.text import line_structs
 
-CHUNK_LINES = 100_000
+CHUNK_LINES = 10_000
 
 
 def documents_to_lines(df: DataFrame, text: str = "text", keep: Sequence[str] = ("path",)) -> DataFrame:

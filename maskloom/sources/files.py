@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from maskloom.operators.documents import documents_to_lines
 from maskloom.operators.files import included_files
 from maskloom.rules import Rule
 from maskloom.sources.scratch import settled
-from maskloom.sources.trees import is_local, list_files, local_path, with_content
+from maskloom.sources.trees import is_local, list_files, with_content
 
 
 def read_files(spark: SparkSession, path: str, bundle: str | None = None, complete: bool = True) -> DataFrame:
@@ -24,28 +23,27 @@ def read_files(spark: SparkSession, path: str, bundle: str | None = None, comple
     uses it. ``complete`` adds the empty and hidden files Spark's file source passes
     over, and drops what it reaches through symbolic links.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("/")
-    inner = F.regexp_replace(F.col("path"), r"\A[a-z0-9]+:/*", "")
-    below = F.when(F.startswith(inner, F.lit(root + "/")), F.substring(inner, F.lit(len(root) + 2), F.length(inner)))
-    files = found.select(F.coalesce(below, F.substring_index(inner, "/", -1)).alias("rel_path"), "length", "content")
-    if complete and not _is_single_file(path):
-        listed = list_files(spark, path)
+    root, single = _qualified(spark, path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.substring("path", F.lit(root.rfind("/") + 2 if single else len(root) + 2), F.length("path"))
+    files = found.select(below.alias("rel_path"), "length", "content")
+    if complete and not single:
+        listed = list_files(spark, root)
         passed_over = listed.join(files.select("rel_path"), "rel_path", "left_anti")
-        if is_local(path):
+        if is_local(root):
             files = files.join(listed.select("rel_path"), "rel_path", "left_semi")
-        files = files.unionByName(with_content(passed_over, path))
+        files = files.unionByName(with_content(passed_over, root))
     name = root.rsplit("/", 1)[-1] if bundle is None else bundle
     return files.select(F.lit(name).alias("bundle"), "rel_path", "length", "content")
 
 
-def _is_single_file(path: str) -> bool:
-    if is_local(path):
-        return os.path.isfile(local_path(path))
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.get_file_info(inner).type == fs.FileType.File
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path as Spark's sources spell it, and whether it is a single file."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(location):
+        raise FileNotFoundError(path)
+    return store.makeQualified(location).toString(), store.getFileStatus(location).isFile()
 
 
 def lines_of_files(files: DataFrame, keep: Sequence[str] = ("bundle", "rel_path")) -> DataFrame:

@@ -44,11 +44,17 @@ def _local_entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
         return
 
 
+def _remote_store(root: str):
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+    return store, base.rstrip("/")
+
+
 def _remote_entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(root)
-    base = base.rstrip("/")
+    store, base = _remote_store(root)
     for info in store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
         yield info.path[len(base) + 1 :], info.type == fs.FileType.Directory, info.size or 0
 
@@ -94,10 +100,8 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
         if local:
             with open(os.path.join(base, rel_path), "rb") as file:
                 return file.read()
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(base)
-        with store.open_input_stream(f"{path.rstrip('/')}/{rel_path}") as file:
+        store, path = _remote_store(base)
+        with store.open_input_stream(f"{path}/{rel_path}") as file:
             return file.read()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,5 @@
+import random
+import re
 import time
 
 import pytest
@@ -5,7 +7,8 @@ from pyspark.sql import functions as F
 
 from maskloom.operators.apply import apply_rules, audit_lines, rule_stats, rule_totals, rule_trigger
 from maskloom.operators.documents import documents_to_lines, lines_to_documents
-from maskloom.rules import Mask, Redact, Replace, Rule, SecureHash, builtin_rules
+from maskloom.functions.pyrewrite import match_writer
+from maskloom.rules import Bucket, Bucketize, DateShift, Mask, Redact, Replace, Rule, SecureHash, builtin_rules
 
 
 def test_trigger_guards_the_pattern(lines):
@@ -128,3 +131,54 @@ def test_lines_and_back(spark, chunk):
     for r in lines_to_documents(parts, chunk_lines=chunk).orderBy("path", "chunk_no").collect():
         back[r["path"]] = back.get(r["path"], "") + r["text"]
     assert back == {str(i): t for i, t in enumerate(TEXTS) if t}
+
+
+POOL = [
+    Rule("digits", "", r"\d+", Replace(r"<\g<0>>")),
+    Rule("pair", "=", r"(\w+)=(\w+)", Replace(r"\2=\1")),
+    Rule("mask", "A", r"a(\w*)", Mask("#", 1, 1, 1), case_sensitive=False),
+    Rule("hash", "b", r"b\w", SecureHash(8)),
+    Rule("gone", "<", r"<[^>]*>", Redact()),
+    Rule("bucket", "", r"(\d+)", Bucketize((Bucket(0, 9, "few"), Bucket(10, 99, "some")), 1)),
+    Rule("date", "20", r"20\d\d-\d\d-\d\d", DateShift(max_shift_days=5)),
+    Rule("optional", "", r"x(y)?", Mask("*", group=1)),
+    Rule("blank", "", r"\s*$", Replace("$")),
+    Rule("digits", "é", r"é", Replace("e")),
+    Rule("off", "", r".", Redact(), enabled=False),
+]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rule_lists_agree_with_going_one_by_one(lines, seed):
+    rnd = random.Random(seed)
+    rules = rnd.sample(POOL[:-1], rnd.randint(2, 7)) + [POOL[-1]]
+    rnd.shuffle(rules)
+    words = ["a=b", "b1", "Abba", "12", "2024-02-28", "xy", "x", "é", "<z>", " ", "  ", "aé=7", "20", "=", "\t"]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(0, 8))) for _ in range(60)]
+
+    expected = []
+    for text in texts:
+        counts, fired = {}, set()
+        for rule in rules:
+            word, line = (rule.trigger, text) if rule.case_sensitive else (rule.trigger.lower(), text.lower())
+            if not rule.enabled or word not in line:
+                continue
+            fired.add(rule.key)
+            text, n = re.subn(rule.search, match_writer(rule, "s"), text, flags=rule.flags)
+            if n:
+                counts[rule.key] = counts.get(rule.key, 0) + n
+        expected.append((text, sorted(fired), counts))
+    df = lines(*texts).repartition(3)
+    got = rule_stats(df, rules, "s").orderBy("line_no").collect()
+    assert [(r["line_out"], r["triggered"], r["by_rule"]) for r in got] == expected
+    assert [r["n_replacements"] for r in got] == [sum(counts.values()) for _, _, counts in expected]
+    assert [r["line_out"] for r in apply_rules(df, rules, "s").orderBy("line_no").collect()] == [text for text, _, _ in expected]
+
+
+def test_outside_the_spans_the_output_comes_from_the_input(lines):
+    texts = ["user=bob pin=1234 x", "aaaa", "1 22 333", "no digits", "é1é"]
+    for row in audit_lines(lines(*texts), [Rule("d", "", r"\d+", Mask("#")), Rule("b", "", "b", Replace("BB"))]).collect():
+        kept = [c for i, c in enumerate(row["line_out"]) if not any(s["start"] <= i < s["end"] for s in row["spans"])]
+        rest = iter(row["line"])
+        assert all(c in rest for c in kept)
+        assert all(a["end"] < b["start"] for a, b in zip(row["spans"], row["spans"][1:]))

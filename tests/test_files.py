@@ -99,6 +99,8 @@ def tree(tmp_path):
     (root / "krb5.conf").write_bytes(b"[realms]\n")
     (root / ".hidden" / "_deep").mkdir(parents=True)
     (root / ".hidden" / "_deep" / ".profile").write_bytes(b"user=al\n")
+    (root / "odd names").mkdir()
+    (root / "odd names" / "50%20 a#b?é.log").write_bytes(b"odd")
     (root / "link.log").symlink_to(root / "a.log")
     (root / "linked").symlink_to(root / "sub", target_is_directory=True)
     return root
@@ -108,6 +110,7 @@ def test_reading_a_tree(spark, tree):
     files = read_files(spark, str(tree))
     assert {r["rel_path"] for r in files.select("rel_path").collect()} == {
         "a.log", "sub/latin.txt", "sub/deep/empty.log", "sub/image.bin", "krb5.conf", ".hidden/_deep/.profile",
+        "odd names/50%20 a#b?é.log",
     }
     lengths = {r["rel_path"]: (r["length"], bytes(r["content"])) for r in files.collect()}
     assert lengths["sub/deep/empty.log"] == (0, b"") and lengths[".hidden/_deep/.profile"] == (8, b"user=al\n")
@@ -115,6 +118,7 @@ def test_reading_a_tree(spark, tree):
     assert [(r["bundle"], r["rel_path"], r["line_no"], r["line"], r["eol"]) for r in rows] == [
         ("bundle", ".hidden/_deep/.profile", 1, "user=al", "\n"),
         ("bundle", "a.log", 1, "user=bob", "\r\n"), ("bundle", "a.log", 2, "second", "\r"), ("bundle", "a.log", 3, "third", "\n"),
+        ("bundle", "odd names/50%20 a#b?é.log", 1, "odd", ""),
         ("bundle", "sub/latin.txt", 1, "café", "\n"), ("bundle", "sub/latin.txt", 2, "end", ""),
     ]
     single = read_lines(spark, str(tree / "a.log")).collect()
@@ -163,6 +167,7 @@ def test_published_output_is_whole_and_ordered(spark, tree, tmp_path, partitions
     back = lines_to_documents(spark.read.parquet(f"{target}/lines"), ("bundle", "rel_path"))
     assert {r["rel_path"]: r["text"] for r in back.collect()} == {
         "a.log": "user=?\r\nsecond\rthird\n", "sub/latin.txt": "café\nend", ".hidden/_deep/.profile": "user=?\n",
+        "odd names/50%20 a#b?é.log": "odd",
     }
     kept = spark.read.parquet(f"{target}/files").collect()
     assert [(r["rel_path"], bytes(r["content"])) for r in kept] == [("sub/image.bin", b"\x00\x01")]
