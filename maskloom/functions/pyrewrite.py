@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from maskloom.rules import Bucketize, DateShift, Mask, Redact, Replace, Rule, SecureHash
 
-STATE = "struct<text:string,hits:array<int>>"
+# ``hits`` has one number per triggered rule: its place in the list * 2^32 + its matches.
+STATE = "struct<text:string,hits:array<bigint>>"
 
 
 def _masked(raw: str, action: Mask) -> str:
@@ -81,8 +82,8 @@ def match_writer(rule: Rule, salt: str) -> Callable[[re.Match], str]:
     return write
 
 
-def python_step(text: Column, hits: Column, rule: Rule, salt: str) -> Column:
-    """State after one rule; ``hits`` gains the match count, or NULL when not triggered."""
+def python_step(text: Column, hits: Column, place: int, rule: Rule, salt: str) -> Column:
+    """State after one rule."""
 
     @F.pandas_udf(STATE)
     def step(lines: pd.Series, counts: pd.Series) -> pd.DataFrame:
@@ -90,14 +91,14 @@ def python_step(text: Column, hits: Column, rule: Rule, salt: str) -> Column:
         write = match_writer(rule, salt)
         texts, hits = [], []
         for text, before in zip(lines, counts):
-            count = None
-            if text is not None and rule.enabled:
+            hit = [] if before is None else [int(n) for n in before]
+            if text is not None:
                 line, word = (text, rule.trigger) if rule.case_sensitive else (text.lower(), rule.trigger.lower())
                 if word in line:
                     text, count = pattern.subn(write, text)
-            earlier = [] if before is None else [None if pd.isna(n) else int(n) for n in before]
+                    hit.append((place << 32) + count)
             texts.append(text)
-            hits.append([*earlier, count])
+            hits.append(hit)
         return pd.DataFrame({"text": texts, "hits": hits})
 
     # Read twice and marked non-deterministic, so that the optimizer leaves the

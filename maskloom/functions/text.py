@@ -51,9 +51,28 @@ def decode_text(content: Column) -> Column:
 
 def line_structs(text: Column) -> Column:
     """array<struct<line, eol>>: a final line break does not open another line."""
-    pieces = F.split(text, LINE_BREAK, -1)
+    # Most text breaks at line feeds only, which needs no pattern.
+    return F.when(F.contains(text, F.lit("\r")), _lines_of_any_break(text)).otherwise(_lines_of_feeds(text))
+
+
+def _line(line: Column, eol: Column) -> Column:
+    return F.struct(line.alias("line"), eol.alias("eol"))
+
+
+def _lines_of_feeds(text: Column) -> Column:
+    def lines(pieces: Column) -> Column:
+        feeds = F.size(pieces) - 1
+        kept = F.when(text == "", F.array().cast("array<string>")).when(
+            F.endswith(text, F.lit("\n")), F.slice(pieces, F.lit(1), feeds)
+        ).otherwise(pieces)
+        return F.transform(kept, lambda line, i: _line(line, F.when(i < feeds, F.lit("\n")).otherwise(F.lit(""))))
+
+    return let(F.split(text, "\n", -1), lines)
+
+
+def _lines_of_any_break(text: Column) -> Column:
     breaks = F.regexp_extract_all(text, F.lit(LINE_BREAK), F.lit(0))
     pairs = F.zip_with(
-        pieces, breaks, lambda line, eol: F.struct(line.alias("line"), F.coalesce(eol, F.lit("")).alias("eol"))
+        F.split(text, LINE_BREAK, -1), breaks, lambda line, eol: _line(line, F.coalesce(eol, F.lit("")))
     )
     return F.filter(pairs, lambda p: (p["line"] != "") | (p["eol"] != ""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskloom.functions.actions import rewrite, runs_on_jvm, triggered
 from maskloom.functions.binding import Step, fold, let
 from maskloom.functions.dialect import translate
-from maskloom.functions.pyrewrite import STATE, python_step
+from maskloom.functions.pyrewrite import python_step
 from maskloom.rules import Rule, active_rules
 
 
@@ -25,23 +25,33 @@ def _text_step(rule: Rule, salt: str) -> Step:
     return step
 
 
-def _counting_step(rule: Rule, salt: str) -> Step:
+def _counting_step(place: int, rule: Rule, salt: str) -> Step:
     java = translate(rule.search, rule.flags).java
 
     def step(state: Column) -> Column:
         text = state["text"]
-        count = F.when(triggered(text, rule), F.regexp_count(text, F.lit(java)))
-        return let(
-            count,
-            lambda n: F.struct(
+
+        def counted(n: Column) -> Column:
+            hit = F.lit(place << 32).cast("bigint") + n
+            return F.struct(
                 F.when(n > 0, rewrite(text, rule, salt)).otherwise(text).alias("text"),
-                F.concat(state["hits"], F.array(n)).alias("hits"),
-            ),
-        )
+                F.concat(state["hits"], F.array(hit)).alias("hits"),
+            )
+
+        # A rule that is not triggered hands the state on as it is.
+        return F.when(triggered(text, rule), let(F.regexp_count(text, F.lit(java)), counted)).otherwise(state)
 
     return step
 
 
+def matches_of(hit: Column) -> Column:
+    return hit.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def total_matches(hits: Column) -> Column:
+    return F.aggregate(hits, F.lit(0), lambda total, hit: total + matches_of(hit))
+
+
 def rewritten_text(text: Column, rules: Sequence[Rule], salt: str = "") -> Column:
     """``text`` after all rules, each on the output of the one before, as one Column."""
     rules = active_rules(rules)
@@ -51,18 +61,18 @@ def rewritten_text(text: Column, rules: Sequence[Rule], salt: str = "") -> Colum
 
 
 def _start(text: Column) -> Column:
-    return F.struct(text.alias("text"), F.array().cast("array<int>").alias("hits")).cast(STATE)
+    return F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("hits"))
 
 
 def with_state(df: DataFrame, rules: Sequence[Rule], salt: str, text: Column, out: str) -> DataFrame:
-    """Add ``out``: the final text and, per rule, its match count (NULL: not triggered)."""
+    """Add ``out``: the final text and the matches of every triggered rule."""
     df = df.withColumn(out, _start(text))
-    for on_jvm, run in groupby(active_rules(rules), key=runs_on_jvm):
+    for on_jvm, run in groupby(enumerate(active_rules(rules)), key=lambda placed: runs_on_jvm(placed[1])):
         if on_jvm:
-            df = df.withColumn(out, fold(F.col(out), [_counting_step(rule, salt) for rule in run]))
+            df = df.withColumn(out, fold(F.col(out), [_counting_step(place, rule, salt) for place, rule in run]))
         else:
-            for rule in run:
-                df = df.withColumn(out, python_step(F.col(out)["text"], F.col(out)["hits"], rule, salt))
+            for place, rule in run:
+                df = df.withColumn(out, python_step(F.col(out)["text"], F.col(out)["hits"], place, rule, salt))
     return df
 
 
@@ -74,7 +84,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str =
             df = df.withColumn(out, rewritten_text(current, list(run), salt))
         else:
             for rule in run:
-                df = df.withColumn(out, python_step(current, F.array().cast("array<int>"), rule, salt)["text"])
+                df = df.withColumn(out, python_step(current, F.array().cast("array<bigint>"), 0, rule, salt)["text"])
                 current = F.col(out)
         current = F.col(out)
     return df
@@ -84,31 +94,32 @@ def rule_trigger(df: DataFrame, rule: Rule, col: str = "line", out: str = "is_tr
     return df.withColumn(out, F.coalesce(triggered(F.col(col), rule), F.lit(False)))
 
 
-def _sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def rule_stats(df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str = "line", out: str = "line_out") -> DataFrame:
     """Add ``out``, ``n_replacements``, ``triggered`` and ``by_rule`` per row."""
     rules = active_rules(rules)
-    keys = sorted({rule.key for rule in rules})
-    places = {key: [i for i, rule in enumerate(rules) if rule.key == key] for key in keys}
+    keys = F.array(*[F.lit(rule.key) for rule in rules])
 
-    def summary(state: Column) -> Column:
-        hits = state["hits"]
+    def key_of(hit: Column) -> Column:
+        return F.get(keys, F.shiftright(hit, 32).cast("int"))
+
+    def names(hits: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(hits, key_of)))
 
-        def total(key: str) -> Column:
-            return _sum([F.coalesce(F.get(hits, F.lit(i)), F.lit(0)) for i in places[key]])
+    def per_rule(matched: Column) -> Column:
+        # Rules of the same key add up.
+        def entry(name: Column) -> Column:
+            own = F.filter(matched, lambda hit: key_of(hit) == name)
+            return F.struct(name.alias("key"), total_matches(own).alias("value"))
 
-        def fired(key: str) -> Column:
-            return reduce(lambda a, b: a | b, [F.get(hits, F.lit(i)).isNotNull() for i in places[key]])
+        return F.map_from_entries(F.transform(names(matched), entry))
 
-        per_rule = F.array(*[F.struct(F.lit(k).alias("key"), total(k).alias("value")) for k in keys])
+    def summary(state: Column) -> Column:
+        hits = state["hits"]
         return F.struct(
             state["text"].alias("text"),
-            F.aggregate(F.filter(hits, lambda n: n.isNotNull()), F.lit(0), lambda a, n: a + n).alias("n"),
-            F.array_compact(F.array(*[F.when(fired(k), F.lit(k)) for k in keys])).alias("triggered"),
-            F.map_from_entries(F.filter(per_rule, lambda e: e["value"] > 0)).alias("by_rule"),
+            total_matches(hits).alias("n"),
+            names(hits).alias("triggered"),
+            let(F.filter(hits, lambda hit: matches_of(hit) > 0), per_rule).alias("by_rule"),
         )
 
     done = with_state(df, rules, salt, F.col(col), "_state").withColumn("_state", let(F.col("_state"), summary))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.masking import strip
 from maskloom.functions.paths import is_safe_component, retry_name, sanitised_extension, stand_in, stem_of, suffixes_of
-from maskloom.operators.apply import with_state
+from maskloom.operators.apply import total_matches, with_state
 from maskloom.rules import Rule
 from maskloom.sources.scratch import settled
 
@@ -65,7 +65,7 @@ def anonymise_component(
     if active:
         prepared = with_state(prepared, active, salt, F.col("_source"), "_state")
         text = F.regexp_replace(F.col("_state.text"), r"[\r\n]", "")
-        hits = F.aggregate(F.filter("_state.hits", lambda n: n.isNotNull()), F.lit(0), lambda a, n: a + n)
+        hits = total_matches(F.col("_state.hits"))
     else:
         text, hits = F.col("_source"), F.lit(0)
     prepared = prepared.withColumn("_hits", hits).withColumn("_plain", F.concat(strip(text), F.col("_ext")))

@@ -196,8 +196,10 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = scan_lines(spark, sf_dir)
-    return _counted(profile.profile_report(detections(lines), lines.select("path")))
+    files = t.document_paths(spark, sf_dir)
+    for lines in (t.kv_lines(spark, sf_dir), t.secret_lines(spark, sf_dir)):
+        files = files.unionByName(lines.select("path"))
+    return _counted(profile.profile_report(found(spark, sf_dir), files))
 
 
 REPORT_SQL = with_tables(
@@ -208,7 +210,8 @@ REPORT_SQL = with_tables(
     SELECT 'version' AS section, NULL AS kind, '1' AS key, 0::BIGINT AS rank, NULL::BIGINT AS n
     UNION ALL SELECT 'generated_at', NULL, '', 0, NULL
     {" ".join(f"UNION ALL SELECT 'detectors', NULL, '{n}', {i}, NULL" for i, n in enumerate(DEFAULT_NAMES, 1))}
-    UNION ALL SELECT 'files_scanned', NULL, NULL, NULL, count(DISTINCT path) FROM scan_lines
+    UNION ALL SELECT 'files_scanned', NULL, NULL, NULL, count(*)
+      FROM (SELECT path FROM docs UNION SELECT path FROM kv_lines UNION SELECT path FROM secret_lines)
     UNION ALL SELECT 'matches_by_kind', kind, NULL, NULL, count(*) FROM found GROUP BY kind
     UNION ALL SELECT 'files_by_kind', kind, path, NULL, count(*) FROM found GROUP BY kind, path
     UNION ALL SELECT 'masked_examples_by_kind', kind, masked_example, rank, NULL FROM examples

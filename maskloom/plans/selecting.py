@@ -143,7 +143,7 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([packed(k, x, lang) for k, x, lang in zip(keys, texts, langs)])
 
-    docs = t.spread(t.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    docs = t.spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     suffix = F.when(F.col("doc_id") % 2 == 1, F.lit(".tar.gz")).otherwise(F.lit(".zip"))
     name = F.concat(F.lit("doc-"), t.padded(F.col("doc_id"), 10), suffix)
     return docs.select(name.alias("bundle"), pack("doc_id", "text", "lang").alias("content"))

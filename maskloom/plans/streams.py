@@ -16,8 +16,9 @@ from maskloom.streaming.operators import detection_rate, drain, drain_complete
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return t.spread(spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir), path)
 
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +25,25 @@ class Query:
     sql: str | None = None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input too small to fill one scan task per core.
+@lru_cache(maxsize=256)
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    """Size of a table's files. Only names and lengths are listed, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Use all cores on a table too small to fill one scan task per core.
 
     Pattern matching outweighs moving a few megabytes; a larger table is left as
     the scan split it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BELOW else df
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if _bytes_of(spark, path) < SPREAD_BELOW else df
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name, *columns), f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -50,15 +61,22 @@ def padded(column: Column, width: int) -> Column:
 
 # --- documents as files ------------------------------------------------------
 
+def _document_path() -> Column:
+    return F.concat(F.lit("doc-"), padded(F.col("doc_id"), 10)).alias("path")
+
+
+def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id").select(_document_path())
+
+
 def document_lines_of(documents: DataFrame) -> DataFrame:
     """(bundle, path, line_no, line, eol): ``source`` is the bundle, the document a file in it."""
-    path = F.concat(F.lit("doc-"), padded(F.col("doc_id"), 10))
-    files = documents.select(F.col("source").alias("bundle"), path.alias("path"), "text")
+    files = documents.select(F.col("source").alias("bundle"), _document_path(), "text")
     return documents_to_lines(files, "text", ("bundle", "path"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines_of(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
+    return document_lines_of(spread_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
 DOCUMENTS = """
@@ -87,7 +105,7 @@ doc_lines AS (
 # --- derived lines -----------------------------------------------------------
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv_lines_of(spread(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")))
+    return kv_lines_of(spread_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
 
 
 def kv_lines_of(events: DataFrame) -> DataFrame:
@@ -117,7 +135,7 @@ kv_lines AS (
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_lines_of(spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")))
+    return secret_lines_of(spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
 
 
 def secret_lines_of(orders: DataFrame) -> DataFrame:
@@ -148,7 +166,7 @@ secret_lines AS (
 
 def date_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with and without padding, date-times and impossible dates from ``orders``."""
-    o = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
+    o = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     unpadded = F.concat_ws("/", F.day(day), F.month(day), F.year(day))
     return o.select(
@@ -240,7 +258,7 @@ HEADS = ("", "", "255044462D", "89504E470D0A1A0A", "FFD8FF", "1F8B08", "00", "01
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bundle, rel_path, length, content): texts as bytes, some with a binary head or a stray byte."""
-    docs = spread(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"))
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     key = F.col("doc_id")
     head = F.element_at(F.array(*[F.lit(h) for h in HEADS]), (key % len(HEADS) + 1).cast("int"))
     # An odd Latin-1 byte makes every third text invalid as UTF-8.
