@@ -15,8 +15,9 @@ from maskloom.operators.files import ANONYMISE, EXCLUDED, PASSTHROUGH, classify_
 from maskloom.operators.pathmap import path_components, path_map
 from maskloom.operators.profile import profile_report
 from maskloom.rules import Rule, builtin_rules, merge_rules
-from maskloom.sources.archives import expand_archives
+from maskloom.sources.archives import expand_archive_files
 from maskloom.sources.files import lines_of_files, read_files, write_anonymised
+from maskloom.sources.scratch import settled
 
 FILES = "bundle string, rel_path string, length bigint, content binary, error string"
 ARCHIVES = (".zip", ".tar.gz", ".tgz")
@@ -35,11 +36,13 @@ class Options:
     generated_at: str = ""
 
 
-def _archive_members(spark: SparkSession, path: str, bundle: str) -> DataFrame:
-    found = spark.read.format("binaryFile").load(path)
-    members = expand_archives(found.select(F.substring_index("path", "/", -1).alias("bundle"), "content"))
+def _archive_members(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
+    """Members of all archives, unpacked once: later passes read them from shared storage."""
+    # One archive per task, so that they unpack side by side.
+    named = spark.createDataFrame([(path, path) for path in archives], "bundle string, path string")
+    members = settled(expand_archive_files(named.repartition(len(archives), "path")))
     return members.select(
-        F.lit(bundle).alias("bundle"), "rel_path", F.octet_length("content").cast("bigint").alias("length"), "content", "error"
+        "bundle", "rel_path", F.octet_length("content").cast("bigint").alias("length"), "content", "error"
     )
 
 
@@ -48,13 +51,14 @@ def read_bundles(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
 
     The bundle is the source's path. A source that cannot be read is a row with ``error``.
     """
-    parts = [spark.createDataFrame([], FILES)]
+    sources = list(sources)
+    archives = [source for source in sources if source.lower().endswith(ARCHIVES)]
+    parts = [_archive_members(spark, archives) if archives else spark.createDataFrame([], FILES)]
     for source in sources:
+        if source in archives:
+            continue
         try:
-            if source.lower().endswith(ARCHIVES):
-                parts.append(_archive_members(spark, source, source))
-            else:
-                parts.append(read_files(spark, source, source).withColumn("error", F.lit(None).cast("string")))
+            parts.append(read_files(spark, source, source).withColumn("error", F.lit(None).cast("string")))
         except (AnalysisException, FileNotFoundError) as exc:
             row = [(source, None, None, None, f"unreadable: {type(exc).__name__}")]
             parts.append(spark.createDataFrame(row, FILES))

@@ -28,17 +28,22 @@ def _extract(line: Column, pattern: str, group: int, guard: Column | None = None
     return found if guard is None else F.when(guard, found)
 
 
+def _has_digit(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"(?U)\d"))
+
+
 def emails(line: Column) -> Column:
     return F.transform(_extract(line, EMAIL, 0, F.contains(line, F.lit("@"))), matched_email)
 
 
 def ipv4s(line: Column) -> Column:
-    return F.transform(_extract(line, IPV4, 0, F.contains(line, F.lit("."))), matched_ipv4)
+    return F.transform(_extract(line, IPV4, 0, _has_digit(line)), matched_ipv4)
 
 
 def bearer_tokens(line: Column) -> Column:
-    # No guard: lower-casing a line costs more than the pattern.
-    return F.transform(_extract(line, BEARER, 1), lambda token: F.concat(F.lit("Bearer "), matched_token(token)))
+    # A pattern finds the word in any case faster than lower-casing the line does.
+    found = _extract(line, BEARER, 1, F.rlike(line, F.lit("(?i)bearer")))
+    return F.transform(found, lambda token: F.concat(F.lit("Bearer "), matched_token(token)))
 
 
 def kv_secrets(line: Column) -> Column:
@@ -53,11 +58,11 @@ def kv_secrets(line: Column) -> Column:
 
 def probable_tokens(line: Column) -> Column:
     mixed = lambda token: F.rlike(token, F.lit("[A-Za-z]")) & F.rlike(token, F.lit("[0-9]"))
-    return F.transform(F.filter(_extract(line, PROBABLE_TOKEN, 0), mixed), matched_token)
+    return F.transform(F.filter(_extract(line, PROBABLE_TOKEN, 0, _has_digit(line)), mixed), matched_token)
 
 
 def card_numbers(line: Column) -> Column:
-    digits = F.transform(_extract(line, CARD, 0), lambda hit: F.regexp_replace(hit, r"[^0-9]", ""))
+    digits = F.transform(_extract(line, CARD, 0, _has_digit(line)), lambda hit: F.regexp_replace(hit, r"[^0-9]", ""))
     return F.transform(F.filter(digits, lambda d: F.call_function("luhn_check", d)), matched_card)
 
 

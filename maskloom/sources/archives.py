@@ -7,80 +7,111 @@ import io
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from maskloom.sources.trees import opened
+
 MEMBERS = "bundle string, rel_path string, content binary, error string"
+COLUMNS = ["bundle", "rel_path", "content", "error"]
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 1000
+# A row cannot hold more than this.
+MEMBER_LIMIT = (2 << 30) - (64 << 10)
+
+BROKEN = (ValueError, OSError, EOFError, RuntimeError, zlib.error, tarfile.TarError, zipfile.BadZipFile, gzip.BadGzipFile)
 
 
-def _unsafe(name: str) -> bool:
-    return name.startswith(("/", "\\")) or ".." in name.split("/")
+def _checked(name: str, size: int) -> None:
+    if name.startswith(("/", "\\")) or ".." in name.split("/"):
+        raise ValueError(f"unsafe member path: {name}")
+    if size > MEMBER_LIMIT:
+        raise ValueError(f"member too large for one row: {name}")
 
 
-def _zip_members(data: io.BytesIO) -> Iterator[tuple[str, bytes]]:
-    with zipfile.ZipFile(data) as archive:
+def _zip_members(file: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    with zipfile.ZipFile(file) as archive:
         for info in archive.infolist():
-            if info.is_dir():
-                continue
-            if _unsafe(info.filename):
-                raise ValueError(f"unsafe member path: {info.filename}")
-            yield info.filename, archive.read(info)
+            if not info.is_dir():
+                _checked(info.filename, info.file_size)
+                yield info.filename, archive.read(info)
 
 
-def _tar_members(data: io.BytesIO) -> Iterator[tuple[str, bytes]]:
-    with tarfile.open(fileobj=data, mode="r:gz", ignore_zeros=True) as archive:
-        for info in archive:
-            if not info.isreg():
-                continue
-            if _unsafe(info.name):
-                raise ValueError(f"unsafe member path: {info.name}")
-            yield info.name, archive.extractfile(info).read()
+def _tar_members(file: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    with tarfile.open(fileobj=file, mode="r:gz", ignore_zeros=True) as archive:
+        while (info := archive.next()) is not None:
+            archive.members = []  # forget earlier members: an archive may hold millions
+            if info.isreg():
+                _checked(info.name, info.size)
+                yield info.name, archive.extractfile(info).read()
 
 
-def _members(name: str, content: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+def _members(name: str, file: Callable[[], BinaryIO]) -> Iterator[tuple[str | None, bytes | None, str | None]]:
     lower = name.lower()
     try:
-        if lower.endswith(".zip"):
-            source = _zip_members(io.BytesIO(content))
-        elif lower.endswith((".tar.gz", ".tgz")):
-            source = _tar_members(io.BytesIO(content))
-        else:
-            yield name.rsplit("/", 1)[-1], content, None
-            return
-        for rel_path, data in source:
-            yield rel_path, data, None
-    except (ValueError, OSError, EOFError, zlib.error, tarfile.TarError, zipfile.BadZipFile, gzip.BadGzipFile) as exc:
+        with file() as source:
+            if lower.endswith(".zip"):
+                members = _zip_members(source)
+            elif lower.endswith((".tar.gz", ".tgz")):
+                members = _tar_members(source)
+            else:
+                members = iter([(name.rsplit("/", 1)[-1], source.read())])
+            for rel_path, data in members:
+                yield rel_path, data, None
+    except BROKEN as exc:
         yield None, None, f"{type(exc).__name__}: {exc}"
 
 
+def _batched(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Small frames: a bundle's expanded size is never held at once."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2] or b"")
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pd.DataFrame(held, columns=COLUMNS)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=COLUMNS)
+
+
 def expand_archives(df: DataFrame, bundle: str = "bundle", content: str = "content") -> DataFrame:
     """(bundle, rel_path, content, error): one row per regular file of every .zip, .tar.gz or .tgz.
 
     A broken or unsafe archive gives a row with ``error`` and does not stop the
-    others; anything else passes through as a single file. Members leave the task
-    in small batches, so a bundle's expanded size is never held at once.
+    others; anything else passes through as a single file.
     """
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        size = 0
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for name, data in zip(batch["bundle"], batch["content"]):
-                for rel_path, member, error in _members(name, bytes(data)):
-                    rows.append((name, rel_path, member, error))
-                    size += len(member or b"")
-                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=["bundle", "rel_path", "content", "error"])
-                        rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["bundle", "rel_path", "content", "error"])
+                for member in _members(name, lambda data=data: io.BytesIO(data)):
+                    yield (name, *member)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _batched(rows(batches))
 
     return df.selectExpr(f"`{bundle}` AS bundle", f"`{content}` AS content").mapInPandas(expand, MEMBERS)
 
 
+def expand_archive_files(df: DataFrame, bundle: str = "bundle", path: str = "path") -> DataFrame:
+    """The same for archives named by path, of any size: tasks stream them from storage."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for name, location in zip(batch["bundle"], batch["path"]):
+                for member in _members(location, lambda location=location: opened(location)):
+                    yield (name, *member)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _batched(rows(batches))
+
+    return df.selectExpr(f"`{bundle}` AS bundle", f"`{path}` AS path").mapInPandas(expand, MEMBERS)
+
+
 def whole_bundles(members: DataFrame) -> DataFrame:
     """Members of sound bundles only: one unreadable member rejects its bundle."""
     broken = members.where("error IS NOT NULL").select("bundle").distinct()

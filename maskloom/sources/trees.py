@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -91,18 +92,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files
 
 
+def opened(location: str) -> BinaryIO:
+    """A readable, seekable file on local or remote storage."""
+    if is_local(location):
+        return open(local_path(location), "rb")
+    store, path = _remote_store(location)
+    return store.open_input_file(path)
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """(rel_path, length, content) of listed files, read by the tasks that hold their rows."""
-    local = is_local(root)
-    base = local_path(root).rstrip("/") if local else root.rstrip("/")
-
-    def opened(rel_path: str) -> bytes:
-        if local:
-            with open(os.path.join(base, rel_path), "rb") as file:
-                return file.read()
-        store, path = _remote_store(base)
-        with store.open_input_stream(f"{path}/{rel_path}") as file:
-            return file.read()
+    base = root.rstrip("/")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["rel_path", "length", "content"]
@@ -110,7 +110,8 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
         size = 0
         for batch in batches:
             for rel_path, length in zip(batch["rel_path"], batch["length"]):
-                rows.append((rel_path, int(length), opened(rel_path)))
+                with opened(f"{base}/{rel_path}") as file:
+                    rows.append((rel_path, int(length), file.read()))
                 size += int(length)
                 if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                     yield pd.DataFrame(rows, columns=columns)

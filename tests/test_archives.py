@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from maskloom.sources.archives import expand_archives, whole_bundles
+from maskloom.sources.archives import expand_archive_files, expand_archives, whole_bundles
 
 
 def zipped(*members):
@@ -68,3 +68,18 @@ def test_each_broken_bundle_reports_one_error(members):
     errors = members.where("error IS NOT NULL").collect()
     assert sorted(r["bundle"] for r in errors) == ["cut.tar.gz", "cut.zip", "noise.tgz", "slip.tar.gz", "slip.zip"]
     assert all("unsafe member path" in r["error"] for r in errors if r["bundle"].startswith("slip"))
+
+
+def test_archives_by_path_give_the_same_members(spark, members, tmp_path):
+    rows = []
+    for name, data in BUNDLES.items():
+        (tmp_path / name).write_bytes(data)
+        rows.append((name, f"file:{tmp_path / name}"))
+    rows.append(("missing.zip", str(tmp_path / "missing.zip")))
+    by_path = expand_archive_files(spark.createDataFrame(rows, "bundle string, path string")).collect()
+
+    def flat(collected):
+        return sorted((r["bundle"], r["rel_path"] or "", bytes(r["content"] or b""), r["error"] is None) for r in collected)
+
+    assert flat(r for r in by_path if r["bundle"] != "missing.zip") == flat(members.collect())
+    assert [r["error"].split(":")[0] for r in by_path if r["bundle"] == "missing.zip"] == ["FileNotFoundError"]
