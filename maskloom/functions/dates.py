@@ -29,6 +29,8 @@ _ACCEPTS = {
     "f": r"[0-9]{1,6}",
     "p": r"am|pm",
 }
+MARK = "\x01"
+
 # English month names.
 _MONTHS = [
     "January", "February", "March", "April", "May", "June",
@@ -52,6 +54,8 @@ def compile_format(source: str) -> DateFormat:
     pattern, fields, pieces = "", [], []
     for m in re.finditer(r"%(.)|\s+|.", source, re.DOTALL):
         directive = m[1]
+        if m.group() == MARK:
+            raise ValueError(f"control character in date format {source!r}")
         if directive is None or directive == "%":
             text = "%" if directive else m.group()
             pattern += r"\s+" if text.isspace() else re.sub(r"([\\.^$*+?{}\[\]|()-])", r"\\\1", text)
@@ -71,10 +75,20 @@ def compile_format(source: str) -> DateFormat:
         pattern += f"({accepts})"
     if {"H", "I"} <= set(fields) or {"Y", "y"} <= set(fields) or len({"m", "b", "B"} & set(fields)) > 1:
         raise ValueError(f"conflicting directives in {source!r}")
+    pieces = _with_iso_days(pieces)
     # First way to match from the left, then it must end: no second try.
     return DateFormat(source, rf"(?iUd)\A(?>{pattern})\z", tuple(fields), tuple(pieces))
 
 
+def _with_iso_days(pieces: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``%Y-%m-%d`` as one piece: Spark writes it without any padding of parts."""
+    iso = [("field", "Y"), ("text", "-"), ("field", "m"), ("text", "-"), ("field", "d")]
+    for i in range(len(pieces) - len(iso) + 1):
+        if pieces[i : i + len(iso)] == iso:
+            return [*pieces[:i], ("field", "iso"), *pieces[i + len(iso) :]]
+    return pieces
+
+
 def _two(value: Column) -> Column:
     return F.lpad(value.cast("string"), 2, "0")
 
@@ -86,11 +100,18 @@ def _month_number(text: Column, short: bool) -> Column:
 
 def shift_with_format(raw: Column, fmt: DateFormat, days: Column) -> Column:
     """``raw`` moved by ``days`` in the same format; NULL when it does not parse."""
+    # One pass of the pattern sets the fields apart. It cannot match a text that
+    # starts with the mark, so a marked result tells that it did match.
+    template = "".join(f"{MARK}${i}" for i in range(1, len(fmt.fields) + 1)) or MARK
+    marked = F.regexp_replace(raw, F.lit(fmt.pattern), F.lit(template))
+    matched = ~F.startswith(raw, F.lit(MARK))
+    fields = let(marked, lambda m: F.when(matched & F.startswith(m, F.lit(MARK)), F.split(m, MARK, -1)))
+    return let(fields, lambda parts: F.when(parts.isNotNull(), _shifted_fields(parts, fmt, days)))
+
 
+def _shifted_fields(parts: Column, fmt: DateFormat, days: Column) -> Column:
     def field(name: str) -> Column | None:
-        if name not in fmt.fields:
-            return None
-        return F.regexp_extract(raw, fmt.pattern, fmt.fields.index(name) + 1)
+        return F.get(parts, F.lit(fmt.fields.index(name) + 1)) if name in fmt.fields else None
 
     def number(name: str, default: int) -> Column:
         found = field(name)
@@ -141,6 +162,7 @@ def shift_with_format(raw: Column, fmt: DateFormat, days: Column) -> Column:
             "S": lambda: second,
             "f": lambda: fraction,
             "p": lambda: F.when(hour >= 12, F.lit("PM")).otherwise(F.lit("AM")),
+            "iso": lambda: moved.cast("string"),
         }
         return F.concat(*[F.lit(t) if kind == "text" else rendered[t]() for kind, t in fmt.pieces])
 
@@ -151,9 +173,7 @@ def shift_with_format(raw: Column, fmt: DateFormat, days: Column) -> Column:
         moved = F.date_add(parsed, days)
         return let(moved, lambda d: F.when(d.between(*in_range), render(d)))
 
-    parsed = F.when(F.rlike(raw, F.lit(fmt.pattern)), day)
-    valid_day = F.lit("0001-01-01").cast("date")
-    return let(parsed, lambda d: F.when(d >= valid_day, shifted(d)))
+    return let(day, lambda d: F.when(d >= in_range[0], shifted(d)))
 
 
 def days_from_hash(raw: Column, salt: str, key: str, max_shift: int) -> Column:
