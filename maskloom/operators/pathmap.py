@@ -17,11 +17,13 @@ from maskloom.sources.scratch import settled
 def normal_path(path: Column) -> Column:
     """Without empty and ``.`` components."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    return F.array_join(parts, "/")
+    untidy = F.rlike(path, F.lit(r"(?:^|/)\.?(?:/|\z)"))
+    return F.when(untidy, F.array_join(parts, "/")).otherwise(path)
 
 
 def _parent(path: Column) -> Column:
-    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
+    """Everything before the last slash; the empty string at the top."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def _ancestors(folder: Column) -> Column:
@@ -94,7 +96,7 @@ def resolve_collisions(entries: DataFrame, scope: Sequence[str] = ()) -> DataFra
     current = settled(entries.withColumn("attempt", F.lit(0)).withColumn("anon_name", F.col("candidate")))
     while True:
         claims = current.groupBy(*keys).agg(F.min("order").alias("_owner"), F.count(F.lit(1)).alias("_claims"))
-        contested = claims.where(F.col("_claims") > 1).drop("_claims")
+        contested = settled(claims.where(F.col("_claims") > 1).drop("_claims"))
         if contested.isEmpty():
             return current
         judged = current.join(contested, keys, "left")

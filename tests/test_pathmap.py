@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import paths as p
-from maskloom.operators.pathmap import path_components, path_map, path_map_stats
+from maskloom.operators.pathmap import normal_path, path_components, path_map, path_map_stats
 from maskloom.rules import Redact, Replace, Rule
 
 RULES = [Rule("n", "", r"alice|bob|carol|\d+", Replace("user"), False), Rule("h", "host", r"host\w*", Replace("HOST"))]
@@ -127,6 +127,11 @@ def test_bundles_have_names_of_their_own(spark):
     assert sorted((r["bundle"], r["anon_path"]) for r in out.collect()) == [("b1", "user.log"), ("b2", "user.log")]
 
 
+def test_paths_are_tidied(spark):
+    df = spark.createDataFrame([("./a//b/./c",), ("/x/",), ("a.b/..c/d.",), (".",), ("y",)], "p string")
+    assert [r[0] for r in df.select(normal_path(F.col("p"))).collect()] == ["a/b/c", "x", "a.b/..c/d.", "", "y"]
+
+
 NAMES = [
     "a.tar.gz", ".bashrc", "..a.b", "a.", "a..b", "a.b.", ".a.b", "...", "a. b", "x.y z.log", "plain", "COM1.txt", "con", "lpt9", "COM10", "n\ttab",
     "x" * 200, "x" * 201, " a", "a ", " a", "a/b", "q?", "", ".", "..", "a:b", "tail. ", "AUX.tar.gz",
