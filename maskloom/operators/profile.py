@@ -45,10 +45,16 @@ def examples_by_kind(found: DataFrame, k: int = 5, order: Sequence[str] = SCAN_O
     return _first_examples(first, k)
 
 
-def summarise(found: DataFrame, order: Sequence[str] = SCAN_ORDER) -> DataFrame:
-    """Findings counted per (kind, path, masked_example): all a report needs, in one shuffle."""
+def summarise(found: DataFrame) -> DataFrame:
+    """Findings counted per (kind, path, masked_example): all a report needs, in one shuffle.
+
+    ``seen`` is the first line and position as one number, which a hash aggregate can
+    keep; a struct would have to be sorted. A kind has one detector, so ``det_no``
+    does not matter to its order.
+    """
+    seen = F.col("line_no").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     return found.groupBy("kind", "path", "masked_example").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
+        F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen")
     )
 
 
@@ -168,7 +174,7 @@ def profile_report(
 
     per_file = summary.groupBy("kind", "path").agg(F.sum("n").alias("n"))
     per_kind = summary.groupBy("kind").agg(F.sum("n").alias("n"))
-    first = summary.groupBy("kind", "masked_example").agg(F.min("first_seen").alias("first_seen"))
+    first = summary.groupBy("kind", "masked_example").agg(F.min(F.struct("path", "seen")).alias("first_seen"))
     first_examples = _first_examples(first, k)
     spark = found.sparkSession
     head = spark.createDataFrame(
