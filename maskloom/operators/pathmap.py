@@ -11,7 +11,7 @@ from maskloom.functions.masking import strip
 from maskloom.functions.paths import is_safe_component, retry_name, sanitised_extension, stand_in, stem_of, suffixes_of
 from maskloom.operators.apply import total_matches, with_state
 from maskloom.rules import Rule
-from maskloom.sources.scratch import settled
+from maskloom.sources.scratch import measured, settled
 
 
 def normal_path(path: Column) -> Column:
@@ -99,7 +99,7 @@ def resolve_collisions(entries: DataFrame, scope: Sequence[str] = ()) -> DataFra
         contested = settled(claims.where(F.col("_claims") > 1).drop("_claims"))
         if contested.isEmpty():
             return current
-        judged = current.join(contested, keys, "left")
+        judged = current.join(measured(contested), keys, "left")
         attempt = F.col("attempt") + F.when(F.col("order") != F.col("_owner"), 1).otherwise(0)
         moved = judged.withColumn("attempt", attempt).drop("_owner")
         current = settled(
@@ -120,14 +120,14 @@ def path_map(components: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     folders = components.where("is_dir").select(*scope, "orig", "anon_name")
     steps = folders.select(*scope, F.col("orig").alias("parent"), F.posexplode(_ancestors(F.col("orig"))).alias("depth", "orig"))
     # At most one row per level of depth is collected for each folder.
-    renamed = (
-        steps.join(folders, [*scope, "orig"])
+    renamed = settled(
+        steps.join(measured(folders), [*scope, "orig"])
         .groupBy(*scope, "parent")
         .agg(F.array_sort(F.collect_list(F.struct("depth", "anon_name"))).alias("levels"))
         .select(*scope, "parent", F.array_join(F.col("levels.anon_name"), "/").alias("anon_parent"))
     )
     files = components.where(~F.col("is_dir"))
-    return files.join(renamed, [*scope, "parent"], "left").select(
+    return files.join(measured(renamed), [*scope, "parent"], "left").select(
         *scope, F.col("orig").alias("rel_path"), F.concat_ws("/", "anon_parent", "anon_name").alias("anon_path")
     )
 

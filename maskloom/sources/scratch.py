@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,3 +36,20 @@ def settled(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "settled")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+BROADCAST_BYTES = 128 << 20
+# What a row takes beside its strings.
+ROW_BYTES = 64
+
+
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows, else as it is.
+
+    Beyond the limit the join shuffles, and adaptive execution splits a hot key's
+    partition. ``df`` should be settled: measuring reads it once.
+    """
+    strings = [name for name, kind in df.dtypes if kind == "string"]
+    lengths = [F.coalesce(F.octet_length(name), F.lit(0)) for name in strings]
+    size = df.agg(F.sum(sum(lengths, F.lit(ROW_BYTES).cast("bigint")))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import paths as p
 from maskloom.operators.pathmap import normal_path, path_components, path_map, path_map_stats
 from maskloom.rules import Redact, Replace, Rule
+from maskloom.sources.scratch import measured
 
 RULES = [Rule("n", "", r"alice|bob|carol|\d+", Replace("user"), False), Rule("h", "host", r"host\w*", Replace("HOST"))]
 
@@ -114,6 +115,25 @@ def test_a_folder_with_one_name_for_all(spark):
     assert got == one_by_one(paths) and len(set(got.values())) == len(paths)
 
 
+def test_large_sides_are_not_broadcast(spark):
+    table = spark.createDataFrame([("a" * 1000,)], "s string")
+    plans = [spark.range(1).withColumn("s", F.lit("a")).join(measured(table, n), "s") for n in (10_000, 100)]
+    hinted = ["broadcast" in df._jdf.queryExecution().analyzed().toString() for df in plans]
+    assert hinted == [True, False]
+
+
+def test_joins_without_broadcast_give_the_same(spark, monkeypatch):
+    paths = [f"hot/{i % 40}/{i}.log" for i in range(400)]
+    expected = mapping(spark, paths)
+    monkeypatch.setattr("maskloom.operators.pathmap.measured", lambda df: df)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert mapping(spark, paths) == expected == one_by_one(paths)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_statistics_count_folders_once(spark):
     df = spark.createDataFrame([("host1/a.log",), ("host1/b.log",), ("plain/c.log",), ("alice.log",), ("bob.log",)], "rel_path string")
     parts = path_components(df, RULES, "s")
