@@ -7,10 +7,27 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.common import LOWER, UPPER, documents
 from maskloom.llm.exact import exact_duplicates
+from maskloom.llm.mixing import mix_by_source
+from maskloom.llm.packing import pack_documents
 from maskloom.llm.simhash import near_duplicates
 from maskloom.plans.tables import Query
 
 
+def tokenizer(name: str) -> str:
+    """Where the public tokenizer's file lies; it is installed with the Python environment of every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_by_source(documents(spark, sf_dir).select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"), limit=4096, end_id=1)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -30,6 +47,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op2_mix_sources", op2_mix_sources),
+    Query("op3_pack_sequences", op3_pack_sequences),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
     Query("op9_simhash", op9_simhash),
 ]
