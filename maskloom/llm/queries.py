@@ -9,6 +9,7 @@ from maskloom.llm.common import LOWER, UPPER, documents
 from maskloom.llm.exact import exact_duplicates
 from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.packing import pack_documents
+from maskloom.llm.quality import resample
 from maskloom.llm.simhash import near_duplicates
 from maskloom.plans.tables import Query
 
@@ -41,6 +42,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), label="quality")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,5 +55,6 @@ QUERIES = [
     Query("op2_mix_sources", op2_mix_sources),
     Query("op3_pack_sequences", op3_pack_sequences),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
+    Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
 ]
