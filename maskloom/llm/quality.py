@@ -3,14 +3,17 @@
 Each text gives n-grams in three views, hashed into one table of buckets: words and
 pairs of words, shapes of words and pairs of shapes, and how recently a word
 occurred before. Two bags of n-grams are fitted, one on labelled target documents
-and one on all raw text; a document's importance is the log of their ratio, summed
-over its n-grams. The k documents with the largest importance plus Gumbel noise are
+and one on all raw text; a document's importance is the log of their ratio for
+``DRAWN`` n-grams drawn from it, that is, its mean log-ratio times ``DRAWN``, so that
+length alone favours no document. The k documents with the largest importance plus Gumbel noise are
 a sample without replacement in proportion to importance. k is the number of
-documents whose importance lies above the level that tells the labelled ones best
+documents whose importance lies above the level that tells labelled ones best
 apart.
 
-The target is fitted on at most ``MAX_LABELS`` labelled documents, the first by a
-hash of their id; counts of raw text, scores and the sample cover every document.
+At most ``MAX_LABELS`` labelled documents are used, the first by a hash of their id.
+Every other one fits the target and the rest set the level, which therefore holds
+for documents that the target has not seen. Counts of raw text, scores and the
+sample cover every document.
 
 Cases: a null or empty text has no n-gram and importance 0; labels without a
 document and null labels are ignored; without target labels nothing can be told and
@@ -33,13 +36,16 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import fresh, whole_text
 from maskloom.sources.scratch import measured, settled
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 MAX_LABELS = 20_000
 PRIOR = 0.5  # added to each count
+DRAWN = 100.0
+NEUTRAL = 20.0  # n-grams of ratio 1 added to each text: a few words tell little
 MOST = 8.0  # of one n-gram's log-ratio: words of one view must not drown the others
 CACHED_WORDS = 400_000
 BLOCK_BYTES = 1 << 22
 BINS = 2048
+LOSS = 10.0
 
 
 def _ngrams():
@@ -122,10 +128,12 @@ class Model:
     ratio: np.ndarray  # log(target / raw) of each bucket
 
 
-def with_labels(df: DataFrame, labels: DataFrame, id_col: str, label: str, name: str) -> DataFrame:
-    """``df`` with column ``name``: the label of at most ``MAX_LABELS`` documents, else null."""
+def with_labels(df: DataFrame, labels: DataFrame, id_col: str, label: str, name: str, fold: str) -> DataFrame:
+    """``df`` with columns ``name``, the label of at most ``MAX_LABELS`` documents, else null, and ``fold``, whether it fits the target."""
     told = labels.select(F.col(id_col).alias("_lid"), F.col(label).cast("int").alias(name)).dropna().groupBy("_lid").agg(F.min(name).alias(name))
     first = told.orderBy(F.xxhash64("_lid"), "_lid").limit(MAX_LABELS)
+    fits = F.pmod(F.xxhash64("_lid", F.lit("fold")), F.lit(2)) == 0
+    first = first.withColumn(fold, fits)
     # At most MAX_LABELS rows.
     return df.join(F.broadcast(first), F.col(id_col) == F.col("_lid"), "left").drop("_lid")
 
@@ -152,19 +160,19 @@ def _scorer(model: Model):
                 bucket, owner = ngrams(texts)
                 importance[start : start + len(texts)] = np.bincount(owner, model.ratio[bucket], len(texts))
                 n[start : start + len(texts)] = np.bincount(owner, minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(importance)], ["id", "label", "n_grams", "importance"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(importance / (n + NEUTRAL) * DRAWN)], ["id", "label", "n_grams", "importance"])
 
     return run
 
 
 def best_level(values: np.ndarray, labels: np.ndarray) -> float:
-    """The level whose two sides hold the labels with the fewest errors, each label weighing the same in all."""
+    """The level that tells the labels best apart; each weighs the same in all, but a good one lost counts ``LOSS`` times."""
     order = np.argsort(values, kind="stable")
     v, good = values[order], labels[order] == 1
     if good.all() or not good.any():
         return -np.inf
     lost, caught = np.cumsum(good) / good.sum(), np.cumsum(~good) / (~good).sum()
-    at = int(np.argmax(np.where(np.append(v[1:] > v[:-1], True), caught - lost, -2)))
+    at = int(np.argmax(np.where(np.append(v[1:] > v[:-1], True), caught - LOSS * lost, -np.inf)))
     return float((v[at] + v[min(at + 1, len(v) - 1)]) / 2)
 
 
@@ -191,13 +199,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", seed: int = 42) -> DataFrame:
     """(id, n_grams, importance, noisy, kept), one row for each of ``df``."""
     text = df.select(F.col(id_col), whole_text(text_col).alias("text"))
-    labelled = with_labels(text, labels, id_col, label, "label")
-    model = fit(labelled.select("text", "label"))
+    labelled = with_labels(text, labels, id_col, label, "label", "fits")
+    model = fit(labelled.select("text", F.when(F.col("fits"), F.col("label")).alias("label")))
     kind = dict(df.dtypes)[id_col]
     if model is None:
         zero = F.lit(0.0)
         return df.select(F.col(id_col), F.lit(0).cast("bigint").alias("n_grams"), zero.alias("importance"), zero.alias("noisy"), F.lit(True).alias("kept"))
-    scored = labelled.select(F.col(id_col).alias("id"), "label", "text").mapInArrow(_scorer(model), f"id {kind}, label int, n_grams bigint, importance double")
+    level_label = F.when(~F.col("fits"), F.col("label")).alias("label")
+    scored = labelled.select(F.col(id_col).alias("id"), level_label, "text").mapInArrow(_scorer(model), f"id {kind}, label int, n_grams bigint, importance double")
     uniform = (F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = settled(scored.withColumn("noisy", F.col("importance") - F.log(-F.log(uniform))))
     # At most MAX_LABELS rows, unless a labelled id repeats.
