@@ -10,6 +10,7 @@ from maskloom.llm.exact import exact_duplicates
 from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import resample
+from maskloom.llm.secrets import digest, find_secrets
 from maskloom.llm.simhash import near_duplicates
 from maskloom.plans.tables import Query
 
@@ -51,10 +52,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 QUERIES = [
     Query("op2_mix_sources", op2_mix_sources),
     Query("op3_pack_sequences", op3_pack_sequences),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
+    Query("op10_secrets", op10_secrets),
 ]
