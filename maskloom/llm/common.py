@@ -38,6 +38,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def worker_cache(name: str) -> dict:
+    """A dict that the tasks of one Python worker share; callers bound its size."""
+    import sys
+    from types import ModuleType
+
+    shared = sys.modules.setdefault("_maskloom_worker", ModuleType("_maskloom_worker"))
+    return shared.__dict__.setdefault(name, {})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,9 @@ from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import resample
 from maskloom.llm.secrets import digest, find_secrets
+from maskloom.llm.sharding import shard
 from maskloom.llm.simhash import near_duplicates
+from maskloom.llm.tokens import token_counts
 from maskloom.plans.tables import Query
 
 
@@ -22,6 +24,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_by_source(documents(spark, sf_dir).select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, most=2)
 
@@ -30,6 +36,11 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"), limit=4096, end_id=1)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard(documents(spark, sf_dir).select("doc_id", "text"), shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -57,8 +68,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op1_token_counts", op1_token_counts),
     Query("op2_mix_sources", op2_mix_sources),
     Query("op3_pack_sequences", op3_pack_sequences),
+    Query("op4_sharding", op4_sharding),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
