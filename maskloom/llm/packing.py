@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import whole_text, with_running_total
+from maskloom.llm.common import whole_text, with_running_total, worker_cache
 from maskloom.sources.scratch import settled
 
 LIMIT = 4096
@@ -36,7 +37,7 @@ FILLINGS, NODES = 48, 6000
 
 # --- token ids ---------------------------------------------------------------
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 BLOCK_CHARS = 1 << 21
 
 
@@ -61,7 +62,17 @@ def _encoder(path: str):
     word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\t-\r \x85\xa0{of['L']}{of['N']}]+")
     # Here letters are composed already and lower-casing goes letter by letter.
     odd = re.compile("[^\x00-įı-ɏ‐-‧]")
-    known: dict[str, bytes] = {}
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    known = worker_cache(path)
+
+    def learn(words: list[str]) -> None:
+        """All words in one text: the last id of each is marked as a word's end."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        data, cuts = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            raise ValueError("the tokenizer cuts words otherwise than expected")
+        known.update(zip(words, (data[a:b] for a, b in pairwise([0, *cuts])), strict=True))
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,9 +81,8 @@ def _encoder(path: str):
         cut = [None if odd.search(t) or any(s in t for s in special) else word.findall(t.lower()) for t in texts]
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list({w for words in cut if words for w in words if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        if new := list(set().union(*filter(None, cut)).difference(known)):
+            learn(new)
         for text, words in zip(texts, cut, strict=True):
             yield whole(text) if words is None else b"".join(map(known.__getitem__, words))
 
