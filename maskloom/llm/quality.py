@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import fresh, whole_text
+from maskloom.llm.common import fresh, whole_text, worker_cache
 from maskloom.sources.scratch import measured, settled
 
 BUCKETS = 1 << 13
 MAX_LABELS = 20_000
 PRIOR = 0.5  # added to each count
 DRAWN = 100.0
-NEUTRAL = 20.0  # n-grams of ratio 1 added to each text: a few words tell little
+NEUTRAL = 100.0  # n-grams of ratio 1 added to each text: a few words tell little
 MOST = 8.0  # of one n-gram's log-ratio: words of one view must not drown the others
 CACHED_WORDS = 400_000
 BLOCK_BYTES = 1 << 22
@@ -57,7 +57,7 @@ def _ngrams():
 
     hashed = xxhash.xxh64_intdigest
     classes = [(re.compile(p), r) for p, r in ((rb"[a-z\x80-\xff]+", b"a"), (rb"[A-Z]+", b"A"), (rb"[0-9]+", b"0"), (rb"([^a0A])\1+", rb"\1\1"))]
-    known: dict[bytes, tuple[int, int]] = {}
+    known = worker_cache("ngrams")
     mix = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
     views = [np.uint64(hashed(name)) for name in (b"word", b"words", b"shape", b"shapes", b"again")]
 
