@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import LOWER, UPPER, documents
 from maskloom.llm.exact import exact_duplicates
 from maskloom.llm.mixing import mix_by_source
+from maskloom.llm.neighbours import nearest
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import resample
 from maskloom.llm.secrets import digest, find_secrets
@@ -41,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = nearest(vectors.select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -72,6 +79,7 @@ QUERIES = [
     Query("op2_mix_sources", op2_mix_sources),
     Query("op3_pack_sequences", op3_pack_sequences),
     Query("op4_sharding", op4_sharding),
+    Query("op5_neighbours", op5_neighbours),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
