@@ -10,6 +10,7 @@ from maskloom.llm.exact import exact_duplicates
 from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.neighbours import nearest
 from maskloom.llm.packing import pack_documents
+from maskloom.llm.pseudo import pseudo_likelihood
 from maskloom.llm.quality import resample
 from maskloom.llm.secrets import digest, find_secrets
 from maskloom.llm.sharding import shard
@@ -61,6 +62,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM keyed WINDOW same AS (PARTITION BY text_sha256)"""
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), label="quality")
 
@@ -81,6 +86,7 @@ QUERIES = [
     Query("op4_sharding", op4_sharding),
     Query("op5_neighbours", op5_neighbours),
     Query("op6_exact_dedup", op6_exact_dedup, OP6),
+    Query("op7_pseudo_likelihood", op7_pseudo_likelihood),
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
     Query("op10_secrets", op10_secrets),
