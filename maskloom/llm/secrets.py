@@ -1,10 +1,11 @@
 """Secrets: fixed patterns, and random strings told by two character Markov models.
 
-The samples are labelled by the patterns: what they match is random, every other
-run of ``TRAIN_RUN`` or more identifier characters in the texts is ordinary. Both
-models count which character follows which, over all documents, and a run of
-``LEAST_RUN`` or more is a secret when its log-likelihood ratio is above
-``threshold``. Everything is DataFrame functions; the models are one array of
+The samples are labelled by patterns: what the patterns of secrets match is random;
+runs of ``TRAIN_RUN`` or more letters, with a few digits behind them or not, and plain
+numbers are ordinary; other runs, which may be either, teach nothing. Both models
+count which character follows which, over all documents, backed off to how frequent
+the character is, and a run of ``LEAST_RUN`` or more is a secret when its
+log-likelihood ratio is above ``threshold``. Everything is DataFrame functions; the models are one array of
 128 x 128 numbers in the plan.
 
 Cases: a null or empty text has no span; overlapping matches of different patterns
@@ -33,9 +34,11 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 TRAIN_RUN, LEAST_RUN = 8, 16
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{least},}}+"
+IN_RUN = "[A-Za-z0-9+/_-]"
+RUN = rf"(?<!{IN_RUN}){IN_RUN}{{{LEAST_RUN},}}+"
+ORDINARY = rf"(?<!{IN_RUN})(?={IN_RUN}{{{TRAIN_RUN}}})(?:[A-Za-z_-]++[0-9]{{0,4}}+|[0-9-]++)(?!{IN_RUN})"
 THRESHOLD = 10.0
-SMOOTH = 0.5
+SMOOTH, BACKED = 0.5, 10.0
 
 
 def _long_enough(spans: Column) -> Column:
@@ -74,7 +77,7 @@ def train(rows: DataFrame, text: str, spans: str) -> list[float] | None:
     # A text without its matches: each is one blank.
     plain = F.reduce(F.array(*[F.lit(p) for p in (ASSIGN, ACCESS, HEX)]), F.col(text), lambda t, p: F.regexp_replace(t, p, F.lit(" ")))
     plain = F.when(F.size(spans) > 0, plain).otherwise(F.col(text))
-    ordinary = F.regexp_extract_all(plain, F.lit(RUN.format(least=TRAIN_RUN)), F.lit(0))
+    ordinary = F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))
     random = F.transform(spans, random_part)
     samples = F.concat(F.transform(ordinary, lambda r: F.struct(F.lit(False).alias("random"), r.alias("run"))), F.transform(random, lambda r: F.struct(F.lit(True).alias("random"), r.alias("run"))))
     pairs = rows.select(F.explode(samples).alias("s")).select("s.random", F.explode(_pairs(F.col("s.run"))).alias("pair"))
@@ -84,11 +87,14 @@ def train(rows: DataFrame, text: str, spans: str) -> list[float] | None:
         counts[row["random"]][row["pair"]] = row["n"]
     if not any(counts[True]) or not any(counts[False]):
         return None
-    used = len({c for kind in counts.values() for pair, n in enumerate(kind) if n for c in divmod(pair, 128)})
+    after = {kind: [sum(n[c::128]) for c in range(128)] for kind, n in counts.items()}
+    used = sum(any(n[c] for n in after.values()) for c in range(128))
     ratio = []
-    for pair in range(16384):
-        first = pair // 128 * 128
-        p, q = ((counts[k][pair] + SMOOTH) / (sum(counts[k][first : first + 128]) + SMOOTH * used) for k in (True, False))
+    for a, b in (divmod(pair, 128) for pair in range(16384)):
+        p, q = (
+            (n[a * 128 + b] + BACKED * (after[kind][b] + SMOOTH) / (sum(after[kind]) + SMOOTH * used)) / (sum(n[a * 128 : a * 128 + 128]) + BACKED)
+            for kind, n in sorted(counts.items(), reverse=True)
+        )
         ratio.append(math.log(p / q))
     return ratio
 
@@ -101,7 +107,7 @@ def random_spans(text: Column, base: Column, ratio: list[float], threshold: floa
     def score(run: Column) -> Column:
         return F.aggregate(_pairs(run), F.lit(0.0), lambda total, pair: total + F.get(table, pair))
 
-    found = match_spans(text, RUN.format(least=LEAST_RUN))
+    found = match_spans(text, RUN)
     apart = F.filter(found, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return F.filter(apart, lambda r: score(r["hit"]) > threshold)
 

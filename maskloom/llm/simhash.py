@@ -51,13 +51,14 @@ def _fingerprint(text: str, words: int) -> int:
 
 
 def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of each text's word shingles, as a signed long."""
+    """(id, hash, fp): a hash of each text and the 64-bit SimHash of its word shingles, as signed longs."""
 
     @F.pandas_udf("bigint")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([_fingerprint(text, words) for text in texts], dtype="int64")
 
-    return df.select(F.col(id_col).alias("id"), fingerprint(whole_text(text_col)).alias("fp"))
+    text = whole_text(text_col)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), fingerprint(text).alias("fp"))
 
 
 def segments(distance: int) -> list[int]:
@@ -145,20 +146,28 @@ def hamming_links(nodes: DataFrame, distance: int) -> DataFrame:
     return grouped.mapInArrow(_linker(distance), "x bigint, y bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """(id, fp, component_id), one row for each of ``df``: the smallest id that links of at most ``distance`` bits reach."""
+def _members(df: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
     rows = settled(with_fingerprint(df, id_col, text_col, words))
     nodes = settled(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(hamming_links(nodes.select("fp"), distance), "x", "y")
     roots = settled(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    linked = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = settled(join_groups(roots, settled(roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")).join(linked, "root")), "root", "nodes").select("fp", "n", "component_id"))
-    return join_groups(rows, groups, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = settled(roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.min("least").alias("component_id")))
+    groups = settled(join_groups(roots, found, "root", "nodes").select("fp", "n", "component_id"))
+    return join_groups(rows, groups, "fp", "n")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """(id, fp, component_id), one row for each of ``df``: the smallest id that links of at most ``distance`` bits reach."""
+    return _members(df, id_col, text_col, words, distance).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component; all columns as they are."""
-    found = settled(near_duplicates(df.select(id_col, text_col), id_col, text_col, words, distance))
-    gone = settled(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(fresh(df, "_gone"))).distinct())
-    name = gone.columns[0]
-    return df.join(measured(gone), F.col(id_col) == F.col(name), "left_anti")
+    """The rows of ``df`` whose id is the smallest of their component; all columns as they are.
+
+    Rows repeated with the same id and text stay or go together.
+    """
+    key, gone = fresh(df, "_key"), fresh(df, "_gone")
+    found = settled(_members(df, id_col, text_col, words, distance))
+    out = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("id").alias(id_col), "hash").alias(gone))
+    keyed = df.withColumn(key, F.struct(F.col(id_col), F.xxhash64(whole_text(text_col)).alias("hash")))
+    return keyed.join(measured(settled(out.distinct())), F.col(key) == F.col(gone), "left_anti").drop(key)
