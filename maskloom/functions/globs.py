@@ -80,15 +80,10 @@ def _any_matches(path: Column, globs: Sequence[str], case_insensitive: bool) ->
     tests: list[Column] = []
     general: list[str] = []
     literal = [] if case_insensitive else [g for g in globs if not re.search(r"[*?\[]", g)]
-    if literal:
-        tests += [rooted.isin(literal), path.isin(literal), F.substring_index(path, "/", -1).isin(literal)]
-    literal = [] if case_insensitive else [g for g in globs if not re.search(r"[*?\[]", g)]
     if literal:
         tests += [rooted.isin(literal), path.isin(literal), F.substring_index(path, "/", -1).isin(literal)]
     for glob in globs:
         tail = glob[1:]
-        if glob in literal:
-            continue
         if glob in literal:
             continue
         plain_tail = not re.search(r"[*?\[]", tail)

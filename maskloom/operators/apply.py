@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from maskloom.functions.actions import rewrite, runs_on_jvm, triggered
 from maskloom.functions.binding import Step, fold, let
 from maskloom.functions.dialect import translate
 from maskloom.functions.pyrewrite import python_step
+from maskloom.operators.spans import with_changed_spans
 from maskloom.rules import Rule, active_rules
 
 
@@ -135,6 +135,8 @@ def rule_totals(stats: DataFrame, path: str = "path") -> DataFrame:
     """Replacements per file and rule, with totals per file and overall (``rollup``)."""
     # An outer explode: the plain one would add a filter that evaluates the rules twice.
     pairs = stats.select(F.col(path), F.explode_outer("by_rule").alias("rule", "n")).where(F.col("rule").isNotNull())
+    # Sums per file and rule first: the rollup expands those, not every line's.
+    pairs = pairs.groupBy(path, "rule").agg(F.sum("n").alias("n"))
     return (
         pairs.rollup(path, "rule")
         .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
@@ -142,38 +144,6 @@ def rule_totals(stats: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-SPANS = "array<struct<start:int,end:int>>"
-
-
-def _spans(before: str, after: str) -> list[dict[str, int]]:
-    from difflib import SequenceMatcher
-    from os.path import commonprefix
-
-    head = len(commonprefix([before, after]))
-    tail = len(commonprefix([before[head:][::-1], after[head:][::-1]]))
-    old, new = before[head : len(before) - tail], after[head : len(after) - tail]
-    spans: list[dict[str, int]] = []
-    for tag, _, _, low, high in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag not in ("replace", "insert"):
-            continue
-        if spans and spans[-1]["end"] == low + head:
-            spans[-1]["end"] = high + head
-        else:
-            spans.append({"start": low + head, "end": high + head})
-    return spans
-
-
-def changed_spans(before: Column, after: Column) -> Column:
-    """Output-side spans that differ, after setting aside the common head and tail."""
-
-    @F.pandas_udf(SPANS)
-    def spans(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else _spans(a, b) for a, b in zip(old, new)])
-
-    # Not to be copied into filters: an explode of the spans would run it twice.
-    return spans.asNondeterministic()(before, after)
-
-
 def audit_lines(
     df: DataFrame, rules: Sequence[Rule], salt: str = "", col: str = "line", spans: bool = True
 ) -> DataFrame:
@@ -184,9 +154,4 @@ def audit_lines(
         changed = df.select("*", F.explode(kept).alias("line_out"))
     else:
         changed = apply_rules(df, rules, salt, col).where(F.col(col) != F.col("line_out"))
-    if not spans:
-        return changed
-    # Read twice, the rewritten line stays a column of its own below the UDF: a UDF
-    # cannot take nested lambdas as its argument.
-    after = F.when(F.col("line_out").isNotNull(), F.col("line_out"))
-    return changed.withColumn("spans", changed_spans(F.col(col), after))
+    return with_changed_spans(changed, rules, salt, col) if spans else changed

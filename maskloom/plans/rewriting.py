@@ -171,7 +171,65 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = apply.audit_lines(t.document_lines(spark, sf_dir), DOCUMENT_RULES, SALT)
     spans = changed.select("path", "line_no", F.posexplode("spans").alias("span_no", "span"))
-    return spans.select("path", "line_no", "span_no", "span.start", "span.end")
+    return spans.select("path", "line_no", F.col("span_no").cast("bigint").alias("span_no"), F.col("span.start").cast("bigint").alias("start"), F.col("span.end").cast("bigint").alias("end"))
+
+
+def _alike_sql(a: str, b: str) -> str:
+    same = f"list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda j: {a}[j] = {b}[j]), false)"
+    return f"CASE WHEN coalesce({same}, 0) > 0 THEN {same} - 1 ELSE least(length({a}), length({b})) END"
+
+
+def _marks_sql(number: int, text: str, pattern: str, guard: str, value: Callable[[str], str]) -> str:
+    """Marks after one rule, from those before it: a CTE for each, beside the texts."""
+    before = f"m{number - 1}"
+    gaps, hits = f"string_split_regex({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
+    return f"""
+k{number} AS (
+  SELECT *, CASE WHEN {guard} THEN {gaps} ELSE [{text}] END AS gaps,
+    list_transform(CASE WHEN {guard} THEN {hits} ELSE [] END, lambda h: {{'h': h, 'v': {value("h")}}}) AS edits
+  FROM m{number - 1}
+),
+p{number} AS (
+  SELECT *, list_transform(edits, lambda e: {{'h': e.h, 'v': e.v, 'a': {_alike_sql("e.h", "e.v")}}}) AS heads,
+    list_transform(range(1, len(gaps) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i - 1], lambda g: length(g))), 0)
+      + coalesce(list_sum(list_transform(edits[1:i - 1], lambda e: length(e.h))), 0)) AS starts
+  FROM k{number}
+),
+t{number} AS (
+  SELECT *, list_transform(heads, lambda e: {{'h': e.h, 'v': e.v, 'a': e.a,
+    'z': {_alike_sql("reverse(substr(e.h, e.a + 1))", "reverse(substr(e.v, e.a + 1))")}}}) AS tails
+  FROM p{number}
+),
+m{number} AS (
+  SELECT * EXCLUDE ({before}, gaps, edits, heads, starts, tails), array_to_string(list_transform(range(1, len(gaps) + 1), lambda i:
+    substr({before}, starts[i]::BIGINT + 1, length(gaps[i]))
+    || CASE WHEN i > len(tails) THEN '' ELSE
+      substr({before}, (starts[i] + length(gaps[i]))::BIGINT + 1, tails[i].a)
+      || repeat('1', (length(tails[i].v) - tails[i].a - tails[i].z)::BIGINT)
+      || substr({before}, (starts[i] + length(gaps[i]) + length(tails[i].h) - tails[i].z)::BIGINT + 1, tails[i].z) END), '') AS m{number}
+  FROM t{number}
+)"""
+
+
+_OCTET = r"\b(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\b"
+AUDIT_SPANS_SQL = with_tables(
+    t.DOCUMENT_LINES,
+    DOC_STEPS,
+    "m0 AS (SELECT path, line_no, line, l1, l2, l3, l4, line_out, repeat('0', length(line)) AS m0 FROM s5 WHERE line <> line_out)",
+    _marks_sql(1, "line", EMAIL, "contains(line, '@')", hash_sql("[EMAIL:", "]", 16)),
+    _marks_sql(2, "l1", _OCTET, "contains(l1, '.')", lambda h: rf"regexp_replace({h}, '{_OCTET}', '\1.***.***.\4')"),
+    _marks_sql(3, "l2", '(?i)token = "([0-9a-f]+)"', "contains(lower(l2), 'token')", lambda _: "'token = \"[TOKEN]\"'"),
+    _marks_sql(4, "l3", r"\b\d{16}\b", "true", lambda h: f"repeat('*', 12) || right({h}, 4)"),
+    _marks_sql(5, "l4", r"\+1 \(\d{3}\) \d{3}-\d{4}", "contains(l4, '+1')", lambda _: "''"),
+    """runs AS (
+      SELECT path, line_no, string_split_regex(m5, '1+') AS gaps, regexp_extract_all(m5, '1+') AS hits FROM m5
+    ),
+    numbered AS (SELECT *, unnest(range(0, len(hits))) AS span_no FROM runs)""",
+    body="""SELECT path, line_no, span_no, start, start + length(hits[span_no + 1]) AS "end" FROM (
+      SELECT *, (list_sum(list_transform(gaps[1:span_no + 1], lambda g: length(g)))
+        + coalesce(list_sum(list_transform(hits[1:span_no], lambda h: length(h))), 0))::BIGINT AS start FROM numbered
+    )""",
+)
 
 
 def rule_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,6 +497,6 @@ QUERIES = [
             t.DOCUMENT_LINES, DOC_STEPS, body="SELECT path, line_no, line, line_out FROM s5 WHERE line <> line_out"
         ),
     ),
-    Query("audit_spans", audit_spans),
+    Query("audit_spans", audit_spans, AUDIT_SPANS_SQL),
     Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_DOCUMENTS_BACK)),
 ]
