@@ -23,14 +23,16 @@ def with_global_index(df: DataFrame, order: str, out: str = "idx") -> DataFrame:
     Rows are range-partitioned and written once; each partition is numbered on its
     own and shifted by the sizes of the partitions before it.
     """
-    placed = settled(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    own = Window.partitionBy("_part").orderBy(order)
+    # A hash of the row parts equal keys: they fill several partitions and keep their order in every run.
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    placed = settled(tied.repartitionByRange(order, "_tie").withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(order, "_tie")
     # One row per partition, so this window and the broadcast stay small.
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     ranked = placed.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(out, F.col("_rank") + F.col("_offset")).drop("_part", "_rank", "_offset")
+    return ranked.withColumn(out, F.col("_rank") + F.col("_offset")).drop("_part", "_rank", "_offset", "_tie")
 
 
 def safe_name(name: Column) -> Column:

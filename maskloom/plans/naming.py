@@ -22,18 +22,19 @@ SHAPES = (
 
 
 def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, name): one awkward name per page, and a long one now and then."""
-    pages = t.table(spark, sf_dir, "pages", "page_id")
+    """(page_id, name): an awkward name made of the end of each page's URL, now and then a long one of all of it."""
+    pages = t.table(spark, sf_dir, "pages", "page_id", "url")
+    end = F.concat(F.substring_index("url", "/", -1), t.text_of("page_id"))
     shape = F.element_at(F.array(*[F.lit(s) for s in SHAPES]), (F.col("page_id") % len(SHAPES) + 1).cast("int"))
-    name = F.replace(shape, F.lit("{}"), t.text_of("page_id"))
-    long = F.repeat(F.lit("x"), F.col("page_id").cast("int"))
+    name = F.replace(shape, F.lit("{}"), end)
+    long = F.repeat(F.translate("url", "/:?#", "____"), (F.col("page_id") % 12).cast("int"))
     return pages.select("page_id", F.when(F.col("page_id") % 5 == 4, long).otherwise(name).alias("name"))
 
 
 ODD_NAMES = """
 odd_names AS (
-  SELECT page_id, CASE WHEN page_id % 5 = 4 THEN repeat('x', page_id::INT)
-    ELSE replace(([{}])[(page_id % {} + 1)::INT], '{{}}', page_id::VARCHAR) END AS name
+  SELECT page_id, CASE WHEN page_id % 5 = 4 THEN repeat(translate(url, '/:?#', '____'), page_id % 12)
+    ELSE replace(([{}])[(page_id % {} + 1)::INT], '{{}}', regexp_extract(url, '[^/]*$') || page_id) END AS name
   FROM pages
 )""".format(", ".join("'" + s.replace("\t", "' || chr(9) || '") + "'" for s in SHAPES), len(SHAPES))
 

@@ -16,6 +16,7 @@ from maskloom.plans import tables as t
 from maskloom.plans.rewriting import DOCUMENT_RULES
 from maskloom.plans.tables import Query, with_tables
 from maskloom.sources.archives import expand_archives, whole_bundles
+from maskloom.sources.scratch import settled
 
 PATTERNS = ("*.log", "!*-1*.log", "*/en/*", "!*krb5.conf", "?xample.net/d[a-e]/*", "!*[!0-9].pem")
 
@@ -143,7 +144,7 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([packed(k, x, lang) for k, x, lang in zip(keys, texts, langs)])
 
-    docs = t.spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = t.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     suffix = F.when(F.col("doc_id") % 2 == 1, F.lit(".tar.gz")).otherwise(F.lit(".zip"))
     name = F.concat(F.lit("doc-"), t.padded(F.col("doc_id"), 10), suffix)
     return docs.select(name.alias("bundle"), pack("doc_id", "text", "lang").alias("content"))
@@ -151,7 +152,8 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of sound archives, and one row for every archive that failed."""
-    members = expand_archives(packed_documents(spark, sf_dir))
+    # Unpacked once: both parts and the list of broken bundles read the table.
+    members = settled(expand_archives(packed_documents(spark, sf_dir)))
     nothing = F.lit(None).cast("string")
     sound = whole_bundles(members).select("bundle", "rel_path", decode_text(F.col("content")).alias("text"), F.lit(False).alias("failed"))
     failed = members.where("error IS NOT NULL").select("bundle", nothing.alias("rel_path"), nothing.alias("text"), F.lit(True).alias("failed"))

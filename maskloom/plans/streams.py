@@ -12,13 +12,16 @@ from maskloom.plans import detecting
 from maskloom.plans import tables as t
 from maskloom.plans.rewriting import DOC_STEPS, DOCUMENT_RULES, SALT
 from maskloom.plans.tables import Query, with_tables
+from maskloom.sources.files import qualified
 from maskloom.streaming.operators import detection_rate, drain, drain_complete
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream: a folder of part files as it is, a single file by its name in its folder."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return t.spread(spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir), path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    _, single = qualified(spark, path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else reader.parquet(path)
 
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,17 +30,22 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = t.secret_lines_of(_stream(spark, sf_dir, "orders"))
+    keep = ("path", "line_no", "line")
+    lines = t.secret_lines_of(_stream(spark, sf_dir, "orders")).select(*keep)
+    lines = lines.unionByName(t.document_lines_of(_stream(spark, sf_dir, "documents")).select(*keep))
     return drain_complete(matches_by_kind(detections(lines)))
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows only: those the watermark has not passed come out when later events arrive."""
     rates = drain(detection_rate(t.kv_lines_of(_stream(spark, sf_dir, "events"))))
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     return rates.withColumns(times)
 
 
-_SECRETS_ONLY = "scan_lines AS (SELECT path, line_no, line FROM secret_lines)"
+_SECRETS_AND_TEXTS = """scan_lines AS (
+  SELECT path, line_no, line FROM secret_lines UNION ALL SELECT path, line_no, line FROM doc_lines
+)"""
 _KV_ONLY = "scan_lines AS (SELECT path, line_no, line FROM kv_lines)"
 
 QUERIES = [
@@ -49,7 +57,7 @@ QUERIES = [
     Query(
         "stream_matches_by_kind",
         counted,
-        with_tables(t.SECRET_LINES, _SECRETS_ONLY, detecting.ALL_FOUND, body="SELECT kind, count(*) AS n FROM found GROUP BY kind"),
+        with_tables(t.DOCUMENT_LINES, t.SECRET_LINES, _SECRETS_AND_TEXTS, detecting.ALL_FOUND, body="SELECT kind, count(*) AS n FROM found GROUP BY kind"),
     ),
     Query(
         "stream_detection_rate",

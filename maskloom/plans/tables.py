@@ -8,15 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.operators.documents import documents_to_lines
 
-SPREAD_BELOW = 128 << 20
-
 
 @dataclass(frozen=True)
 class Query:
@@ -25,27 +22,6 @@ class Query:
     sql: str | None = None
 
 
-@lru_cache(maxsize=256)
-def _bytes_of(spark: SparkSession, path: str) -> int:
-    """Size of a table's files. Only names and lengths are listed, no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.agg(F.sum("length")).first()[0] or 0
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Use all cores on a table too small to fill one scan task per core.
-
-    Pattern matching outweighs moving a few megabytes; a larger table is left as
-    the scan split it.
-    """
-    spark = df.sparkSession
-    return df.repartition(spark.sparkContext.defaultParallelism) if _bytes_of(spark, path) < SPREAD_BELOW else df
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name, *columns), f"{sf_dir}/{name}.parquet")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -76,7 +52,7 @@ def document_lines_of(documents: DataFrame) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines_of(spread_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return document_lines_of(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
 DOCUMENTS = """
@@ -105,7 +81,7 @@ doc_lines AS (
 # --- derived lines -----------------------------------------------------------
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv_lines_of(spread_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
+    return kv_lines_of(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
 
 
 def kv_lines_of(events: DataFrame) -> DataFrame:
@@ -135,7 +111,7 @@ kv_lines AS (
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_lines_of(spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    return secret_lines_of(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
 
 
 def secret_lines_of(orders: DataFrame) -> DataFrame:
@@ -166,7 +142,7 @@ secret_lines AS (
 
 def date_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with and without padding, date-times and impossible dates from ``orders``."""
-    o = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     unpadded = F.concat_ws("/", F.day(day), F.month(day), F.year(day))
     return o.select(
@@ -222,29 +198,23 @@ ENDINGS = (".tar.gz", ".log", "/server.pem", "/krb5.conf", "/App-stacktrace.LOG"
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle, rel_path, length): page URLs as a catalogue of files; the language is the bundle."""
+    """(bundle, rel_path, length): whole page URLs but for the scheme as a catalogue of files; the language is the bundle."""
     p = table(spark, sf_dir, "pages", "page_id", "url")
-    plain = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"(/|[?#].*)$", "")
-    host, lang = F.substring_index(plain, "/", 1), F.split_part(plain, F.lit("/"), F.lit(2))
+    plain = F.regexp_replace("url", r"^https?://", "")
+    lang = F.regexp_extract(plain, "^[^/]*/([^/?#]*)", 1)
     ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
-    domain = F.substring_index(host, ".", -2)
-    rest = F.regexp_replace(F.split_part(plain, F.lit("/"), F.lit(3)), r"\.html$", "")
     return p.select(
         lang.alias("bundle"),
-        F.concat(domain, F.lit("/"), lang, F.lit("/"), rest, F.lit("-"), text_of("page_id"), ending).alias("rel_path"),
+        F.concat(plain, F.lit("-"), text_of("page_id"), ending).alias("rel_path"),
         F.length("url").cast("bigint").alias("length"),
     )
 
 
 PAGE_PATHS = rf"""
-page_parts AS (
-  SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://', ''), '(/|[?#].*)$', '') AS plain FROM pages
-),
+page_parts AS (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS plain FROM pages),
 page_paths AS (
-  SELECT split_part(plain, '/', 2) AS bundle,
-         regexp_extract(split_part(plain, '/', 1), '[^.]+\.[^.]+$') || '/' || split_part(plain, '/', 2) || '/'
-         || regexp_replace(split_part(plain, '/', 3), '\.html$', '') || '-' || page_id
-         || (['{"', '".join(ENDINGS)}'])[(page_id % {len(ENDINGS)} + 1)::INT] AS rel_path,
+  SELECT regexp_extract(plain, '^[^/]*/([^/?#]*)', 1) AS bundle,
+         plain || '-' || page_id || (['{"', '".join(ENDINGS)}'])[(page_id % {len(ENDINGS)} + 1)::INT] AS rel_path,
          length(url) AS length
   FROM page_parts
 )"""
@@ -258,7 +228,7 @@ HEADS = ("", "", "255044462D", "89504E470D0A1A0A", "FFD8FF", "1F8B08", "00", "01
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bundle, rel_path, length, content): texts as bytes, some with a binary head or a stray byte."""
-    docs = spread_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     key = F.col("doc_id")
     head = F.element_at(F.array(*[F.lit(h) for h in HEADS]), (key % len(HEADS) + 1).cast("int"))
     # An odd Latin-1 byte makes every third text invalid as UTF-8.

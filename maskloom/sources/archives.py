@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import posixpath
 import tarfile
 import zipfile
 import zlib
@@ -13,6 +14,7 @@ from typing import BinaryIO
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from maskloom.sources.scratch import measured, settled
 from maskloom.sources.trees import opened
 
 MEMBERS = "bundle string, rel_path string, content binary, error string"
@@ -26,7 +28,9 @@ BROKEN = (ValueError, OSError, EOFError, RuntimeError, zlib.error, tarfile.TarEr
 
 
 def _checked(name: str, size: int) -> None:
-    if name.startswith(("/", "\\")) or ".." in name.split("/"):
+    """A member must come to lie below its bundle, whatever turns its path takes."""
+    resolved = posixpath.normpath(posixpath.join("bundle", name.replace("\\", "/")))
+    if not resolved.startswith("bundle/"):
         raise ValueError(f"unsafe member path: {name}")
     if size > MEMBER_LIMIT:
         raise ValueError(f"member too large for one row: {name}")
@@ -115,4 +119,4 @@ def expand_archive_files(df: DataFrame, bundle: str = "bundle", path: str = "pat
 def whole_bundles(members: DataFrame) -> DataFrame:
     """Members of sound bundles only: one unreadable member rejects its bundle."""
     broken = members.where("error IS NOT NULL").select("bundle").distinct()
-    return members.join(broken, "bundle", "left_anti")
+    return members.join(measured(settled(broken)), "bundle", "left_anti")

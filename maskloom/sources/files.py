@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, path: str, bundle: str | None = None, comple
     uses it. ``complete`` adds the empty and hidden files Spark's file source passes
     over, and drops what it reaches through symbolic links.
     """
-    root, single = _qualified(spark, path)
+    root, single = qualified(spark, path)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.substring("path", F.lit(root.rfind("/") + 2 if single else len(root) + 2), F.length("path"))
     files = found.select(below.alias("rel_path"), "length", "content")
@@ -37,7 +37,7 @@ def read_files(spark: SparkSession, path: str, bundle: str | None = None, comple
     return files.select(F.lit(name).alias("bundle"), "rel_path", "length", "content")
 
 
-def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
     """The path as Spark's sources spell it, and whether it is a single file."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = location.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -19,7 +19,11 @@ def detection_rate(
     delay: str = "10 minutes",
     col: str = "line",
 ) -> DataFrame:
-    """Detections per kind and event-time window; rows later than ``delay`` are dropped."""
+    """Detections per kind and event-time window; rows later than ``delay`` are dropped.
+
+    On a stream in append mode a window comes out once the watermark has passed its
+    end, so the last windows of a drained input wait for later events.
+    """
     timed = lines.withColumn(ts, F.col(ts).cast("timestamp"))
     timed = timed.withWatermark(ts, delay) if timed.isStreaming else timed
     found = detections(timed, names, col, keep=(ts,))
@@ -47,6 +51,8 @@ def drain_complete(stream: DataFrame) -> DataFrame:
     """Run a complete-mode aggregation over all available input; the last full result is the table."""
     spark = stream.sparkSession
     folder = new_folder(spark, "stream")
+    # Without any input no batch is ever published: the result is then empty.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/table")
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table")
