@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +42,29 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that the tasks of one Python worker share; callers bound its size."""
+    """A dict that the tasks of one Python worker share, one at a time: asking for another drops it.
+
+    Callers bound its size.
+    """
     import sys
     from types import ModuleType
 
-    shared = sys.modules.setdefault("_maskloom_worker", ModuleType("_maskloom_worker"))
-    return shared.__dict__.setdefault(name, {})
+    shared = sys.modules.setdefault("_maskloom_worker", ModuleType("_maskloom_worker")).__dict__
+    if shared.get("_held") != name:
+        shared.get("_words", {}).clear()
+        shared.update(_held=name, _words={})
+    return shared["_words"]
+
+
+def text_blocks(texts: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch as bytes in blocks of about ``most`` bytes, with the place of the first."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, texts.slice(start, end - start).cast(pa.binary()).to_pylist()
+        start = end
 
 
 def partitions(spark: SparkSession) -> int:

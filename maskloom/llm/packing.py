@@ -37,8 +37,8 @@ FILLINGS, NODES = 48, 6000
 
 # --- token ids ---------------------------------------------------------------
 
-CACHED_WORDS = 600_000
-BLOCK_CHARS = 1 << 21
+CACHED_WORDS = 300_000
+BLOCK_CHARS = 1 << 20
 
 
 def _encoder(path: str):

@@ -30,10 +30,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import fresh, whole_text, worker_cache
+from maskloom.llm.common import fresh, text_blocks, whole_text, worker_cache
 from maskloom.sources.scratch import measured, settled
 
 BUCKETS = 1 << 13
@@ -42,8 +42,8 @@ PRIOR = 0.5  # added to each count
 DRAWN = 100.0
 NEUTRAL = 100.0  # n-grams of ratio 1 added to each text: a few words tell little
 MOST = 8.0  # of one n-gram's log-ratio: words of one view must not drown the others
-CACHED_WORDS = 400_000
-BLOCK_BYTES = 1 << 22
+CACHED_WORDS = 300_000
+BLOCK_BYTES = 1 << 20
 BINS = 2048
 LOSS = 10.0
 
@@ -97,25 +97,12 @@ def _ngrams():
     return run
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts of a batch in blocks of bounded size, with the place of the first."""
-    held, size, start = [], 0, 0
-    for i, text in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
-        held.append(text)
-        size += len(text)
-        if size > BLOCK_BYTES:
-            yield start, held
-            held, size, start = [], 0, i + 1
-    if held:
-        yield start, held
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label or null) to counts of raw and target n-grams by bucket."""
     ngrams, raw, target = _ngrams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         good = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1
-        for start, texts in _blocks(batch, 0):
+        for start, texts in text_blocks(batch.column(0), BLOCK_BYTES):
             bucket, owner = ngrams(texts)
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[good[start + owner]], minlength=BUCKETS)
@@ -129,13 +116,13 @@ class Model:
 
 
 def with_labels(df: DataFrame, labels: DataFrame, id_col: str, label: str, name: str, fold: str) -> DataFrame:
-    """``df`` with columns ``name``, the label of at most ``MAX_LABELS`` documents, else null, and ``fold``, whether it fits the target."""
+    """``df`` (with what labels name as ``_by``) with columns ``name``, the label of at most ``MAX_LABELS`` documents, else null, and ``fold``, whether it fits the target."""
     told = labels.select(F.col(id_col).alias("_lid"), F.col(label).cast("int").alias(name)).dropna().groupBy("_lid").agg(F.min(name).alias(name))
     first = told.orderBy(F.xxhash64("_lid"), "_lid").limit(MAX_LABELS)
     fits = F.pmod(F.xxhash64("_lid", F.lit("fold")), F.lit(2)) == 0
     first = first.withColumn(fold, fits)
     # At most MAX_LABELS rows.
-    return df.join(F.broadcast(first), F.col(id_col) == F.col("_lid"), "left").drop("_lid")
+    return df.join(F.broadcast(first), F.col("_by") == F.col("_lid"), "left").drop("_lid", "_by")
 
 
 def fit(labelled: DataFrame) -> Model | None:
@@ -156,7 +143,7 @@ def _scorer(model: Model):
         ngrams = _ngrams()
         for batch in batches:
             importance, n = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for start, texts in _blocks(batch, 2):
+            for start, texts in text_blocks(batch.column(2), BLOCK_BYTES):
                 bucket, owner = ngrams(texts)
                 importance[start : start + len(texts)] = np.bincount(owner, model.ratio[bucket], len(texts))
                 n[start : start + len(texts)] = np.bincount(owner, minlength=len(texts))
@@ -196,9 +183,9 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", seed: int = 42) -> DataFrame:
-    """(id, n_grams, importance, noisy, kept), one row for each of ``df``."""
-    text = df.select(F.col(id_col), whole_text(text_col).alias("text"))
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", seed: int = 42, by: Column | None = None) -> DataFrame:
+    """(id, n_grams, importance, noisy, kept), one row for each of ``df``; ``by`` says what the labels name, the id by default."""
+    text = df.select(F.col(id_col), (F.col(id_col) if by is None else by).alias("_by"), whole_text(text_col).alias("text"))
     labelled = with_labels(text, labels, id_col, label, "label", "fits")
     model = fit(labelled.select("text", F.when(F.col("fits"), F.col("label")).alias("label")))
     kind = dict(df.dtypes)[id_col]
@@ -207,7 +194,7 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return df.select(F.col(id_col), F.lit(0).cast("bigint").alias("n_grams"), zero.alias("importance"), zero.alias("noisy"), F.lit(True).alias("kept"))
     level_label = F.when(~F.col("fits"), F.col("label")).alias("label")
     scored = labelled.select(F.col(id_col).alias("id"), level_label, "text").mapInArrow(_scorer(model), f"id {kind}, label int, n_grams bigint, importance double")
-    uniform = (F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    uniform = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = settled(scored.withColumn("noisy", F.col("importance") - F.log(-F.log(uniform))))
     # At most MAX_LABELS rows, unless a labelled id repeats.
     told = scored.filter("label IS NOT NULL").select("importance", "label").limit(MAX_LABELS).toPandas()
@@ -219,6 +206,10 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", seed: int = 42) -> DataFrame:
     """The rows of ``df`` that the sample holds, all columns as they are."""
-    gone = fresh(df, "_gone")
-    out = settled(resample(df, labels, id_col, text_col, label, seed).filter("NOT kept").select(F.col(id_col).alias(gone)).distinct())
-    return df.join(measured(out), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    key, gone = fresh(df, "_key"), fresh(df, "_gone")
+    # Different texts of one id are judged apart.
+    keyed = df.withColumn(key, F.struct(F.col(id_col), F.xxhash64(whole_text(text_col)).alias("hash")))
+    told = labels.withColumn(key, F.col(id_col))
+    scored = resample(keyed, told, key, text_col, label, seed, by=F.col(key)[id_col])
+    out = settled(scored.filter("NOT kept").select(F.col(key).alias(gone)).distinct())
+    return keyed.join(measured(out), F.col(key) == F.col(gone), "left_anti").drop(key)
