@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.functions.globs import DEFAULT_EXCLUDES
 from maskloom.functions.text import decode_text, is_text
 from maskloom.operators.apply import apply_rules
 from maskloom.operators.documents import documents_to_lines
-from maskloom.operators.files import included_files
+from maskloom.operators.files import ANONYMISE
 from maskloom.rules import Rule
-from maskloom.sources.scratch import settled
-from maskloom.sources.trees import is_local, list_files, with_content
+from maskloom.sources.lines import dispositions, excluded_below, lines_of
+from maskloom.sources.trees import catalogue, is_local, list_files, local_path, with_content
 
 
 def read_files(spark: SparkSession, path: str, bundle: str | None = None, complete: bool = True) -> DataFrame:
@@ -53,71 +54,22 @@ def lines_of_files(files: DataFrame, keep: Sequence[str] = ("bundle", "rel_path"
 
 
 def read_lines(spark: SparkSession, path: str, exclude: Iterable[str] = (), defaults: bool = False) -> DataFrame:
-    """(bundle, rel_path, line_no, line, eol) of a directory tree or a single file."""
-    files = read_files(spark, path)
-    if defaults or exclude:
-        files = included_files(files, exclude, defaults=defaults)
-    return lines_of_files(files)
-
-
-# Blocks listed in at most about 200 MB are sent to every task; beyond that the join shuffles.
-BROADCAST_BLOCKS = 1_000_000
+    """(bundle, rel_path, line_no, line, eol) of a directory tree or a single file; files may have any size."""
+    root, single = qualified(spark, path)
+    exclude = list(exclude)
+    found = dispositions(catalogue(spark, [(root.rsplit("/", 1)[-1], root)]), exclude, defaults=defaults)
+    texts = found.where(F.col("disposition") == ANONYMISE)
+    plain = local_path(root) if is_local(root) else root
+    patterns = [*(DEFAULT_EXCLUDES if defaults else ()), *exclude]
+    excluded = None if single else excluded_below([plain], patterns)
+    return lines_of(spark, texts, [root], excluded)
 
 
 def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line, eol) of text files of any size, each split over many tasks.
-
-    Files are cut at ``\\n`` or ``\\r\\n``. Spark reads every block of a file in
-    order, so a line's number is its place in the block plus the lines of the
-    blocks before it. Whether the last line ends in a break follows from the file size.
-    """
-    raw = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_size").alias("size"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
-        )
-    )
-    # One row per block of a file.
-    blocks = settled(
-        raw.groupBy("path", "block").agg(
-            F.max("size").alias("size"),
-            F.min("seq").alias("first_seq"),
-            F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.octet_length("value") + 1).alias("n_bytes"),
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        )
-    )
-    in_file = Window.partitionBy("path")
-    before = in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.select(
-        "path",
-        "block",
-        "first_seq",
-        F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
-        F.sum("n_lines").over(in_file).alias("n_lines"),
-        (F.sum("n_bytes").over(in_file) > F.col("size")).alias("open_end"),
-        F.bool_and("utf8").over(in_file).alias("utf8"),
-    )
-    if blocks.count() <= BROADCAST_BLOCKS:
-        placed = F.broadcast(placed)
-    line_no = F.col("seq") - F.col("first_seq") + F.col("lines_before") + 1
-    content = F.col("value").cast("binary")
-    text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(content, "ISO-8859-1"))
-    joined = raw.join(placed, ["path", "block"]).select("path", line_no.alias("line_no"), text.alias("text"), "n_lines", "open_end")
-    last_open = (F.col("line_no") == F.col("n_lines")) & F.col("open_end")
-    returned = F.endswith("text", F.lit("\r")) & ~last_open
-    return joined.select(
-        "path",
-        "line_no",
-        F.when(returned, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")).alias("line"),
-        F.when(last_open, F.lit("")).when(returned, F.lit("\r\n")).otherwise(F.lit("\n")).alias("eol"),
-    )
+    """(path, line_no, line, eol) of the text files below ``path``."""
+    root, single = qualified(spark, path)
+    folder = root.rsplit("/", 1)[0] if single else root
+    return read_lines(spark, path).select(F.concat(F.lit(f"{folder}/"), "rel_path").alias("path"), "line_no", "line", "eol")
 
 
 def write_anonymised(

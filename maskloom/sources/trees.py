@@ -1,4 +1,4 @@
-"""Complete listings of directory trees.
+"""Complete listings of directory trees, and what Spark's sources leave out.
 
 Spark's file sources pass over empty files and names that begin with ``.`` or
 ``_``, and follow symbolic links on local storage. A listing made by tasks, one
@@ -100,6 +100,136 @@ def opened(location: str) -> BinaryIO:
     return store.open_input_file(path)
 
 
+CATALOGUE = "bundle string, rel_path string, location string, length bigint, error string"
+FOUND = f"{CATALOGUE}, is_dir boolean"
+
+
+def _entries_or_error(root: str, folder: str) -> Iterator[tuple[str, str, bool, int, str | None]]:
+    """(rel_path, location, is_dir, length, error) below one folder; a root may be a single file."""
+    base = local_path(root).rstrip("/") if is_local(root) else root.rstrip("/")
+    try:
+        if not folder and is_local(root):
+            if os.path.isfile(base):
+                yield base.rsplit("/", 1)[-1], base, False, os.path.getsize(base), None
+                return
+            os.listdir(base)
+        for rel_path, is_dir, length in (_local_entries if is_local(root) else _remote_entries)(base, folder):
+            yield rel_path, f"{base}/{rel_path}", is_dir, length, None
+    except OSError as exc:
+        yield folder, base, False, 0, f"unreadable: {type(exc).__name__}"
+
+
+def catalogue(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame:
+    """(bundle, rel_path, location, length, error) of every regular file below all (bundle, root), settled.
+
+    Tasks list the folders of all roots together, one level after the other. A root
+    that cannot be read is a row with ``error``.
+    """
+    columns = ["bundle", "rel_path", "location", "length", "error", "is_dir"]
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for bundle, root, folder in zip(batch["bundle"], batch["root"], batch["rel_path"]):
+                for rel_path, location, is_dir, length, error in _entries_or_error(root, folder):
+                    rows.append((bundle, rel_path, location, length, error, is_dir))
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+    roots = spark.createDataFrame([(bundle, root) for bundle, root in sources], "bundle string, root string")
+    folders = roots.withColumn("rel_path", F.lit(""))
+    found: DataFrame | None = None
+    while True:  # once per level of the trees
+        level = settled(folders.repartition("bundle", "rel_path").mapInPandas(expand, FOUND))
+        files = level.where(~F.col("is_dir")).drop("is_dir")
+        found = files if found is None else found.unionByName(files)
+        below = level.where("is_dir").select("bundle", "rel_path")
+        if below.isEmpty():
+            return settled(found)
+        folders = below.join(F.broadcast(roots), "bundle").select("bundle", "root", "rel_path")
+
+
+def with_head(files: DataFrame, size: int) -> DataFrame:
+    """Add ``head``, the first bytes of every listed file, and ``open_end``, whether its last line has no line feed.
+
+    A file that cannot be opened gets an ``error``.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told: list[tuple[bytes | None, bool, str | None]] = []
+            for location, length in zip(batch["location"], batch["length"]):
+                try:
+                    with opened(location) as file:
+                        head = file.read(size)
+                        file.seek(max(0, int(length) - 1))
+                        told.append((head, file.read(1) not in (b"", b"\n"), None))
+                except OSError as exc:
+                    told.append((None, False, f"unreadable: {type(exc).__name__}"))
+            heads, ends, errors = zip(*told) if told else ((), (), ())
+            yield batch.assign(error=errors, head=heads, open_end=ends)
+
+    columns = ["bundle", "rel_path", "location", "length"]
+    # Opening is slow and uneven: deal the files out before.
+    return files.select(*columns).repartition("location").mapInPandas(read, f"{CATALOGUE}, head binary, open_end boolean")
+
+
+def pieces(files: DataFrame, size: int = 64 << 20) -> DataFrame:
+    """(bundle, rel_path, piece_no, content): whole files of any length in pieces of bounded size, each read by itself."""
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0).cast("bigint"))))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with opened(row.location) as file:
+                    file.seek(row.piece_no * size)
+                    content = file.read(size)
+                yield pd.DataFrame({"bundle": [row.bundle], "rel_path": [row.rel_path], "piece_no": [row.piece_no], "content": [content]})
+
+    dealt = files.select("bundle", "rel_path", "location", number.alias("piece_no")).repartition("location", "piece_no")
+    return dealt.mapInPandas(read, "bundle string, rel_path string, piece_no bigint, content binary")
+
+
+def hidden_texts(files: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """(location, value, seq): records between line feeds of files that Spark's sources pass over, as bytes."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for location in batch["location"]:
+                rows, held, seq = [], 0, 0
+                with opened(location) as file:
+                    for record in _records(file):
+                        rows.append((location, record.removesuffix(b"\n"), seq))
+                        held, seq = held + len(record), seq + 1
+                        if held > size:
+                            yield pd.DataFrame(rows, columns=["location", "value", "seq"])
+                            rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["location", "value", "seq"])
+
+    return files.select("location").mapInPandas(read, "location string, value binary, seq bigint")
+
+
+def _records(file: BinaryIO) -> Iterator[bytes]:
+    held = b""
+    while chunk := file.read(1 << 20):
+        *whole, held = (held + chunk).split(b"\n")
+        yield from (record + b"\n" for record in whole)
+    if held:
+        yield held
+
+
+def created(location: str) -> BinaryIO:
+    """A new file for writing, on local or remote storage."""
+    if is_local(location):
+        os.makedirs(os.path.dirname(local_path(location)), exist_ok=True)
+        return open(local_path(location), "wb")
+    store, path = _remote_store(location)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path)
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """(rel_path, length, content) of listed files, read by the tasks that hold their rows."""
     base = root.rstrip("/")
