@@ -5,21 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.operators.bundles import bundle_summary
+from maskloom.functions.globs import DEFAULT_EXCLUDES, is_excluded
+from maskloom.functions.text import SNIFF_BYTES, is_text
+from maskloom.operators.bundles import bundle_base_name, bundle_summary
 from maskloom.operators.detect import DEFAULT_NAMES, detections
-from maskloom.operators.files import ANONYMISE, EXCLUDED, PASSTHROUGH, classify_files
+from maskloom.operators.files import ANONYMISE, EXCLUDED, PASSTHROUGH
 from maskloom.operators.pathmap import path_components, path_map
 from maskloom.operators.profile import profile_report
-from maskloom.rules import Rule, builtin_rules, merge_rules
-from maskloom.sources.archives import expand_archive_files
-from maskloom.sources.files import lines_of_files, read_files, write_anonymised
-from maskloom.sources.scratch import settled
+from maskloom.rules import Rule, active_rules, builtin_rules, merge_rules
+from maskloom.sources.archives import expand_archive_pieces
+from maskloom.sources.files import write_anonymised
+from maskloom.sources.lines import dispositions, excluded_below, lines_of, lines_of_pieces
+from maskloom.sources.scratch import measured, settled, temporary_tables
+from maskloom.sources.trees import catalogue, is_local, local_path
+from maskloom.sources.trees import pieces as file_pieces
 
-FILES = "bundle string, rel_path string, length bigint, content binary, error string"
 ARCHIVES = (".zip", ".tar.gz", ".tgz")
 
 
@@ -36,36 +39,30 @@ class Options:
     generated_at: str = ""
 
 
-def _archive_members(spark: SparkSession, archives: Sequence[str]) -> DataFrame:
-    """Members of all archives, unpacked once: later passes read them from shared storage."""
-    # One archive per task, so that they unpack side by side.
-    named = spark.createDataFrame([(path, path) for path in archives], "bundle string, path string")
-    members = settled(expand_archive_files(named.repartition(len(archives), "path")))
-    return members.select(
-        "bundle", "rel_path", F.octet_length("content").cast("bigint").alias("length"), "content", "error"
-    )
-
+def _archive_members(spark: SparkSession, archives: Sequence[str], options: Options) -> tuple[DataFrame, DataFrame]:
+    """Pieces of all archives' members, and their listing with dispositions.
 
-def read_bundles(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
-    """(bundle, rel_path, length, content, error) of directories, archives and single files.
-
-    The bundle is the source's path. A source that cannot be read is a row with ``error``.
+    Unpacked once. What is excluded leaves the unpacking task without its content.
     """
-    sources = list(sources)
-    archives = [source for source in sources if source.lower().endswith(ARCHIVES)]
-    parts = [_archive_members(spark, archives) if archives else spark.createDataFrame([], FILES)]
-    for source in sources:
-        if source in archives:
-            continue
-        try:
-            parts.append(read_files(spark, source, source).withColumn("error", F.lit(None).cast("string")))
-        except (AnalysisException, FileNotFoundError) as exc:
-            row = [(source, None, None, None, f"unreadable: {type(exc).__name__}")]
-            parts.append(spark.createDataFrame(row, FILES))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    schema = "bundle string, path string, turn int"
+    named = spark.createDataFrame([(path, path, i) for i, path in enumerate(archives)], schema)
+    # An archive cannot be split: each is one task, as far as there are tasks.
+    spread = named.repartitionByRange(max(1, len(archives)), "turn") if archives else named
+    excluded = is_excluded(F.col("rel_path"), [*DEFAULT_EXCLUDES, *options.exclude], options.exclude_any_case)
+    pieces = expand_archive_pieces(spread).withColumn("excluded", F.coalesce(excluded, F.lit(False)))
+    pieces = settled(pieces.withColumn("content", F.when(~F.col("excluded"), F.col("content"))))
+    first = F.max_by("head", F.when(F.col("piece_no") == 0, 1).otherwise(0))
+    members = pieces.withColumn("head", F.substring("content", 1, SNIFF_BYTES)).groupBy("bundle", "rel_path")
+    listed = members.agg(
+        F.sum(F.octet_length("content")).cast("bigint").alias("length"),
+        F.max("error").alias("error"),
+        F.bool_or("excluded").alias("excluded"),
+        first.alias("head"),
+    )
+    told = F.when(F.col("excluded"), F.lit(EXCLUDED)).when(
+        F.col("error").isNull(), F.when(is_text(F.col("head")), F.lit(ANONYMISE)).otherwise(F.lit(PASSTHROUGH))
+    )
+    return pieces, settled(listed.select("bundle", "rel_path", "length", "error", told.alias("disposition")))
 
 
 def anonymise(
@@ -74,28 +71,60 @@ def anonymise(
     """Rewrite bundles below ``target`` and return the summary per bundle and in total.
 
     ``lines`` and ``files`` hold the rewritten and the untouched files of sound bundles,
-    ``report`` the profile where asked for. A broken bundle is left out and counted.
+    ``report`` the profile where asked for, and ``complete`` comes last. A source that
+    cannot be read in whole, a single unreadable file included, is left out and
+    counted; the others go on. Nothing settled on the way is left behind.
     """
     merged = merge_rules(builtin_rules(), rules) if options.builtin else list(rules)
-    found = read_bundles(spark, sources)
-    marked = classify_files(found, options.exclude, options.exclude_any_case)
-    broken = found.where("error IS NOT NULL").select("bundle").distinct()
-    kept = marked.where((F.col("disposition") != EXCLUDED) & F.col("error").isNull()).join(broken, "bundle", "left_anti")
+    active_rules(merged)
+    with temporary_tables(spark):
+        summary = _anonymise(spark, list(dict.fromkeys(sources)), target, merged, options)
+        # One row a source.
+        return spark.createDataFrame(summary.collect(), summary.schema)
+
+
+def _anonymise(spark: SparkSession, sources: Sequence[str], target: str, rules: Sequence[Rule], options: Options) -> DataFrame:
+    archives = [source for source in sources if source.lower().endswith(ARCHIVES)]
+    folders = [source for source in sources if source not in archives]
+    key = ["bundle", "rel_path"]
+    listed = dispositions(catalogue(spark, [(f, f) for f in folders]), options.exclude, options.exclude_any_case)
+    pieces, members = _archive_members(spark, archives, options)
+    columns = [*key, "length", "error", "disposition"]
+    marked = listed.select(*columns).unionByName(members.select(*columns))
+    broken = settled(marked.where("error IS NOT NULL").select("bundle").distinct())
+    failed = {row["bundle"] for row in broken.collect()}
+    kept = marked.where(F.col("disposition") != EXCLUDED).join(F.broadcast(broken), "bundle", "left_anti")
+    names = kept.select(*key, F.col("bundle").alias("out_bundle"), F.col("rel_path").alias("out_path"))
+    order = spark.createDataFrame([(source, i) for i, source in enumerate(sources)], "bundle string, turn int")
+    if options.hide_names:
+        order = bundle_base_name(order, "bundle", "turn", hide_names=True, out="hidden").select("bundle", "hidden")
+        parts = path_components(kept.select(*key), rules, options.salt, scope=("bundle",))
+        renamed = path_map(parts, ("bundle",)).join(F.broadcast(order), "bundle")
+        names = renamed.select(*key, F.col("hidden").alias("out_bundle"), F.col("anon_path").alias("out_path"))
+        marked = marked.join(F.broadcast(order), "bundle").withColumn("bundle", F.col("hidden")).drop("hidden")
+    names = settled(names)
+
+    def published(rows: DataFrame, *columns: str) -> DataFrame:
+        """Under the names of the output. Rows stay where they are where the names are few."""
+        out = rows.join(measured(names), key).select(F.col("out_bundle").alias("bundle"), F.col("out_path").alias("rel_path"), *columns)
+        return out
+
+    wanted = F.broadcast(spark.createDataFrame([(name,) for name in sources if name not in failed], "bundle string"))
+    of_kind = lambda files, kind: files.where(F.col("disposition") == kind).join(wanted, "bundle", "left_semi")
+    texts = settled(of_kind(listed, ANONYMISE))
+    roots = [root for root in folders if root not in failed]
+    excluded = excluded_below([local_path(r) if is_local(r) else r for r in roots], [*DEFAULT_EXCLUDES, *options.exclude], options.exclude_any_case)
+    single = texts.where(F.col("location").isin(roots)).isEmpty()
+    lines = lines_of(spark, texts, roots, excluded if single else None)
+    text_pieces = pieces.join(measured(settled(of_kind(members, ANONYMISE).select(*key))), key, "left_semi")
+    lines = published(lines.unionByName(lines_of_pieces(text_pieces.select(*key, "piece_no", "content"))), "line_no", "line", "eol")
+    binary = pieces.join(measured(settled(of_kind(members, PASSTHROUGH).select(*key))), key, "left_semi").select(*key, "piece_no", "content")
+    binary = published(file_pieces(of_kind(listed, PASSTHROUGH)).unionByName(binary), "piece_no", "content")
     if options.profile:
-        lines = lines_of_files(kept, ("bundle", "rel_path")).withColumn("path", F.concat_ws("/", "bundle", "rel_path"))
-        texts = kept.where(F.col("disposition") == ANONYMISE).select(F.concat_ws("/", "bundle", "rel_path").alias("path"))
-        found_lines = detections(lines, options.detectors)
-        report = profile_report(found_lines, texts, options.detectors, options.max_examples, options.generated_at)
+        path = F.concat_ws("/", "bundle", "rel_path").alias("path")
+        text_names = published(of_kind(listed, ANONYMISE).select(*key).unionByName(of_kind(members, ANONYMISE).select(*key)))
+        found = detections(lines.withColumn("path", path), options.detectors)
+        report = profile_report(found, text_names.select(path), options.detectors, options.max_examples, options.generated_at)
         report.write.mode("errorifexists").json(f"{target}/report")
-    if options.hide_names:
-        parts = path_components(kept.select("bundle", "rel_path"), merged, options.salt, scope=("bundle",))
-        renamed = path_map(parts, ("bundle",))
-        kept = kept.join(renamed, ["bundle", "rel_path"]).withColumn("rel_path", F.col("anon_path")).drop("anon_path")
-    write_anonymised(
-        lines_of_files(kept.where(F.col("disposition") == ANONYMISE)),
-        merged,
-        target,
-        options.salt,
-        kept.where(F.col("disposition") == PASSTHROUGH),
-    )
+    write_anonymised(lines, rules, target, options.salt, binary)
     return bundle_summary(marked)

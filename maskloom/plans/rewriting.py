@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.operators import apply
-from maskloom.operators.documents import lines_to_documents
 from maskloom.plans import tables as t
 from maskloom.plans.tables import Query, with_tables
 from maskloom.rules import (
@@ -336,19 +335,18 @@ _AGE = Bucketize(
 
 
 def write_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish rewritten documents, then read the published lines back as documents."""
+    """Publish rewritten documents, then read the published lines back."""
+    from maskloom.sources.files import read_published
     from maskloom.sources.files import write_anonymised as publish
     from maskloom.sources.scratch import new_folder
 
     lines = t.document_lines(spark, sf_dir).withColumnRenamed("path", "rel_path")
     target = new_folder(spark, "published")
     publish(lines, DOCUMENT_RULES, target, SALT)
-    documents = lines_to_documents(spark.read.parquet(f"{target}/lines"), ("bundle", "rel_path"))
-    return documents.select("bundle", "rel_path", "text")
+    return read_published(spark, target)
 
 
-_DOCUMENTS_BACK = """SELECT bundle, path AS rel_path, string_agg(line_out || eol, '' ORDER BY line_no) AS text
-    FROM s5 GROUP BY bundle, path"""
+_LINES_BACK = "SELECT bundle, path AS rel_path, line_no, line_out AS line, eol FROM s5"
 
 
 QUERIES = [
@@ -498,5 +496,5 @@ QUERIES = [
         ),
     ),
     Query("audit_spans", audit_spans, AUDIT_SPANS_SQL),
-    Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_DOCUMENTS_BACK)),
+    Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_LINES_BACK)),
 ]

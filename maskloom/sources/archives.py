@@ -27,11 +27,15 @@ MEMBER_LIMIT = (2 << 30) - (64 << 10)
 BROKEN = (ValueError, OSError, EOFError, RuntimeError, zlib.error, tarfile.TarError, zipfile.BadZipFile, gzip.BadGzipFile)
 
 
-def _checked(name: str, size: int) -> None:
+def _inside(name: str) -> None:
     """A member must come to lie below its bundle, whatever turns its path takes."""
     resolved = posixpath.normpath(posixpath.join("bundle", name.replace("\\", "/")))
     if not resolved.startswith("bundle/"):
         raise ValueError(f"unsafe member path: {name}")
+
+
+def _checked(name: str, size: int) -> None:
+    _inside(name)
     if size > MEMBER_LIMIT:
         raise ValueError(f"member too large for one row: {name}")
 
@@ -116,6 +120,73 @@ def expand_archive_files(df: DataFrame, bundle: str = "bundle", path: str = "pat
     return df.selectExpr(f"`{bundle}` AS bundle", f"`{path}` AS path").mapInPandas(expand, MEMBERS)
 
 
+PIECES = "bundle string, rel_path string, piece_no bigint, content binary, error string"
+PIECE_COLUMNS = ["bundle", "rel_path", "piece_no", "content", "error"]
+
+
+def _streams(name: str, source: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
+    if name.lower().endswith(".zip"):
+        with zipfile.ZipFile(source) as archive:
+            for info in archive.infolist():
+                if not info.is_dir():
+                    _inside(info.filename)
+                    with archive.open(info) as member:
+                        yield info.filename, member
+        return
+    with tarfile.open(fileobj=source, mode="r:gz", ignore_zeros=True) as archive:
+        while (info := archive.next()) is not None:
+            archive.members = []  # forget earlier members: an archive may hold millions
+            if info.isreg():
+                _inside(info.name)
+                yield info.name, archive.extractfile(info)
+
+
+def _pieces(member: BinaryIO, size: int) -> Iterator[bytes]:
+    """A member in pieces that end after a line feed, but for the last and for those without any."""
+    held = b""
+    while chunk := member.read(size):
+        held += chunk
+        cut = held.rfind(b"\n") + 1
+        # Without a line feed the line goes on; binary content is cut anywhere.
+        if cut or b"\x00" in held:
+            cut = cut or len(held)
+            yield held[:cut]
+            held = held[cut:]
+    yield held
+
+
+def expand_archive_pieces(df: DataFrame, bundle: str = "bundle", path: str = "path", size: int = BATCH_BYTES) -> DataFrame:
+    """(bundle, rel_path, piece_no, content, error) of archives named by path; archives and members of any size.
+
+    Pieces of a text member end at line feeds, so each can be cut into lines by
+    itself. A broken or unsafe archive gives a row with ``error``.
+    """
+
+    def rows(name: str, location: str) -> Iterator[tuple]:
+        try:
+            with opened(location) as source:
+                for rel_path, member in _streams(location, source):
+                    for number, content in enumerate(_pieces(member, size)):
+                        if number == 0 or content:
+                            yield name, rel_path, number, content, None
+        except BROKEN as exc:
+            yield name, None, None, None, f"{type(exc).__name__}: {exc}"
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = [], 0
+        for batch in batches:
+            for name, location in zip(batch["bundle"], batch["path"]):
+                for row in rows(name, location):
+                    held.append(row)
+                    total += len(row[3] or b"")
+                    if total >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                        yield pd.DataFrame(held, columns=PIECE_COLUMNS).astype({"piece_no": "Int64"})
+                        held, total = [], 0
+        yield pd.DataFrame(held, columns=PIECE_COLUMNS).astype({"piece_no": "Int64"})
+
+    return df.selectExpr(f"`{bundle}` AS bundle", f"`{path}` AS path").mapInPandas(expand, PIECES)
+
+
 def whole_bundles(members: DataFrame) -> DataFrame:
     """Members of sound bundles only: one unreadable member rejects its bundle."""
     broken = members.where("error IS NOT NULL").select("bundle").distinct()

@@ -72,6 +72,9 @@ def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(F.concat(F.lit(f"{folder}/"), "rel_path").alias("path"), "line_no", "line", "eol")
 
 
+LINES = "rel_path string, line_no bigint, line string, eol string, bundle string"
+
+
 def write_anonymised(
     lines: DataFrame,
     rules: Sequence[Rule],
@@ -82,17 +85,28 @@ def write_anonymised(
 ) -> None:
     """Rewrite lines and publish them and the untouched files below ``target``.
 
-    Lines get one folder per bundle, sorted by path. Range partitioning on (bundle, rel_path,
-    line_no) spreads a large bundle or file over as many tasks as it needs and keeps
-    small ones together. It samples its input, so the rules run after it, not twice.
-    The commit protocol makes each table appear as a whole.
+    The tasks that hold the lines write them, sorted by path, in one folder per
+    bundle; a file's lines lie together as they were read. ``partitions`` deals them
+    out anew by (bundle, rel_path, line_no) first, where they do not or where
+    readers of a few large bundles wrote many small files. The table ``complete``
+    comes last: without it the output is not whole.
     """
     order = ["bundle", "rel_path", "line_no"]
     kept = lines.select(*order, "line", "eol")
-    placed = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
+    # Range partitioning samples its input, so the rules run after it, not twice.
+    placed = kept.repartitionByRange(partitions, *order) if partitions else kept
     done = apply_rules(placed.sortWithinPartitions(*order), rules, salt, "line", "line")
     done.write.mode("errorifexists").partitionBy("bundle").parquet(f"{target}/lines")
     if passthrough is not None:
         # Contents are written by the tasks that read them: moving them would gain nothing.
-        files = passthrough.select("bundle", "rel_path", "content").sortWithinPartitions("bundle", "rel_path")
+        order = ["bundle", "rel_path", *(["piece_no"] if "piece_no" in passthrough.columns else [])]
+        files = passthrough.select(*order, "content").sortWithinPartitions(*order)
         files.write.mode("errorifexists").parquet(f"{target}/files")
+    parts = [("lines",), *([("files",)] if passthrough is not None else [])]
+    lines.sparkSession.createDataFrame(parts, "part string").coalesce(1).write.parquet(f"{target}/complete")
+
+
+def read_published(spark: SparkSession, target: str) -> DataFrame:
+    """(bundle, rel_path, line_no, line, eol) of a whole output; bundle names stay text, whatever they look like."""
+    spark.read.parquet(f"{target}/complete")
+    return spark.read.schema(LINES).parquet(f"{target}/lines").select("bundle", "rel_path", "line_no", "line", "eol")

@@ -66,6 +66,20 @@ def _records(spark: SparkSession, files: DataFrame, roots: Sequence[str], exclud
     return raw.join(measured(files.select("location")), "location", "left_semi").unionByName(hidden)
 
 
+def lines_of_pieces(pieces: DataFrame, keep: Sequence[str] = ("bundle", "rel_path")) -> DataFrame:
+    """(keep..., line_no, line, eol) of text files in settled pieces (keep..., piece_no, content) that end at line feeds."""
+    text = F.col("content").cast("string")
+    parts = line_structs(F.decode("content", "ISO-8859-1"))
+    sizes = pieces.select(*keep, "piece_no", F.size(parts).alias("n"), F.is_valid_utf8(text).alias("utf8"))
+    whole = Window.partitionBy(*keep)
+    before = whole.orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a piece.
+    placed = settled(sizes.select(*keep, "piece_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.bool_and("utf8").over(whole).alias("utf8")))
+    decoded = F.when(F.col("utf8"), text).otherwise(F.decode("content", "ISO-8859-1"))
+    joined = pieces.join(measured(placed), [*keep, "piece_no"]).select(*keep, "lines_before", F.posexplode(line_structs(decoded)).alias("pos", "part"))
+    return joined.select(*keep, (F.col("lines_before") + F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("part.line").alias("line"), F.col("part.eol").alias("eol"))
+
+
 def excluded_below(roots: Sequence[str], patterns: Sequence[str], any_case: bool = False) -> Column | None:
     """Whether the source's own path, below its root, is excluded."""
     if not patterns:

@@ -173,3 +173,37 @@ def test_published_output_is_whole_and_ordered(spark, tree, tmp_path, partitions
     assert [(r["rel_path"], bytes(r["content"])) for r in kept] == [("sub/image.bin", b"\x00\x01")]
     with pytest.raises(Exception):
         write_anonymised(lines, rules, target)
+
+
+def test_excluded_files_are_not_opened(spark, tmp_path):
+    """A file of 3 GB without any line feed would stop the source that opens it."""
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.log").write_bytes(b"\xef\xbb\xbfone\ntwo")
+    with open(tmp_path / "b" / "huge.keytab", "wb") as file:
+        file.truncate(3 << 30)
+    rows = read_lines(spark, str(tmp_path / "b"), defaults=True).orderBy("line_no").collect()
+    assert [(r["rel_path"], r["line"], r["eol"]) for r in rows] == [("a.log", "one", "\n"), ("a.log", "two", "")]
+
+
+def test_archive_members_in_pieces_are_the_same_lines(spark, tmp_path):
+    import io
+    import tarfile
+
+    from maskloom.functions.text import decode_text
+    from maskloom.operators.documents import documents_to_lines
+    from maskloom.sources.archives import expand_archive_pieces
+    from maskloom.sources.lines import lines_of_pieces
+    from maskloom.sources.scratch import settled
+
+    texts = {"a.txt": "".join(f"row {i} é\r\n" for i in range(300)).encode(), "b/c.txt": b"caf\xe9\rx\n" * 50 + b"end", "empty": b""}
+    with tarfile.open(tmp_path / "x.tgz", "w:gz") as archive:
+        for name, data in texts.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    named = spark.createDataFrame([("x", str(tmp_path / "x.tgz"))], "bundle string, path string")
+    pieces = settled(expand_archive_pieces(named, size=100))
+    assert pieces.groupBy("rel_path").count().where("count > 2").count() == 2
+    whole = spark.createDataFrame([("x", n, bytearray(d)) for n, d in texts.items()], "bundle string, rel_path string, content binary")
+    expected = documents_to_lines(whole.withColumn("text", decode_text(F.col("content"))), "text", ("bundle", "rel_path"))
+    assert sorted(lines_of_pieces(pieces).collect()) == sorted(expected.collect())

@@ -58,3 +58,64 @@ def test_hidden_names(spark, sources, tmp_path):
 def test_no_enabled_rule_is_an_error(spark, sources, tmp_path):
     with pytest.raises(ValueError):
         anonymise(spark, [sources["first"]], str(tmp_path / "out"), [], Options(builtin=False))
+
+
+def test_hidden_names_are_nowhere_in_the_output(spark, sources, tmp_path):
+    target = tmp_path / "out"
+    wanted = [sources["first"], sources["second.zip"]]
+    summary = anonymise(spark, wanted, str(target), RULES, Options(hide_names=True, profile=True))
+    assert {r["bundle"] for r in summary.collect()} == {"anonymized_output", "anonymized_output__2", None}
+    told = [str(p.relative_to(target)) for p in target.rglob("*")]
+    told += [p.read_text() for p in (target / "report").glob("part-*")]
+    assert not any(word in text for text in told for word in ("first", "second.zip", "bob", "alice", str(tmp_path)))
+
+
+def test_nothing_is_left_in_scratch(spark, sources, tmp_path):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    with zipfile.ZipFile(tmp_path / "keys.zip", "w") as archive:
+        archive.writestr("a.keytab", "secret key")
+        archive.writestr("b/../c.log", "user=x\n")
+    summary = anonymise(spark, [str(tmp_path / "keys.zip"), *sources.values()], str(tmp_path / "out"), RULES)
+    assert set(shared.iterdir()) == before
+    rows = {(r["bundle"] or "total").rsplit("/", 1)[-1]: r for r in summary.collect()}
+    assert (rows["keys.zip"]["n_anonymised"], rows["keys.zip"]["n_excluded"]) == (1, 1)
+    assert not any(b"secret key" in p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file())
+
+
+def test_bundle_names_and_long_files_come_back_as_they_were(spark, tmp_path):
+    from maskloom.sources.files import read_published
+
+    text = "".join(f"user=u{i}\r" if i % 1000 == 7 else f"line {i}\n" for i in range(25_000))
+    for name in ("007", "2024"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "long.log").write_bytes(text.encode())
+    target = str(tmp_path / "out")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        anonymise(spark, [str(tmp_path / "007"), str(tmp_path / "2024")], target, RULES)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = read_published(spark, target).orderBy("bundle", "line_no").collect()
+    assert {r["bundle"] for r in rows} == {str(tmp_path / "007"), str(tmp_path / "2024")}
+    for name in ("007", "2024"):
+        mine = [r for r in rows if r["bundle"].endswith("/" + name)]
+        assert [r["line_no"] for r in mine] == list(range(1, 25_001))
+        assert "".join(r["line"] + r["eol"] for r in mine) == "".join(
+            "user=[USER]\r" if i % 1000 == 7 else f"line {i}\n" for i in range(25_000)
+        )
+
+
+def test_published_bundle_names_stay_text(spark, tmp_path):
+    from maskloom.sources.files import read_published, write_anonymised
+
+    rows = [(b, "f", 1, "user=x", "\n") for b in ("007", "2024")]
+    lines = spark.createDataFrame(rows, "bundle string, rel_path string, line_no bigint, line string, eol string")
+    write_anonymised(lines, RULES, str(tmp_path / "out"))
+    assert {r["bundle"] for r in read_published(spark, str(tmp_path / "out")).collect()} == {"007", "2024"}
+    (tmp_path / "half" / "lines").mkdir(parents=True)
+    with pytest.raises(Exception):
+        read_published(spark, str(tmp_path / "half"))

@@ -45,3 +45,24 @@ def test_rates_close_with_the_watermark(spark, source, tmp_path):
     closed = table.agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("t")).first()["t"]
     expected = detection_rate(table).where(F.col("window_end") <= F.lit(closed)).collect()
     assert got and sorted(got) == sorted(expected)
+
+
+@pytest.mark.parametrize("name", ["stream_apply_rules", "stream_matches_by_kind", "stream_detection_rate"])
+def test_registered_streams_read_tables_of_several_files(spark, tmp_path, name):
+    """A table that is a folder of part files gives what the same table gives as one file."""
+    import __spark_entry__ as entry_point
+
+    single, query = "/root/testdata/sf0.001", entry_point.queries()[name]
+    for table in ("documents", "orders", "events"):
+        df = spark.read.parquet(f"{single}/{table}.parquet")
+        # The events come in one file, so that all of them are in time for the watermark.
+        df.repartition(1 if table == "events" else 4).write.parquet(str(tmp_path / f"{table}.parquet"))
+    expected = query(spark, single).collect()
+    assert expected and sorted(query(spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_a_stream_without_input_is_empty(spark, source, tmp_path):
+    table, _ = source
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "none"))
+    assert drain_complete(matches_by_kind(detections(stream, keep=("line_no",)))).count() == 0
