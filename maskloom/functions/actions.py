@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskloom.functions.binding import let
-from maskloom.functions.dates import compile_format, days_from_hash, shift_with_format
+from maskloom.functions.dates import compile_format, days_from_hash, is_native_format, shift_with_format
 from maskloom.functions.dialect import UntranslatablePattern, split_at_group, translate, translate_template
-from maskloom.rules import Bucketize, DateShift, Mask, Redact, Replace, Rule, SecureHash
+from maskloom.rules import Bucketize, Compute, DateShift, Mask, Redact, Replace, Rule, SecureHash
 
 ColumnFn = Callable[[Column], Column]
 
@@ -87,6 +87,8 @@ def value_of(rule: Rule, salt: str) -> ColumnFn:
             return date_value(rule.action, salt, rule.key)
         case Bucketize():
             return bucket_value(rule.action)
+        case Compute():
+            return rule.action.value
     raise TypeError(f"{type(rule.action).__name__} has no computed value")
 
 
@@ -125,11 +127,13 @@ def rewrite_groups(text: Column, rule: Rule, value: ColumnFn) -> Column:
 
 
 def runs_on_jvm(rule: Rule) -> bool:
-    """Whether built-in functions express the rule exactly; else Python's ``re`` does."""
+    """Whether built-in functions express the rule exactly; else Python's ``re`` and ``strptime`` do."""
     try:
         pattern = translate(rule.search, rule.flags)
         if isinstance(rule.action, (Replace, Redact)):
             return True
+        if isinstance(rule.action, DateShift) and not all(map(is_native_format, rule.action.formats)):
+            return False
         if rule.action.group:
             split_at_group(rule.search, rule.action.group, rule.flags)
         return not pattern.may_be_empty

@@ -8,6 +8,7 @@ time zone never matters.
 from __future__ import annotations
 
 import re
+from datetime import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -80,6 +81,22 @@ def compile_format(source: str) -> DateFormat:
     return DateFormat(source, rf"(?iUd)\A(?>{pattern})\z", tuple(fields), tuple(pieces))
 
 
+def is_native_format(source: str) -> bool:
+    """Whether ``compile_format`` knows the format; one that Python does not take either is an error."""
+    try:
+        compile_format(source)
+        return True
+    except ValueError as reason:
+        try:
+            datetime.strptime("", source)
+        except ValueError as exc:
+            if "directive" in str(exc) or "stray %" in str(exc) or "redefinition" in str(exc):
+                raise ValueError(f"no date format: {source!r}") from reason
+        except re.error:
+            raise ValueError(f"no date format: {source!r}") from reason
+        return False
+
+
 def _with_iso_days(pieces: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """``%Y-%m-%d`` as one piece: Spark writes it without any padding of parts."""
     iso = [("field", "Y"), ("text", "-"), ("field", "m"), ("text", "-"), ("field", "d")]

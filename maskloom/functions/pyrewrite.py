@@ -66,7 +66,7 @@ def match_writer(rule: Rule, salt: str) -> Callable[[re.Match], str]:
                 return _bucketed(raw, action)
             case DateShift():
                 return _shifted(raw, action, own_salt, rule.key)
-        raise TypeError(type(action).__name__)
+        raise TypeError(f"{type(action).__name__} needs a pattern that runs on the JVM")
 
     def write(m: re.Match) -> str:
         if isinstance(action, Redact):

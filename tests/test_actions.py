@@ -3,6 +3,7 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskloom.functions.pyrewrite import match_writer
 from maskloom.operators.apply import apply_rules, rule_stats
@@ -93,7 +94,7 @@ def test_date_shift_is_bounded_and_stable(lines):
 
 def test_unsupported_directive_fails_on_the_driver(lines):
     with pytest.raises(ValueError):
-        run(lines, Rule("d", "", r"\d+", DateShift(("%Y %Z",))), "x")
+        run(lines, Rule("d", "", r"\d+", DateShift(("%Y %Q",))), "x")
 
 
 FALLBACKS = [
@@ -127,3 +128,35 @@ def test_fallback_between_computed_rules_and_a_filter(lines, rule):
 def test_fallback_respects_the_trigger(lines):
     rule = Rule("optional", "GO", r"a(b)?c", Mask("#", group=1), case_sensitive=False)
     assert run(lines, rule, "abc", "go ABC") == ["abc", "go A#C"]
+
+
+@pytest.mark.parametrize(
+    "fmt, texts",
+    [
+        ("%d/%b/%Y:%H:%M:%S %z", ["10/Oct/2000:13:55:36 -0700", "31/Dec/1999:23:59:59 +0000", "x"]),
+        ("%A %d %B %Y", ["Monday 01 January 2024", "Tuesday 30 January 2024"]),
+        ("%a %b %d %H:%M:%S %Y", ["Mon Jan  1 00:00:00 2024"]),
+        ("%G-W%V-%u", ["2024-W01-1"]),
+        ("%c", ["Mon Jan  1 00:00:00 2024"]),
+    ],
+)
+def test_date_formats_that_only_python_takes(spark, fmt, texts):
+    rule = Rule("d", "", ".+", DateShift((fmt,), 20))
+    expected = [re.sub(".+", match_writer(rule, "s"), text) for text in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+    assert [r["line_out"] for r in apply_rules(df, [rule], "s").collect()] == expected
+    assert expected[0] != texts[0]
+
+
+def test_a_date_format_nobody_takes_is_an_error(spark):
+    with pytest.raises(ValueError):
+        apply_rules(spark.createDataFrame([("x",)], "line string"), [Rule("d", "", ".+", DateShift(("%Q",)))])
+
+
+def test_own_actions(spark):
+    from maskloom.rules import Compute
+
+    df = spark.createDataFrame([("id=ab x id=cd",)], "line string")
+    whole = Rule("u", "id=", r"id=\w+", Compute(F.upper))
+    inside = Rule("r", "", r"ID=(\w+)", Compute(F.reverse, group=1))
+    assert apply_rules(df, [whole, inside]).first()["line_out"] == "ID=BA x ID=DC"
