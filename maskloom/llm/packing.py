@@ -17,7 +17,7 @@ come; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -86,7 +86,7 @@ def _encoder(path: str):
         for text, words in zip(texts, cut, strict=True):
             yield whole(text) if words is None else b"".join(map(known.__getitem__, words))
 
-    def run(texts: list[str]) -> Iterator[bytes]:
+    def run(texts: Iterable[str]) -> Iterator[bytes]:
         held, chars = [], 0
         for text in texts:
             held.append(text)
@@ -108,7 +108,8 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encode, end = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, data in enumerate(encode(batch.column(1).to_pylist())):
+            texts = (t for low in range(0, len(batch), 256) for t in batch.column(1).slice(low, 256).to_pylist())
+            for i, data in enumerate(encode(texts)):
                 data += end
                 for k in range(0, len(data), limit * 4):
                     part = data[k : k + limit * 4]

@@ -42,7 +42,7 @@ PRIOR = 0.5  # added to each count
 DRAWN = 100.0
 NEUTRAL = 100.0  # n-grams of ratio 1 added to each text: a few words tell little
 MOST = 8.0  # of one n-gram's log-ratio: words of one view must not drown the others
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 BLOCK_BYTES = 1 << 20
 BINS = 2048
 LOSS = 10.0

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.common import whole_text, worker_cache
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 BLOCK_CHARS = 1 << 20
 BLANK = "▁"  # fixed value: how the vocabulary writes a blank
 NONE = np.iinfo(np.int64).max
