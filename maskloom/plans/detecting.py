@@ -116,7 +116,33 @@ def _detect(kind: str) -> Query:
     return Query(name, run, with_tables(SCAN_LINES, _DETECTED[kind], body=body))
 
 
-# --- masked examples over raw values -----------------------------------------
+# --- masked examples over raw values, awkward ones made of keys and those in the texts ---
+
+# What the texts hold of each kind.
+IN_TEXTS = {
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "token": r"\b[A-Za-z0-9+/=_-]{24,}\b",
+    "card": r"\b(?:\d[ -]*?){13,19}\b",
+}
+
+
+def _masked(spark: SparkSession, sf_dir: str, values: DataFrame, kind: str) -> DataFrame:
+    """(key, masked) of given (key, value) and of all matches in the documents."""
+    hits = F.explode(F.regexp_extract_all("line", F.lit(IN_TEXTS[kind]), F.lit(0))).alias("value")
+    texts = t.document_lines(spark, sf_dir).select(F.col("path").alias("key"), hits)
+    mask = getattr(masking, f"mask_{kind}")
+    return values.unionByName(texts).select("key", mask(F.col("value")).alias("masked"))
+
+
+def _masked_sql(values: str, kind: str, masked: str) -> str:
+    return with_tables(
+        t.DOCUMENT_LINES,
+        body=f"""{values} UNION ALL SELECT path, {masked} FROM (
+          SELECT path, hit, {_DIGITS} AS digits FROM (SELECT path, unnest(regexp_extract_all(line, '{IN_TEXTS[kind]}')) AS hit FROM doc_lines)
+        )""",
+    )
+
 
 def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
@@ -131,44 +157,61 @@ def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         (F.col("c_custkey") % 5 + 1).cast("int"),
     )
-    return c.select("c_custkey", masking.mask_email(value).alias("masked"))
+    return _masked(spark, sf_dir, c.select(t.text_of("c_custkey").alias("key"), value.alias("value")), "email")
 
 
-MASK_EMAIL_SQL = """SELECT c_custkey, CASE c_custkey % 5
+MASK_EMAIL_SQL = _masked_sql(
+    """SELECT c_custkey::VARCHAR AS key, CASE c_custkey % 5
     WHEN 0 THEN 'C***@' || lower(c_mktsegment) || '.org' WHEN 1 THEN '[EMAIL]'
     WHEN 2 THEN '***@' || lower(c_mktsegment) WHEN 3 THEN '[EMAIL]'
-    ELSE 'C***@a@' || lower(c_mktsegment) END AS masked FROM customer"""
+    ELSE 'C***@a@' || lower(c_mktsegment) END AS masked FROM customer""",
+    "email",
+    "left(hit, 1) || '***@' || split_part(hit, '@', 2)",
+)
 
 
 def mask_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.table(spark, sf_dir, "events", "event_id", "user_id")
     event, user = t.text_of("event_id"), t.text_of("user_id")
     value = F.concat(event, F.lit(".1."), user, F.lit("."), user)
-    return e.select("event_id", masking.mask_ipv4(value).alias("masked"))
+    return _masked(spark, sf_dir, e.select(event.alias("key"), value.alias("value")), "ipv4")
 
 
-MASK_IPV4_SQL = """SELECT event_id, CASE WHEN length(event_id::VARCHAR) > 3 OR length(user_id::VARCHAR) > 3 THEN '[IP]'
-    ELSE event_id || '.***.***.' || user_id END AS masked FROM events"""
+MASK_IPV4_SQL = _masked_sql(
+    """SELECT event_id::VARCHAR AS key, CASE WHEN length(event_id::VARCHAR) > 3 OR length(user_id::VARCHAR) > 3 THEN '[IP]'
+    ELSE event_id || '.***.***.' || user_id END AS masked FROM events""",
+    "ipv4",
+    "split_part(hit, '.', 1) || '.***.***.' || split_part(hit, '.', 4)",
+)
 
 
 def mask_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t.table(spark, sf_dir, "orders", "o_orderkey")
-    value = F.substring(F.sha2(t.text_of("o_orderkey"), 256), F.lit(1), (F.col("o_orderkey") % 20).cast("int"))
-    return o.select("o_orderkey", masking.mask_token(value).alias("masked"))
+    key = t.text_of("o_orderkey")
+    value = F.substring(F.sha2(key, 256), F.lit(1), (F.col("o_orderkey") % 20).cast("int"))
+    return _masked(spark, sf_dir, o.select(key.alias("key"), value.alias("value")), "token")
 
 
-MASK_TOKEN_SQL = f"""SELECT o_orderkey, {_token_sql("v")} AS masked
-    FROM (SELECT o_orderkey, left(sha256(o_orderkey::VARCHAR), (o_orderkey % 20)::INT) AS v FROM orders)"""
+MASK_TOKEN_SQL = _masked_sql(
+    f"""SELECT o_orderkey::VARCHAR AS key, {_token_sql("v")} AS masked
+    FROM (SELECT o_orderkey, left(sha256(o_orderkey::VARCHAR), (o_orderkey % 20)::INT) AS v FROM orders)""",
+    "token",
+    _token_sql("hit"),
+)
 
 
 def mask_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     value = F.concat_ws("-", "o_custkey", (F.col("o_orderkey") % 10000).cast("string"))
-    return o.select("o_orderkey", masking.mask_card(value).alias("masked"))
+    return _masked(spark, sf_dir, o.select(t.text_of("o_orderkey").alias("key"), value.alias("value")), "card")
 
 
-MASK_CARD_SQL = """SELECT o_orderkey, CASE WHEN length(v) < 4 THEN '****' ELSE '**** **** **** ' || right(v, 4) END AS masked
-    FROM (SELECT o_orderkey, o_custkey::VARCHAR || (o_orderkey % 10000) AS v FROM orders)"""
+MASK_CARD_SQL = _masked_sql(
+    """SELECT o_orderkey::VARCHAR AS key, CASE WHEN length(v) < 4 THEN '****' ELSE '**** **** **** ' || right(v, 4) END AS masked
+    FROM (SELECT o_orderkey, o_custkey::VARCHAR || (o_orderkey % 10000) AS v FROM orders)""",
+    "card",
+    "'**** **** **** ' || right(digits, 4)",
+)
 
 
 # --- profiles ----------------------------------------------------------------
