@@ -14,9 +14,9 @@ from maskloom.plans.tables import Query, with_tables
 
 
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose, key/value and secret lines together: (path, line_no, line)."""
+    """Prose, turns, raw pages, key/value and secret lines together: (path, line_no, line)."""
     keep = ("path", "line_no", "line")
-    parts = [t.document_lines(spark, sf_dir), t.kv_lines(spark, sf_dir), t.secret_lines(spark, sf_dir)]
+    parts = [t.document_lines(spark, sf_dir), t.more_lines(spark, sf_dir), t.kv_lines(spark, sf_dir), t.secret_lines(spark, sf_dir)]
     first, *rest = [part.select(*keep) for part in parts]
     for part in rest:
         first = first.unionByName(part)
@@ -26,12 +26,15 @@ def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCAN_LINES = (
     t.DOCUMENT_LINES
     + ","
+    + t.MORE_LINES
+    + ","
     + t.KV_LINES
     + ","
     + t.SECRET_LINES
     + """,
 scan_lines AS (
   SELECT path, line_no, line FROM doc_lines
+  UNION ALL SELECT path, line_no, line FROM more_lines
   UNION ALL SELECT path, line_no, line FROM kv_lines
   UNION ALL SELECT path, line_no, line FROM secret_lines
 )"""
@@ -239,7 +242,7 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = t.document_paths(spark, sf_dir)
+    files = t.document_paths(spark, sf_dir).unionByName(t.more_files(spark, sf_dir).select("path"))
     for lines in (t.kv_lines(spark, sf_dir), t.secret_lines(spark, sf_dir)):
         files = files.unionByName(lines.select("path"))
     return _counted(profile.profile_report(found(spark, sf_dir), files))
@@ -254,7 +257,7 @@ REPORT_SQL = with_tables(
     UNION ALL SELECT 'generated_at', NULL, '', 0, NULL
     {" ".join(f"UNION ALL SELECT 'detectors', NULL, '{n}', {i}, NULL" for i, n in enumerate(DEFAULT_NAMES, 1))}
     UNION ALL SELECT 'files_scanned', NULL, NULL, NULL, count(*)
-      FROM (SELECT path FROM docs UNION SELECT path FROM kv_lines UNION SELECT path FROM secret_lines)
+      FROM (SELECT path FROM docs UNION SELECT path FROM more_files UNION SELECT path FROM kv_lines UNION SELECT path FROM secret_lines)
     UNION ALL SELECT 'matches_by_kind', kind, NULL, NULL, count(*) FROM found GROUP BY kind
     UNION ALL SELECT 'files_by_kind', kind, path, NULL, count(*) FROM found GROUP BY kind, path
     UNION ALL SELECT 'masked_examples_by_kind', kind, masked_example, rank, NULL FROM examples

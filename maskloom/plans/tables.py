@@ -78,6 +78,43 @@ doc_lines AS (
 )
 
 
+# --- turns and raw pages as files --------------------------------------------
+
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each turn of a conversation."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    return c.select(F.concat(F.lit("conv-"), text_of("conv_id"), F.lit("/"), text_of("turn")).alias("path"), "text")
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each page's raw HTML."""
+    p = table(spark, sf_dir, "pages", "page_id", "html")
+    return p.select(F.concat(F.lit("page-"), text_of("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+
+
+def more_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))
+
+
+def more_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_to_lines(more_files(spark, sf_dir), "text", ("path",))
+
+
+MORE_LINES = r"""
+more_files AS (
+  SELECT 'conv-' || conv_id || '/' || turn AS path, text FROM conversations
+  UNION ALL SELECT 'page-' || page_id || '.html', html FROM pages
+),
+more_parts AS (
+  SELECT path, string_split_regex(text, '\r\n|\n|\r') AS parts, regexp_extract_all(text, '\r\n|\n|\r') AS ends FROM more_files
+),
+more_lines AS (
+  SELECT * FROM (
+    SELECT path, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line, unnest(list_append(ends, '')) AS eol FROM more_parts
+  ) WHERE line <> '' OR eol <> ''
+)"""
+
+
 # --- derived lines -----------------------------------------------------------
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
