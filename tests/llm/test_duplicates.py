@@ -133,3 +133,42 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000) for i in range(50)] + [(5, 5)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b"), "node", "root"))
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def shingles(text, words=5):
+    tokens = (text or "").translate(LOWER).encode().split()
+    return {tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
+def similar_copies(spark, seed=0):
+    """Texts with copies in which some words are others: (id, text), and the similarity of any two."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for group in range(40):
+        words = [f"w{n}" for n in rng.integers(0, 5000, rng.integers(60, 400))]
+        for share in (0, 0.005, 0.01, 0.02, 0.1):
+            changed = [f"x{n}" if rng.random() < share else w for n, w in enumerate(words)]
+            rows.append((len(rows), " ".join(changed)))
+    sets = [shingles(t) for _, t in rows]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    df, similarity = similar_copies(spark)
+    group = dict(rows_of(simhash.similar_groups(df), "id", "component_id"))
+    pairs = [(a, b, similarity(a, b)) for a in range(200) for b in range(a)]
+    close = [(a, b) for a, b, s in pairs if s >= 0.85]
+    assert sum(group[a] == group[b] for a, b in close) >= 0.98 * len(close) and len(close) > 100
+    assert not any(group[a] == group[b] for a, b, s in pairs if s < 0.3)
+    kept = rows_of(simhash.drop_similar(df), "doc_id")
+    assert {i for (i,) in kept} == set(group.values())
+
+
+def test_similar_groups_of_odd_documents(odd_documents, no_documents):
+    found = simhash.similar_groups(odd_documents)
+    assert found.count() == odd_documents.count()
+    kept = simhash.drop_similar(odd_documents)
+    assert kept.columns == odd_documents.columns
+    texts = [(t or "").translate(LOWER).split() for (t,) in rows_of(kept, "text")]
+    assert sum(not t for t in texts) == 1  # all texts without a word are alike
+    assert simhash.similar_groups(no_documents).count() == 0 and simhash.drop_similar(no_documents).count() == 0
