@@ -56,6 +56,17 @@ def worker_cache(name: str) -> dict:
     return shared["_words"]
 
 
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system; Arrow and the C library keep it otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_blocks(texts: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch as bytes in blocks of about ``most`` bytes, with the place of the first."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import whole_text, with_running_total, worker_cache
+from maskloom.llm.common import release_memory, whole_text, with_running_total, worker_cache
 from maskloom.sources.scratch import settled
 
 LIMIT = 4096
@@ -121,6 +121,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32())]
             arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32"])
+            release_memory()
 
     rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

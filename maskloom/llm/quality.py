@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import fresh, text_blocks, whole_text, worker_cache
+from maskloom.llm.common import fresh, release_memory, text_blocks, whole_text, worker_cache
 from maskloom.sources.scratch import measured, settled
 
 BUCKETS = 1 << 13
@@ -105,6 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, owner = ngrams(texts)
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[good[start + owner]], minlength=BUCKETS)
+        release_memory()
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
 
@@ -147,6 +148,7 @@ def _scorer(model: Model):
                 importance[start : start + len(texts)] = np.bincount(owner, model.ratio[bucket], len(texts))
                 n[start : start + len(texts)] = np.bincount(owner, minlength=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(importance / (n + NEUTRAL) * DRAWN)], ["id", "label", "n_grams", "importance"])
+            release_memory()
 
     return run
 

@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import components, fresh, join_groups, whole_text
+from maskloom.llm.common import components, fresh, join_groups, release_memory, whole_text
 from maskloom.sources.scratch import measured, settled
 
 BITS = 64
 BLOCK = 8192
-PRINTS, SLACK, SEGMENTS = 8, 1.6, 5
+PRINTS, SLACK, SEGMENTS = 6, 1.6, 5
 CHUNK = 1 << 16
 
 
@@ -58,15 +58,16 @@ def _fingerprints(text: str, words: int, prints: int = 1) -> np.ndarray:
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(prints, np.int64)
-    hashed, ones, n = xxhash.xxh64_intdigest, np.zeros((prints, BITS), np.int64), max(1, len(tokens) - words + 1)
+    hashed, ones, n = xxhash.xxh64_intdigest, np.zeros(prints * BITS, np.int64), max(1, len(tokens) - words + 1)
     for start in range(0, n, CHUNK):
         part = tokens[start : start + CHUNK + words - 1]
         columns = [part[i:] for i in range(words)] if len(part) >= words else [[b" ".join(part)]]
         h = np.fromiter((hashed(s, 42) for s in map(b" ".join, zip(*columns, strict=False))), np.uint64)
-        for number in range(prints):
-            bits = np.unpackbits(_seeded(h, number).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[number] += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.int64)[:, 0]
+        seeded = np.stack([_seeded(h, number) for number in range(prints)], axis=1).view(np.uint8)
+        for low in range(0, len(seeded), 255):  # as many as one byte can count
+            bits = np.unpackbits(seeded[low : low + 255], axis=1, bitorder="little")
+            ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits((ones * 2 > n).reshape(prints, BITS), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -74,7 +75,9 @@ def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @F.pandas_udf("bigint")
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([int(_fingerprints(text, words)[0]) for text in texts], dtype="int64")
+        found = pd.Series([int(_fingerprints(text, words)[0]) for text in texts], dtype="int64")
+        release_memory()
+        return found
 
     text = whole_text(text_col)
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), fingerprint(text).alias("fp"))
@@ -176,6 +179,8 @@ def _linker(links, unpack):
                 held.append(fp[low:high])
         if sum(map(len, held)) > 1 and (out := links(held, now[0])):
             yield out
+        held = []
+        release_memory()
 
     return run
 
@@ -264,7 +269,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprints(text, words, prints).tobytes() for text in texts], dtype=object)
+        found = pd.Series([_fingerprints(text, words, prints).tobytes() for text in texts], dtype=object)
+        release_memory()
+        return found
 
     text = whole_text(text_col)
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), pack(text).alias("prints"))
