@@ -172,3 +172,45 @@ def test_similar_groups_of_odd_documents(odd_documents, no_documents):
     texts = [(t or "").translate(LOWER).split() for (t,) in rows_of(kept, "text")]
     assert sum(not t for t in texts) == 1  # all texts without a word are alike
     assert simhash.similar_groups(no_documents).count() == 0 and simhash.drop_similar(no_documents).count() == 0
+
+
+def test_similar_links_are_exact(spark):
+    """Pairs of 0.8 or more meet, others stay apart unless a chain of links reaches them; short texts too."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(60):
+        words = [f"g{group}w{n}" for n in range(rng.integers(8, 60))]
+        rows.append(" ".join(words))
+        rows += [" ".join([*words[:-cut], *(f"x{group}y{cut}z{n}" for n in range(cut))]) for cut in (1, 2, 3, 5)]
+        rows.append(" ".join(words[:-1]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    sets, parent = [shingles(t) for t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert dict(rows_of(simhash.similar_groups(df), "id", "component_id")) == {i: root(i) for i in range(len(rows))}
+
+
+def test_large_components_are_dealt_out_as_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPREAD", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    body = [f"w{n}" for n in range(120)]
+    rows = [" ".join(body[: 100 + i % 20] + [f"t{i}"]) for i in range(60)] + [" ".join(body[60:] + [f"u{i}"] * 9) for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    group = dict(rows_of(simhash.similar_groups(df), "id", "component_id"))
+    assert {group[i] for i in range(60)} == {0} and {group[60 + i] for i in range(5)} == {60}
+
+
+def test_repeated_passages_do_not_link(spark):
+    passage = " ".join(f"p{n}" for n in range(14))
+    rows = [" ".join([passage] * 10 + [f"own{i}n{n}" for n in range(104)]) for i in range(10)]
+    rows += [" ".join(["same"] * 64 + [f"other{i}n{n}" for n in range(54)]) for i in range(10)]
+    group = dict(rows_of(simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")), "id", "component_id"))
+    assert group == {i: i for i in range(20)}
