@@ -4,8 +4,9 @@ The samples are labelled by patterns: what the patterns of secrets match is rand
 runs of ``TRAIN_RUN`` or more letters, with a few digits behind them or not, and plain
 numbers are ordinary; other runs, which may be either, teach nothing. Both models
 count which character follows which, over all documents, backed off to how frequent
-the character is, and a run of ``LEAST_RUN`` or more is a secret when its
-log-likelihood ratio is above ``threshold``. Everything is DataFrame functions; the models are one array of
+the character is, and a stretch of ``LEAST_RUN`` or more within a run is a secret when its
+log-likelihood ratio is above ``threshold``, whatever path or name stands around it; of
+stretches that overlap the likeliest is told. Everything is DataFrame functions; the models are one array of
 128 x 128 numbers in the plan.
 
 Cases: a null or empty text has no span; overlapping matches of different patterns
@@ -100,16 +101,47 @@ def train(rows: DataFrame, text: str, spans: str) -> list[float] | None:
 
 
 def random_spans(text: Column, base: Column, ratio: list[float], threshold: float) -> Column:
-    """Runs outside ``base`` whose pairs are likelier in random strings by more than ``threshold`` nats."""
+    """Stretches of runs outside ``base`` whose pairs are likelier in random strings by more than ``threshold`` nats."""
     # A constant: folded into one array when the plan is made.
     table = F.split(F.lit(",".join(f"{r:.6g}" for r in ratio)), ",").cast("array<double>")
 
-    def score(run: Column) -> Column:
-        return F.aggregate(_pairs(run), F.lit(0.0), lambda total, pair: total + F.get(table, pair))
+    stretches = "array<struct<from:int,to:int>>"
+    least = LEAST_RUN - 1  # pairs
+
+    def told(s: Column) -> Column:
+        return F.when(s["best"] > threshold, F.concat(s["told"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))))).otherwise(s["told"])
+
+    def state(at, begun, sum, behind, low, low_at, best, start, to, told) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip((at, begun, sum, behind, low, low_at, best, start, to, told), ("at", "begun", "sum", "behind", "low", "low_at", "best", "from", "to", "told"), strict=True)])
+
+    def step(s: Column, v: Column) -> Column:
+        """One pair more: the least sum that lies ``least`` pairs or more behind it begins the best stretch that ends here."""
+        at, total, behind = s["at"] + 1, s["sum"] + v["pair"], s["behind"] + v["behind"]
+        lower = (at - least >= s["begun"]) & (behind < s["low"])
+        low, low_at = F.when(lower, behind).otherwise(s["low"]), F.when(lower, at - least).otherwise(s["low_at"])
+        better = total - low > s["best"]
+        over = (s["best"] > threshold) & (total <= s["low"])
+        more = state(at, s["begun"], total, behind, low, low_at, F.when(better, total - low).otherwise(s["best"]), F.when(better, low_at).otherwise(s["from"]), F.when(better, at).otherwise(s["to"]), s["told"])
+        again = state(at, at, total, behind, F.lit(float("inf")), at, F.lit(0.0), at, at, told(s))
+        return F.when(over, again).otherwise(more)
+
+    def best(run: Column) -> Column:
+        ratios = F.transform(_pairs(run), lambda pair: F.coalesce(F.get(table, pair), F.lit(0.0)))
+        none, zero = F.lit(0), F.lit(0.0)
+        first = state(none, none, zero, zero, F.lit(float("inf")), none, zero, none, none, F.array().cast(stretches))
+        # The sum before the stretch at its latest: 0 until there are as many pairs.
+        pairs = let(ratios, lambda r: F.zip_with(r, F.concat(F.array_repeat(zero, least), r), lambda a, b: F.struct(a.alias("pair"), b.alias("behind"))))
+        pairs = F.filter(pairs, lambda v: v["pair"].isNotNull())
+        return F.aggregate(pairs, first, step, told)
 
     found = match_spans(text, RUN)
     apart = F.filter(found, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return F.filter(apart, lambda r: score(r["hit"]) > threshold)
+
+    def cut(r: Column) -> Column:
+        start, end = (lambda s: r["start"] + s["from"]), (lambda s: r["start"] + s["to"] + 1)
+        return F.transform(best(r["hit"]), lambda s: F.struct(start(s).alias("start"), end(s).alias("end"), F.substring(r["hit"], s["from"] + 1, s["to"] - s["from"] + 1).alias("hit")))
+
+    return F.flatten(F.transform(apart, cut))
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -151,6 +151,30 @@ def test_random_strings_are_told_from_identifiers(spark):
             assert texts[1000 + i][s["start"] : s["end"]] == s["hit"]
 
 
+def test_random_strings_are_found_in_paths(spark):
+    rng = random.Random(6)
+    parts = ["request", "handler", "internal", "configuration", "accounts", "production", "payments", "customers", "documents", "partition", "index"]
+
+    def path(n):
+        return "/".join(rng.choice(parts) for _ in range(n))
+
+    def key(n=24):
+        return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+    rows = [(i, f"{path(1)} {path(1)}_{path(1)} password={key(32)} {path(4)}") for i in range(300)]
+    hidden = {1000 + i: (key(), key()) for i in range(50)}
+    rows += [(i, f"see {path(6)}/{a}/{path(8)}/{b}/{path(5)} and {path(5)}") for i, (a, b) in hidden.items()]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts, found = dict(rows), 0
+    for i, keys in hidden.items():
+        for s in got[i]["extra"]:
+            assert texts[i][s["start"] : s["end"]] == s["hit"] and len(s["hit"]) >= secrets.LEAST_RUN
+        for k in keys:
+            found += any(k[2:-2] in s["hit"] and len(s["hit"]) <= 40 for s in got[i]["extra"])
+    assert found >= 90
+    assert sum(len(got[i]["extra"]) for i in range(300)) <= 3
+
+
 def test_secrets_stay_in_the_jvm(spark):
     plan = secrets.find_secrets(spark.createDataFrame([(1, "token=abcdefgh other_identifier")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
