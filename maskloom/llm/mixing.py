@@ -4,9 +4,10 @@ Documents with the same set of sources form a pattern. A pattern offers its word
 once at no cost, a second time at cost 1, a third at cost 2 and so on, and may
 serve the quota of any of its sources. The cheapest flow that fills the quotas
 says how many words each pattern gives; documents are then drawn whole, in an
-order seeded by their id, and a bounded look-ahead fills what is left.
+order seeded by their id: each that still fits is taken, to the last one.
 
-The driver sees one row a pattern (at most ``MAX_PATTERNS``, else an error).
+The driver sees one row a pattern (at most ``MAX_PATTERNS``, else an error), and the
+last ``FEW`` documents that may still fit.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a
 source of its own, last in order; rows repeated with the same id are documents of
@@ -18,8 +19,8 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from maskloom.llm.common import WORD, whole_text, with_running_total
 from maskloom.sources.scratch import settled
 
 MAX_PATTERNS = 100_000
-# Words beyond the cut that are searched for documents to fill it up; no more documents than that.
-LOOK_AHEAD = 100_000
+# So few documents that may still fit are tried on the driver; it bears on the number of passes alone.
+FEW = 20_000
 
 
 def words_in(text: str) -> Column:
@@ -102,14 +103,41 @@ def least_cost_flow(offers: Sequence[int], serves: Sequence[Sequence[int]], quot
     return flow
 
 
-def _filled(group: pd.DataFrame) -> pd.DataFrame:
-    """Marks, in order, the documents that still fit below the cut."""
-    group = group.sort_values(["before", "h"], kind="stable")
-    room, extra = int(group["rest"].iloc[0]) - int(group["before"].iloc[0]), []
-    for size in group["size"]:
-        extra.append(int(size <= room))
-        room -= size * extra[-1]
-    return group.assign(extra=pd.Series(extra, index=group.index, dtype="int64"))
+def _filled(summed: DataFrame) -> DataFrame:
+    """``summed`` with ``extra``: 1 for each document that fits below ``rest`` when its turn comes, in the order of ``before``.
+
+    What does not fit never will, since the room only shrinks. So each pass takes all
+    up to the next document that crosses the room, and goes on with those behind it
+    that are no larger than what is left.
+    """
+    out, parts = [*summed.columns, "extra"], []
+    rooms = settled(summed.select("p", F.col("rest").alias("room")).distinct())
+    left, upto = summed.withColumn("sum", F.col("before")), F.col("sum") + F.col("size")
+    fits, small = (F.col("size") > 0) & (upto <= F.col("room")), (F.col("size") > 0) & (F.col("size") <= F.col("room"))
+    yes, no = (F.lit(n).cast("bigint").alias("extra") for n in (1, 0))
+    while True:
+        # One row a pattern.
+        left = left.join(F.broadcast(rooms), "p")
+        parts.append(left.filter(fits).select(*summed.columns, yes))
+        used = left.groupBy("p", "room").agg(F.coalesce(F.max(F.when(fits, upto)), F.lit(0)).alias("used"))
+        rooms = settled(used.select("p", (F.col("room") - F.col("used")).alias("room")))
+        crossing = left.filter(~fits).drop("room", "sum").join(F.broadcast(rooms), "p")
+        parts.append(crossing.filter(~small).select(*summed.columns, no))
+        left = settled(crossing.filter(small))
+        last = left.select("p", "before", "size", "room").limit(FEW + 1).collect()
+        if len(last) <= FEW:
+            break
+        left = settled(with_running_total(left.drop("room"), "p", ["before"], F.col("size"), "sum"))
+    free, taken = {}, []
+    for row in sorted(last):
+        room = free.setdefault(row["p"], row["room"])
+        if row["size"] <= room:
+            free[row["p"]] = room - row["size"]
+            taken.append((row["p"], row["before"], 1))
+    # At most FEW rows. Of documents with words, each has a place of its own.
+    taken = F.broadcast(summed.sparkSession.createDataFrame(taken, "p int, before bigint, extra bigint"))
+    parts.append(left.join(taken, ["p", "before"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("bigint"))).select(*out))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix(rows: DataFrame, quotas: Mapping[str | None, float], repeats: int = 2, seed: int = 42) -> DataFrame:
@@ -142,16 +170,9 @@ def mix(rows: DataFrame, quotas: Mapping[str | None, float], repeats: int = 2, s
     planned = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), "pattern")
     order = F.xxhash64(F.col("id"), F.lit(seed))
     summed = settled(with_running_total(settled(planned.drop("pattern").withColumn("h", order)), "p", ["h", "id", "size"], F.col("size")))
-    over = (F.col("size") > 0) & (F.col("before") + F.col("size") > F.col("rest"))
-    ends = summed.filter(over).groupBy("p").agg((F.min(F.col("before") + F.col("size")) + LOOK_AHEAD).alias("horizon"))
-    # One row a pattern again. A document in reach has a word at least, so a pattern has at most LOOK_AHEAD + 1 of them.
-    cut = summed.join(F.broadcast(ends), "p", "left").withColumn("reach", over & (F.col("before") < F.col("horizon")) & (F.col("rest") > 0))
-    inside = cut.filter(~F.coalesce("reach", F.lit(False))).withColumn("extra", (~over & (F.col("size") > 0)).cast("bigint"))
-    reached = cut.filter("reach").drop("horizon", "reach")
-    tried = reached.groupBy("p").applyInPandas(_filled, reached.withColumn("extra", F.lit(0).cast("bigint")).schema)
-    chosen = inside.drop("horizon", "reach").unionByName(tried).withColumn("copies", F.col("whole") + F.col("extra"))
+    chosen = _filled(summed).withColumn("copies", F.col("whole") + F.col("extra"))
     places = F.transform(F.sequence(F.lit(1).cast("bigint"), "copies"), lambda k: (k - 1) * F.col("offer") + F.col("before"))
-    quota = F.transform(places, lambda x: F.coalesce(F.filter("bounds", lambda b: x < b["upto"])[0]["quota"], F.element_at("bounds", -1)["quota"]))
+    quota = F.transform(places, lambda x: F.coalesce(F.get(F.filter("bounds", lambda b: x < b["upto"]), F.lit(0)), F.element_at("bounds", -1))["quota"])
     drawn = F.when((F.col("copies") > 0) & (F.size("bounds") > 0), quota).otherwise(F.array().cast("array<string>"))
     return chosen.select("id", "size", "members", "copies", drawn.alias("drawn_for"))
 

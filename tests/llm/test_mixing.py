@@ -88,5 +88,21 @@ def test_overlapping_sources_serve_each_other(spark):
     assert served == {"a": 200, "b": 250} and all(r["copies"] == 1 for r in got)
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_no_document_that_fits_is_left(spark, monkeypatch, few):
+    """Long documents at the cut leave room for more than 100,000 words, and the next may be as long."""
+    monkeypatch.setattr(mixing, "FEW", few, raising=False)
+    sizes = [(i, 400_000 + i, ["s"]) for i in range(20)] + [(100 + i, 997 + i % 7, ["s"]) for i in range(600)]
+    rows = settled(spark.createDataFrame(sizes, "id bigint, size bigint, members array<string>"))
+    short = []
+    for quota in (1_300_000, 2_950_000, 5_170_000):
+        got = mixing.mix(rows, {"s": quota}, repeats=1).collect()
+        assert len(got) == len(sizes)
+        left = quota - sum(r["copies"] * r["size"] for r in got)
+        assert left >= 0
+        short += [left - r["size"] for r in got if not r["copies"] and r["size"] <= left]
+    assert not short
+
+
 def test_mix_empty(no_documents):
     assert mixing.mix_by_source(no_documents).count() == 0
