@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.common import LOWER, UPPER, documents
 from maskloom.llm.exact import exact_duplicates
+from maskloom.llm.infill import fill_in_middle, restored
 from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.neighbours import nearest
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.pseudo import pseudo_likelihood
 from maskloom.llm.quality import resample
+from maskloom.llm.resampling import resample_to_target
 from maskloom.llm.secrets import digest, find_secrets
 from maskloom.llm.sharding import shard
 from maskloom.llm.simhash import near_duplicates
@@ -79,6 +81,87 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return resample_to_target(documents(spark, sf_dir).select("doc_id", "text"), target)
+
+
+# CRC-32 by its rule: the remainder of each byte, then the bytes of a word one after the other.
+OP12 = rf"""
+WITH RECURSIVE rule AS (
+  SELECT byte, byte AS r, 0 AS step FROM (SELECT unnest(range(256)) AS byte)
+  UNION ALL
+  SELECT byte, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, step + 1 FROM rule WHERE step < 8
+),
+remainder AS MATERIALIZED (SELECT list(r ORDER BY byte) AS of_byte FROM rule WHERE step = 8),
+words AS MATERIALIZED (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)
+),
+distinct_words AS (SELECT word, hex(encode(word)) AS code FROM words GROUP BY word),
+bytes AS (
+  SELECT word, list_prepend(4294967295, list_transform(range(len(code) // 2), lambda i: ('0x' || code[2 * i + 1:2 * i + 2])::BIGINT)) AS b
+  FROM distinct_words
+),
+buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(b, lambda crc, byte: xor(crc >> 8, of_byte[(xor(crc, byte) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, remainder
+),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN buckets USING (word) GROUP BY bucket
+),
+gains AS MATERIALIZED (
+  SELECT bucket,
+    floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain
+  FROM counts
+),
+weighed AS (
+  SELECT id, count(*) AS n, sum(gain)::BIGINT AS weight FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed ON doc_id = id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    (10 * count(*) FILTER (n_features >= 20) OVER ()) // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM ranked"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), seed=7, rate=100, spm=50)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    digests = (sha(F.col("output")).alias("output_sha256"), sha(restored("output", "form")).alias("restored_sha256"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents
+),
+drawn AS (
+  SELECT *, len(units) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS d FROM cut
+),
+placed AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS i, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain'
+         WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (
+  SELECT *, array_to_string(units[1:i], '') AS prefix, array_to_string(units[i + 1:j], '') AS middle, array_to_string(units[j + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts"""
+
+
 QUERIES = [
     Query("op1_token_counts", op1_token_counts),
     Query("op2_mix_sources", op2_mix_sources),
@@ -90,4 +173,6 @@ QUERIES = [
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
     Query("op10_secrets", op10_secrets),
+    Query("op12_target_resampling", op12_target_resampling, OP12),
+    Query("op13_fill_in_middle", op13_fill_in_middle, OP13),
 ]
