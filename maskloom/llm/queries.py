@@ -13,6 +13,7 @@ from maskloom.llm.neighbours import nearest
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.pseudo import pseudo_likelihood
 from maskloom.llm.quality import resample
+from maskloom.llm.repeats import remove_repeats
 from maskloom.llm.resampling import resample_to_target
 from maskloom.llm.secrets import digest, find_secrets
 from maskloom.llm.sharding import shard
@@ -81,6 +82,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return resample_to_target(documents(spark, sf_dir).select("doc_id", "text"), target)
@@ -173,6 +179,7 @@ QUERIES = [
     Query("op8_quality", op8_quality),
     Query("op9_simhash", op9_simhash),
     Query("op10_secrets", op10_secrets),
+    Query("op11_suffix_dedup", op11_suffix_dedup),
     Query("op12_target_resampling", op12_target_resampling, OP12),
     Query("op13_fill_in_middle", op13_fill_in_middle, OP13),
 ]
