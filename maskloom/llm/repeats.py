@@ -42,8 +42,8 @@ from maskloom.sources.scratch import BROADCAST_BYTES, settled
 
 GRAM = 32  # bytes of a mark, at most; a power of two
 HOT = 4096
-SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 PIECE = "key bigint, mark bigint, d1 bigint, d2 bigint, row bigint, first int, last int, weight bigint"
 FOUND = "row bigint, first int, last int"
 
@@ -159,20 +159,20 @@ def _parted(length: int, level: int):
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             strings: list = []
-            for row, text, pieces in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for row, text, *pieces in zip(*batch.columns, strict=True):
                 data, row = text.as_buffer(), row.as_py()
-                for piece in pieces.as_py():
-                    base = piece["first"]
-                    whole = memoryview(data)[base : piece["last"] + length]
-                    for first, last, key in part_again(bytes(whole), piece["mark"], length, level):
+                for base, end, mark, alone in zip(*(p.as_py() for p in pieces), strict=True):
+                    whole = memoryview(data)[base : end + length]
+                    for first, last, key in part_again(bytes(whole), mark, length, level):
                         strings.append(whole[first : last + length])
-                        for column, value in zip(columns, (key, piece["mark"], row, base + first, base + last, piece["weight"]), strict=True):
+                        for column, value in zip(columns, (key, mark, row, base + first, base + last, 1 if alone else 2), strict=True):
                             column.append(value)
                 if len(strings) > 1 << 16:
                     yield _told(columns, strings)
                     columns, strings = [[] for _ in range(6)], []
             if strings:
                 yield _told(columns, strings)
+            release_memory()
 
     def _told(columns: list[list], strings: list) -> pa.RecordBatch:
         d = _digests(iter(strings))
@@ -183,22 +183,25 @@ def _parted(length: int, level: int):
 
 
 def _cut_out(length: int):
-    """Batches of (row, text, pieces) to (key, row, first, weight, piece) with the piece's bytes."""
+    """Batches of (row, text, pieces) to (key, row, first, alone, piece) with the piece's bytes."""
+    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("alone", pa.bool_()), ("piece", pa.binary())])
+
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("weight", pa.int64()), ("piece", pa.binary())])
         for batch in batches:
-            held: list[dict] = []
-            for row, text, pieces in zip(*(batch.column(i) for i in range(3)), strict=True):
+            held: list[tuple] = []
+            for row, text, *pieces in zip(*batch.columns, strict=True):
                 data, row = memoryview(text.as_buffer()), row.as_py()
-                for p in pieces.as_py():
-                    piece = bytes(data[p["first"] : p["last"] + length])
-                    held.append({"key": p["key"], "row": row, "first": p["first"], "weight": p["weight"], "piece": piece})
+                for first, last, key, alone in zip(*(p.as_py() for p in pieces), strict=True):
+                    held.append((key, row, first, alone, bytes(data[first : last + length])))
                 if len(held) > 1 << 13:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+                    yield told(held)
                     held = []
             if held:
-                yield pa.RecordBatch.from_pylist(held, schema)
+                yield told(held)
+            release_memory()
 
     return run
 
@@ -208,19 +211,18 @@ def _sorted_shard(length: int, memory: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = Text(length)
-        row, first, weight, size = [], [], [], []
+        row, first, alone, size = [], [], [], []
         for batch in batches:
             # Number of bytes and four numbers a piece; the bytes themselves go to disk.
             text.add(batch.column("piece").to_pylist())
-            for held, name in ((row, "row"), (first, "first"), (weight, "weight")):
+            for held, name in ((row, "row"), (first, "first"), (alone, "alone")):
                 held.append(batch.column(name).to_numpy(zero_copy_only=False))
             size.append(np.diff(np.frombuffer(batch.column("piece").buffers()[1], np.int32)[batch.column("piece").offset :][: len(batch) + 1]))
         if not size:
             return
         flags = repeated_starts(text, length, memory)
-        row, first, weight, size = (np.concatenate(x).astype(np.int64) for x in (row, first, weight, size))
-        begin = np.cumsum(size + 1) - size - 1
-        alone = weight == 1
+        row, first, size, alone = (np.concatenate(x) for x in (row, first, size, alone))
+        begin = np.cumsum(size + 1, dtype=np.int64) - size - 1
         begin, row, first, size = begin[alone], row[alone], first[alone], size[alone]
         for low in range(0, len(begin), 1 << 12):
             found = [[], [], []]
@@ -237,15 +239,17 @@ def _sorted_shard(length: int, memory: int):
 
 
 def _with_texts(rows: DataFrame, found: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """Texts with an array of what was found in each; broadcast only if its bytes, measured, are few."""
-    width = 64 + 48 * F.size(column)
+    """Texts with arrays of what was found in each; broadcast only if their bytes, measured, are few."""
+    width = 96 + 24 * F.size(column)
     size = found.agg(F.sum(width.cast("bigint"))).first()[0] or 0
     return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "row", how)
 
 
-def _by_row(pieces: DataFrame) -> DataFrame:
-    """One row a text, settled. A text's list is no longer than a small share of the text."""
-    return settled(pieces.groupBy("row").agg(F.collect_list(F.struct("first", "last", "key", "mark", "weight")).alias("pieces")))
+def _by_row(pieces: DataFrame, code: str) -> DataFrame:
+    """One row a text, settled: arrays of its pieces' (first, last, code, whether it came once), a small share of the text."""
+    alone = (F.col("weight") == 1).alias("alone")
+    lists = pieces.groupBy("row").agg(F.collect_list(F.struct("first", "last", F.col(code).alias("code"), alone)).alias("p"))
+    return settled(lists.select("row", "p.first", "p.last", "p.code", "p.alone"))
 
 
 def repeated_strings(rows: DataFrame, length: int, hot: int = HOT, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
@@ -273,13 +277,13 @@ def repeated_strings(rows: DataFrame, length: int, hot: int = HOT, shard_bytes:
         if again.isEmpty():
             break
         level += 1
-        pieces = settled(_with_texts(texts, _by_row(again), "pieces").mapInArrow(_parted(length, level), PIECE))
+        pieces = settled(_with_texts(texts, _by_row(again, "mark"), "first").mapInArrow(_parted(length, level), PIECE))
     if shards:
         held = shards[0]
         for more in shards[1:]:
             held = held.unionByName(more)
         size = held.agg(F.sum((F.col("last") - F.col("first") + length).cast("bigint"))).first()[0] or 0
-        cut = _with_texts(texts, _by_row(held), "pieces").mapInArrow(_cut_out(length), "key bigint, row bigint, first int, weight bigint, piece binary")
+        cut = _with_texts(texts, _by_row(held, "key"), "first").mapInArrow(_cut_out(length), "key bigint, row bigint, first int, alone boolean, piece binary")
         dealt = cut.repartition(max(1, -(-size // shard_bytes)), "key")
         found.append(dealt.mapInArrow(_sorted_shard(length, memory), FOUND))
     whole = found[0]
@@ -308,15 +312,17 @@ def _spans(length: int):
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held: list[list] = [[], [], [], []]
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            data = text.as_buffer().to_pybytes()
-            edges = [0, *(spans.as_py() or ()), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            for column, value in zip(held, (len(data), len(data) - len(kept), len(edges) // 2 - 1, kept), strict=True):
-                column.append(value)
-        columns = [batch.column("id"), *(pa.array(x, pa.int64()) for x in held[:3]), batch.column("spans"), pa.array(held[3], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        for start, texts in text_blocks(batch.column("text"), BLOCK_BYTES):
+            part = batch.slice(start, len(texts))
+            held: list[list] = [[], [], [], []]
+            for data, spans in zip(texts, part.column("spans"), strict=True):
+                edges = [0, *(spans.as_py() or ()), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                for column, value in zip(held, (len(data), len(data) - len(kept), len(edges) // 2 - 1, kept), strict=True):
+                    column.append(value)
+            columns = [part.column("id"), *(pa.array(x, pa.int64()) for x in held[:3]), part.column("spans"), pa.array(held[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        release_memory()
 
 
 def remove_repeats(

@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MEMORY = 1 << 21  # tuples a queue holds; also the longest string of names that is sorted in memory
+MEMORY = 1 << 20  # tuples a queue holds; also the longest string of names that is sorted in memory
 STEP = 1 << 12
 FAR = 1 << 30
 # Symbols of a byte string: bytes from 2 on, what separates texts, and the end. 255 pads keys.
