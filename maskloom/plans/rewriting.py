@@ -346,6 +346,24 @@ def write_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_published(spark, target)
 
 
+def published_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest of a published output tells of each bundle; the second run replaces the first."""
+    from maskloom.sources.files import write_anonymised as publish
+    from maskloom.sources.publish import damages, manifest
+    from maskloom.sources.scratch import new_folder
+
+    lines = t.document_lines(spark, sf_dir).withColumnRenamed("path", "rel_path")
+    target = new_folder(spark, "published")
+    publish(lines.where("line_no = 1"), DOCUMENT_RULES, target, "")
+    publish(lines, DOCUMENT_RULES, target, SALT, replace=True)
+    told = manifest(spark, target).groupBy("bundle").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("rows", "text_bytes", "checksum")])
+    return told.unionByName(damages(spark, target).select(F.col("path").alias("bundle"), *[F.lit(-1).cast("bigint").alias(c) for c in ("rows", "text_bytes", "checksum")]))
+
+
+PUBLISHED_SQL = """SELECT bundle, count(*) AS rows, sum(strlen(path) + strlen(line_out) + strlen(eol))::BIGINT AS text_bytes,
+  sum(('0x' || substr(md5(concat_ws(chr(31), path, line_no::VARCHAR, line_out, eol)), 1, 8))::BIGINT)::BIGINT AS checksum
+FROM s5 GROUP BY bundle"""
+
 _LINES_BACK = "SELECT bundle, path AS rel_path, line_no, line_out AS line, eol FROM s5"
 
 
@@ -497,4 +515,5 @@ QUERIES = [
     ),
     Query("audit_spans", audit_spans, AUDIT_SPANS_SQL),
     Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_LINES_BACK)),
+    Query("published_manifest", published_manifest, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=PUBLISHED_SQL)),
 ]

@@ -14,6 +14,7 @@ from maskloom.operators.documents import documents_to_lines
 from maskloom.operators.files import ANONYMISE
 from maskloom.rules import Rule
 from maskloom.sources.lines import dispositions, excluded_below, lines_of
+from maskloom.sources.publish import attempt, resolve, write_manifest
 from maskloom.sources.trees import catalogue, is_local, list_files, local_path, with_content
 
 
@@ -82,31 +83,47 @@ def write_anonymised(
     salt: str = "",
     passthrough: DataFrame | None = None,
     partitions: int | None = None,
+    replace: bool = False,
 ) -> None:
-    """Rewrite lines and publish them and the untouched files below ``target``.
+    """Rewrite lines and publish them and the untouched files at ``target``, in whole or not at all.
+
+    An output that is there already is an error unless it is to be replaced.
+    """
+    spark = lines.sparkSession
+    with attempt(spark, target, replace) as folder:
+        write_parts(lines, rules, folder, salt, passthrough, partitions)
+        seal(spark, folder, ["lines", *(["files"] if passthrough is not None else [])])
+
+
+def write_parts(
+    lines: DataFrame, rules: Sequence[Rule], folder: str, salt: str = "", passthrough: DataFrame | None = None, partitions: int | None = None
+) -> None:
+    """The parts ``lines`` and ``files`` of an output below ``folder``.
 
     The tasks that hold the lines write them, sorted by path, in one folder per
     bundle; a file's lines lie together as they were read. ``partitions`` deals them
     out anew by (bundle, rel_path, line_no) first, where they do not or where
-    readers of a few large bundles wrote many small files. The table ``complete``
-    comes last: without it the output is not whole.
+    readers of a few large bundles wrote many small files.
     """
     order = ["bundle", "rel_path", "line_no"]
     kept = lines.select(*order, "line", "eol")
     # Range partitioning samples its input, so the rules run after it, not twice.
     placed = kept.repartitionByRange(partitions, *order) if partitions else kept
     done = apply_rules(placed.sortWithinPartitions(*order), rules, salt, "line", "line")
-    done.write.mode("errorifexists").partitionBy("bundle").parquet(f"{target}/lines")
+    done.write.mode("errorifexists").partitionBy("bundle").parquet(f"{folder}/lines")
     if passthrough is not None:
         # Contents are written by the tasks that read them: moving them would gain nothing.
         order = ["bundle", "rel_path", *(["piece_no"] if "piece_no" in passthrough.columns else [])]
         files = passthrough.select(*order, "content").sortWithinPartitions(*order)
-        files.write.mode("errorifexists").parquet(f"{target}/files")
-    parts = [("lines",), *([("files",)] if passthrough is not None else [])]
-    lines.sparkSession.createDataFrame(parts, "part string").coalesce(1).write.parquet(f"{target}/complete")
+        files.write.mode("errorifexists").parquet(f"{folder}/files")
+
+
+def seal(spark: SparkSession, folder: str, parts: Sequence[str]) -> DataFrame:
+    """The manifest of an attempt, with a table of its parts; nothing is written after it."""
+    spark.createDataFrame([(part,) for part in parts], "part string").coalesce(1).write.parquet(f"{folder}/complete")
+    return write_manifest(spark, folder, list(parts))
 
 
 def read_published(spark: SparkSession, target: str) -> DataFrame:
     """(bundle, rel_path, line_no, line, eol) of a whole output; bundle names stay text, whatever they look like."""
-    spark.read.parquet(f"{target}/complete")
-    return spark.read.schema(LINES).parquet(f"{target}/lines").select("bundle", "rel_path", "line_no", "line", "eol")
+    return spark.read.schema(LINES).parquet(f"{resolve(spark, target)}/lines").select("bundle", "rel_path", "line_no", "line", "eol")
