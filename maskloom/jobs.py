@@ -12,13 +12,14 @@ from maskloom.functions.globs import DEFAULT_EXCLUDES, is_excluded
 from maskloom.functions.text import SNIFF_BYTES, is_text
 from maskloom.operators.bundles import bundle_base_name, bundle_summary
 from maskloom.operators.detect import DEFAULT_NAMES, detections
-from maskloom.operators.files import ANONYMISE, EXCLUDED, PASSTHROUGH
+from maskloom.operators.files import ANONYMISE, EXCLUDED, FAILED, PASSTHROUGH
 from maskloom.operators.pathmap import path_components, path_map
 from maskloom.operators.profile import profile_report
 from maskloom.rules import Rule, active_rules, builtin_rules, merge_rules
 from maskloom.sources.archives import expand_archive_pieces
-from maskloom.sources.files import write_anonymised
-from maskloom.sources.lines import dispositions, excluded_below, lines_of, lines_of_pieces
+from maskloom.sources.files import seal, write_parts
+from maskloom.sources.lines import UNREAD, dispositions, excluded_below, lines_of_pieces, read_listed
+from maskloom.sources.publish import attempt, move
 from maskloom.sources.scratch import measured, settled, temporary_tables
 from maskloom.sources.trees import catalogue, is_local, local_path
 from maskloom.sources.trees import pieces as file_pieces
@@ -71,9 +72,10 @@ def anonymise(
     """Rewrite bundles below ``target`` and return the summary per bundle and in total.
 
     ``lines`` and ``files`` hold the rewritten and the untouched files of sound bundles,
-    ``report`` the profile where asked for, and ``complete`` comes last. A source that
-    cannot be read in whole, a single unreadable file included, is left out and
-    counted; the others go on. Nothing settled on the way is left behind.
+    ``report`` the profile where asked for, and ``manifest`` what was written; all appear
+    at once, when the run ends well. A file that cannot be read, when it is listed or
+    later on, is left out and counted, and so is a source that cannot be listed or
+    unpacked; the others go on. Nothing settled on the way is left behind.
     """
     merged = merge_rules(builtin_rules(), rules) if options.builtin else list(rules)
     active_rules(merged)
@@ -91,17 +93,17 @@ def _anonymise(spark: SparkSession, sources: Sequence[str], target: str, rules:
     pieces, members = _archive_members(spark, archives, options)
     columns = [*key, "length", "error", "disposition"]
     marked = listed.select(*columns).unionByName(members.select(*columns))
-    broken = settled(marked.where("error IS NOT NULL").select("bundle").distinct())
+    broken = settled(marked.where("error IS NOT NULL AND disposition IS NULL").select("bundle").distinct())
     failed = {row["bundle"] for row in broken.collect()}
     kept = marked.where(F.col("disposition") != EXCLUDED).join(F.broadcast(broken), "bundle", "left_anti")
     names = kept.select(*key, F.col("bundle").alias("out_bundle"), F.col("rel_path").alias("out_path"))
     order = spark.createDataFrame([(source, i) for i, source in enumerate(sources)], "bundle string, turn int")
+    hidden = order.select("bundle", F.col("bundle").alias("hidden"))
     if options.hide_names:
-        order = bundle_base_name(order, "bundle", "turn", hide_names=True, out="hidden").select("bundle", "hidden")
+        hidden = order = bundle_base_name(order, "bundle", "turn", hide_names=True, out="hidden").select("bundle", "hidden")
         parts = path_components(kept.select(*key), rules, options.salt, scope=("bundle",))
         renamed = path_map(parts, ("bundle",)).join(F.broadcast(order), "bundle")
         names = renamed.select(*key, F.col("hidden").alias("out_bundle"), F.col("anon_path").alias("out_path"))
-        marked = marked.join(F.broadcast(order), "bundle").withColumn("bundle", F.col("hidden")).drop("hidden")
     names = settled(names)
 
     def published(rows: DataFrame, *columns: str) -> DataFrame:
@@ -115,16 +117,46 @@ def _anonymise(spark: SparkSession, sources: Sequence[str], target: str, rules:
     roots = [root for root in folders if root not in failed]
     excluded = excluded_below([local_path(r) if is_local(r) else r for r in roots], [*DEFAULT_EXCLUDES, *options.exclude], options.exclude_any_case)
     single = texts.where(F.col("location").isin(roots)).isEmpty()
-    lines = lines_of(spark, texts, roots, excluded if single else None)
+    read = read_listed(spark, texts, roots, excluded if single else None)
     text_pieces = pieces.join(measured(settled(of_kind(members, ANONYMISE).select(*key))), key, "left_semi")
-    lines = published(lines.unionByName(lines_of_pieces(text_pieces.select(*key, "piece_no", "content"))), "line_no", "line", "eol")
+    lines = published(read.lines.unionByName(lines_of_pieces(text_pieces.select(*key, "piece_no", "content"))), "line_no", "line", "eol")
     binary = pieces.join(measured(settled(of_kind(members, PASSTHROUGH).select(*key))), key, "left_semi").select(*key, "piece_no", "content")
     binary = published(file_pieces(of_kind(listed, PASSTHROUGH)).unionByName(binary), "piece_no", "content")
-    if options.profile:
-        path = F.concat_ws("/", "bundle", "rel_path").alias("path")
-        text_names = published(of_kind(listed, ANONYMISE).select(*key).unionByName(of_kind(members, ANONYMISE).select(*key)))
-        found = detections(lines.withColumn("path", path), options.detectors)
-        report = profile_report(found, text_names.select(path), options.detectors, options.max_examples, options.generated_at)
-        report.write.mode("errorifexists").json(f"{target}/report")
-    write_anonymised(lines, rules, target, options.salt, binary)
-    return bundle_summary(marked)
+    with attempt(spark, target) as folder:
+        if options.profile:
+            path = F.concat_ws("/", "bundle", "rel_path").alias("path")
+            text_names = published(of_kind(listed, ANONYMISE).select(*key).unionByName(of_kind(members, ANONYMISE).select(*key)))
+            found = detections(lines.withColumn("path", path), options.detectors)
+            report = profile_report(found, text_names.select(path), options.detectors, options.max_examples, options.generated_at)
+            report.write.mode("errorifexists").json(f"{folder}/report")
+        write_parts(lines, rules, folder, options.salt, binary)
+        cut = _without_cut_files(spark, folder).join(names, [F.col("cut_bundle") == names["out_bundle"], F.col("cut_path") == names["out_path"]])
+        failed = settled(read.failed.select(*key, "error").unionByName(cut.select(*key, F.lit(UNREAD).alias("error"))))
+        told = seal(spark, folder, ["lines", "files"])
+        _all_lines_written(told, read.counts.join(F.broadcast(hidden), "bundle").select(F.col("hidden").alias("bundle"), "n_lines"))
+        late = F.col("late").isNotNull()
+        marked = marked.join(measured(failed.select(*key, F.col("error").alias("late"))), key, "left").withColumns(
+            {"error": F.coalesce("late", "error"), "disposition": F.when(late, F.lit(FAILED)).otherwise(F.col("disposition"))}
+        )
+        summary = marked.join(F.broadcast(hidden), "bundle").withColumn("bundle", F.col("hidden"))
+        return settled(bundle_summary(summary.drop("hidden", "late")))
+
+
+def _without_cut_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(cut_bundle, cut_path) of files with a piece that could not be read; what was written of them goes."""
+    written = spark.read.parquet(f"{folder}/files")
+    cut = settled(written.where("content IS NULL").select(F.col("bundle").alias("cut_bundle"), F.col("rel_path").alias("cut_path")).distinct())
+    if not cut.isEmpty():
+        at = [F.col("bundle") == F.col("cut_bundle"), F.col("rel_path") == F.col("cut_path")]
+        written.join(measured(cut), at, "left_anti").write.parquet(f"{folder}/sound")
+        move(spark, f"{folder}/sound", f"{folder}/files")
+    return cut
+
+
+def _all_lines_written(manifest: DataFrame, counts: DataFrame) -> None:
+    """The bundles' lines were counted when they were checked: a file that went bad between that and writing stops the run."""
+    written = manifest.where("part = 'lines'").groupBy("bundle").agg(F.sum("rows").alias("written"))
+    wanted = counts.groupBy("bundle").agg(F.sum("n_lines").alias("wanted"))
+    short = wanted.join(written, "bundle", "left").where(F.coalesce("written", F.lit(0)) < F.col("wanted")).first()
+    if short is not None:
+        raise OSError(f"a file changed while it was read, in {short['bundle']}: run again")

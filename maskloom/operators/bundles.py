@@ -71,19 +71,22 @@ def bundle_base_name(
 def bundle_summary(files: DataFrame, bundle: str = "bundle", error: str = "error") -> DataFrame:
     """Per-bundle file counts and status, with the batch's totals in a row of their own.
 
-    A bundle fails when any of its rows carries an error; the others go on. A row
-    without disposition stands for a bundle that could not be read. File counts
-    reduce on the map side before anything is shuffled.
+    A file that failed by itself, with ``failed`` as its disposition, is counted and
+    costs no other file. A bundle fails when any other of its rows carries an error;
+    the others go on. A row without disposition stands for a bundle that could not be
+    read. File counts reduce on the map side before anything is shuffled.
     """
+    alone = F.col("disposition").eqNullSafe("failed")
     per_bundle = files.groupBy(bundle).agg(
         F.count("disposition").alias("n_files"),
         F.count_if(F.col("disposition") == "anonymise").alias("n_anonymised"),
         F.count_if(F.col("disposition") == "passthrough").alias("n_passthrough"),
         F.count_if(F.col("disposition") == "excluded").alias("n_excluded"),
-        F.count_if(F.col(error).isNotNull()).alias("n_errors"),
+        F.count_if(alone).alias("n_failed_files"),
+        F.count_if(F.col(error).isNotNull() & ~alone).alias("n_errors"),
     )
     failed = F.col("n_errors") > 0
-    totals = ["n_files", "n_anonymised", "n_passthrough", "n_excluded", "n_errors"]
+    totals = ["n_files", "n_anonymised", "n_passthrough", "n_excluded", "n_failed_files", "n_errors"]
     return per_bundle.rollup(bundle).agg(
         *[F.sum(c).alias(c) for c in totals],
         F.count_if(~failed).alias("n_succeeded"),

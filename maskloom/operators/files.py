@@ -13,7 +13,7 @@ from maskloom.functions.text import is_text
 from maskloom.operators.bundles import numbered
 from maskloom.rules import Rule
 
-EXCLUDED, ANONYMISE, PASSTHROUGH = "excluded", "anonymise", "passthrough"
+EXCLUDED, ANONYMISE, PASSTHROUGH, FAILED = "excluded", "anonymise", "passthrough", "failed"
 
 
 def _verdict(path: Column, patterns: Iterable[str], defaults: bool, case_insensitive: bool) -> Column:

@@ -91,8 +91,12 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose numbers end in 7 stand for files that failed by themselves."""
     unreadable = F.when(F.startswith("content", F.lit(bytearray(b"\x1f\x8b"))), F.lit("unreadable"))
-    report = bundles.bundle_summary(classified(spark, sf_dir).withColumn("error", unreadable))
+    files = classified(spark, sf_dir).withColumn("error", unreadable)
+    failed = F.col("rel_path").rlike("7[^0-9/]*$") & F.col("error").isNull()
+    files = files.withColumns({"disposition": F.when(failed, F.lit("failed")).otherwise(F.col("disposition")), "error": F.when(failed, F.lit("unreadable")).otherwise(F.col("error"))})
+    report = bundles.bundle_summary(files)
     return report.withColumn("is_total", F.col("is_total").cast("bigint"))
 
 
@@ -100,14 +104,19 @@ SUMMARY_SQL = with_tables(
     t.DOCUMENT_FILES,
     TEXT_FILES,
     CLASSIFIED,
-    """per_bundle AS (
-      SELECT bundle, count(*) AS n_files, count_if(disposition = 'anonymise') AS n_anonymised,
-        count_if(disposition = 'passthrough') AS n_passthrough, count_if(disposition = 'excluded') AS n_excluded,
-        count_if(starts_with(hex(content), '1F8B')) AS n_errors
-      FROM classified GROUP BY bundle
+    r"""judged AS (
+      SELECT bundle, disposition, starts_with(hex(content), '1F8B') AS broken,
+        regexp_matches(rel_path, '7[^0-9/]*$') AND NOT starts_with(hex(content), '1F8B') AS failed
+      FROM classified
+    ),
+    per_bundle AS (
+      SELECT bundle, count(*) AS n_files, count_if(disposition = 'anonymise' AND NOT failed) AS n_anonymised,
+        count_if(disposition = 'passthrough' AND NOT failed) AS n_passthrough, count_if(disposition = 'excluded' AND NOT failed) AS n_excluded,
+        count_if(failed) AS n_failed_files, count_if(broken) AS n_errors
+      FROM judged GROUP BY bundle
     )""",
     body="""SELECT bundle, sum(n_files)::BIGINT AS n_files, sum(n_anonymised)::BIGINT AS n_anonymised,
-      sum(n_passthrough)::BIGINT AS n_passthrough, sum(n_excluded)::BIGINT AS n_excluded, sum(n_errors)::BIGINT AS n_errors,
+      sum(n_passthrough)::BIGINT AS n_passthrough, sum(n_excluded)::BIGINT AS n_excluded, sum(n_failed_files)::BIGINT AS n_failed_files, sum(n_errors)::BIGINT AS n_errors,
       count_if(n_errors = 0)::BIGINT AS n_succeeded, count_if(n_errors > 0)::BIGINT AS n_failed, count(*) AS n_bundles,
       grouping(bundle)::BIGINT AS is_total
     FROM per_bundle GROUP BY ROLLUP (bundle)""",

@@ -3,40 +3,46 @@
 The files are listed, excluded by path, and told text from binary by their first
 bytes; only then are contents read, by Spark's text source, which splits a file
 over many tasks. What that source passes over, names that begin with ``.`` or
-``_``, is read record by record.
+``_``, and what it would unpack by its name is read record by record. A file whose
+bytes are not all there when it is read is kept apart with an error; the others go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.globs import DEFAULT_EXCLUDES, is_excluded
 from maskloom.functions.text import SNIFF_BYTES, is_text, line_structs
-from maskloom.operators.files import ANONYMISE, EXCLUDED, PASSTHROUGH
+from maskloom.operators.files import ANONYMISE, EXCLUDED, FAILED, PASSTHROUGH
 from maskloom.sources.scratch import measured, settled
 from maskloom.sources.trees import hidden_texts, with_head
 
 HIDDEN = r"(^|/)[._]"
+# Suffixes that make Spark's text source unpack a file, whatever it holds.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
+UNREAD = "unreadable: its bytes were not all there when it was read"
 
 
 def dispositions(files: DataFrame, exclude: Iterable[str] = (), any_case: bool = False, defaults: bool = True) -> DataFrame:
-    """(bundle, rel_path, location, length, error, open_end, disposition), settled. Excluded files are never opened.
+    """(bundle, rel_path, location, length, error, open_end, marked, disposition), settled; ``marked`` files begin with a byte-order mark. Excluded files are never opened.
 
-    A file that cannot be opened has an ``error`` and no disposition.
+    A file that cannot be opened failed, with an ``error``; a source that cannot be listed has an ``error`` and no disposition.
     """
     patterns = [*(DEFAULT_EXCLUDES if defaults else ()), *exclude]
     out = is_excluded(F.col("rel_path"), patterns, any_case) if patterns else F.lit(False)
     sound = files.where("error IS NULL").withColumn("excluded", out)
     kept = with_head(sound.where(~F.col("excluded")), SNIFF_BYTES)
-    by_head = F.when(F.col("error").isNull(), F.when(is_text(F.col("head")), F.lit(ANONYMISE)).otherwise(F.lit(PASSTHROUGH)))
+    by_head = F.when(F.col("error").isNotNull(), F.lit(FAILED)).when(is_text(F.col("head")), F.lit(ANONYMISE)).otherwise(F.lit(PASSTHROUGH))
     columns = ["bundle", "rel_path", "location", "length", "error"]
-    told = kept.select(*columns, "open_end", by_head.alias("disposition"))
-    unread = F.lit(False).alias("open_end")
-    told = told.unionByName(sound.where("excluded").select(*columns, unread, F.lit(EXCLUDED).alias("disposition")))
-    broken = files.where("error IS NOT NULL").select(*columns, unread, F.lit(None).cast("string").alias("disposition"))
+    mark = F.coalesce(F.startswith("head", F.lit(bytearray(b"\xef\xbb\xbf"))), F.lit(False)).alias("marked")
+    told = kept.select(*columns, "open_end", mark, by_head.alias("disposition"))
+    unread = (F.lit(False).alias("open_end"), F.lit(False).alias("marked"))
+    told = told.unionByName(sound.where("excluded").select(*columns, *unread, F.lit(EXCLUDED).alias("disposition")))
+    broken = files.where("error IS NOT NULL").select(*columns, *unread, F.lit(None).cast("string").alias("disposition"))
     return settled(told.unionByName(broken))
 
 
@@ -48,14 +54,15 @@ def _location() -> Column:
 
 def _records(spark: SparkSession, files: DataFrame, roots: Sequence[str], excluded: Column | None) -> DataFrame:
     """(location, block, seq, value): what lies between line feeds, in order within a block."""
-    passed_over = files.where(F.col("rel_path").rlike(HIDDEN))
+    passed_over = files.where(F.col("rel_path").rlike(HIDDEN) | F.col("location").rlike(PACKED))
     hidden = hidden_texts(passed_over).withColumn("block", F.lit(0).cast("bigint"))
     if not roots:
         return hidden
     raw = (
-        spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(list(roots))
+        # What cannot be read leaves no record; its bytes are then missed.
+        spark.read.options(lineSep="\n", recursiveFileLookup=True, ignoreCorruptFiles=True, ignoreMissingFiles=True).text(list(roots))
         # A filter on the path alone is applied to the listing: the source does not open what it rules out.
-        .where(F.lit(True) if excluded is None else ~excluded)
+        .where(~_location().rlike(PACKED) & (F.lit(True) if excluded is None else ~excluded))
         .select(
             _location().alias("location"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -88,10 +95,30 @@ def excluded_below(roots: Sequence[str], patterns: Sequence[str], any_case: bool
     return is_excluded(F.regexp_replace(_location(), f"^(?:{tops})/", ""), patterns, any_case)
 
 
+@dataclass(frozen=True)
+class ReadLines:
+    """``lines`` (keep..., line_no, line, eol); ``failed`` (keep..., location, error); ``counts`` (keep..., n_lines) of the files read, settled."""
+
+    lines: DataFrame
+    failed: DataFrame
+    counts: DataFrame
+
+
 def lines_of(
     spark: SparkSession, files: DataFrame, roots: Sequence[str], excluded: Column | None = None, keep: Sequence[str] = ("bundle", "rel_path")
 ) -> DataFrame:
-    """(keep..., line_no, line, eol) of the listed files, all of them text, below ``roots``.
+    """(keep..., line_no, line, eol) of the listed files, all of them text, below ``roots``; one that cannot be read is an error."""
+    read = read_listed(spark, files, roots, excluded, keep)
+    bad = read.failed.first()
+    if bad is not None:
+        raise OSError(f"{bad['error']}: {bad['location']}")
+    return read.lines
+
+
+def read_listed(
+    spark: SparkSession, files: DataFrame, roots: Sequence[str], excluded: Column | None = None, keep: Sequence[str] = ("bundle", "rel_path")
+) -> ReadLines:
+    """The lines of the listed files, all of them text, below ``roots``, and the files of which bytes are missing.
 
     ``files`` must be settled. A leading byte-order mark is no part of a line. Lines end at ``\\n``, ``\\r\\n`` or ``\\r``. Spark reads the
     blocks of a file in order, so a record's place follows from the sizes of the
@@ -108,8 +135,16 @@ def lines_of(
             F.count(F.lit(1)).alias("n_records"),
             F.sum(inner).alias("n_inner"),
             F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
+            F.sum((F.octet_length("value") + 1).cast("bigint")).alias("n_bytes"),
         )
     )
+    by_file = blocks.groupBy("location").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n_records") + F.col("n_inner")).alias("n_lines"))
+    # The last record may lack its line feed, and the source leaves out a byte-order mark.
+    beyond = F.coalesce("n_bytes", F.lit(0)) - F.when(F.coalesce("n_lines", F.lit(0)) > 0, F.col("open_end").cast("bigint")).otherwise(0) - F.col("length")
+    sound = (beyond == 0) | (F.col("marked") & (beyond == -3))
+    listed = list(dict.fromkeys([*keep, "location"]))
+    checked = settled(files.select(*listed, "length", "open_end", "marked").join(by_file, "location", "left").select(*listed, "n_lines", sound.alias("sound")))
+    files = files.join(checked.where("NOT sound").select("location"), "location", "left_anti")
     in_file = Window.partitionBy("location")
     before = in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select(
@@ -133,4 +168,7 @@ def lines_of(
     cut = parts.where("n_inner > 0").withColumn("inner_before", F.coalesce(F.sum("own_inner").over(earlier), F.lit(0)))
     told = plain.unionByName(cut).select("*", F.posexplode("parts").alias("pos", "part"))
     line_no = F.col("lines_before") + F.col("seq") - F.col("first_seq") + F.col("inner_before") + F.col("pos") + 1
-    return told.select(*keep, line_no.cast("bigint").alias("line_no"), F.col("part.line").alias("line"), F.col("part.eol").alias("eol"))
+    lines = told.select(*keep, line_no.cast("bigint").alias("line_no"), F.col("part.line").alias("line"), F.col("part.eol").alias("eol"))
+    failed = checked.where("NOT sound").select(*listed, F.lit(UNREAD).alias("error"))
+    counts = checked.where("sound").select(*keep, F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    return ReadLines(lines, failed, counts)

@@ -177,35 +177,50 @@ def with_head(files: DataFrame, size: int) -> DataFrame:
 
 
 def pieces(files: DataFrame, size: int = 64 << 20) -> DataFrame:
-    """(bundle, rel_path, piece_no, content): whole files of any length in pieces of bounded size, each read by itself."""
+    """(bundle, rel_path, piece_no, content): whole files of any length in pieces of bounded size, each read by itself.
+
+    A piece that cannot be read, or is shorter than listed, has no content.
+    """
     number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0).cast("bigint"))))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                with opened(row.location) as file:
-                    file.seek(row.piece_no * size)
-                    content = file.read(size)
+                wanted = min(size, row.length - row.piece_no * size)
+                try:
+                    with opened(row.location) as file:
+                        file.seek(row.piece_no * size)
+                        content = file.read(size)
+                except OSError:
+                    content = None
+                if content is None or len(content) < wanted:
+                    content = None
                 yield pd.DataFrame({"bundle": [row.bundle], "rel_path": [row.rel_path], "piece_no": [row.piece_no], "content": [content]})
 
-    dealt = files.select("bundle", "rel_path", "location", number.alias("piece_no")).repartition("location", "piece_no")
+    dealt = files.select("bundle", "rel_path", "location", "length", number.alias("piece_no")).repartition("location", "piece_no")
     return dealt.mapInPandas(read, "bundle string, rel_path string, piece_no bigint, content binary")
 
 
 def hidden_texts(files: DataFrame, size: int = 1 << 20) -> DataFrame:
-    """(location, value, seq): records between line feeds of files that Spark's sources pass over, as bytes."""
+    """(location, value, seq): records between line feeds of files that Spark's sources pass over, as bytes.
+
+    What cannot be read of a file is missing: the caller compares the bytes with the listing.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for location in batch["location"]:
                 rows, held, seq = [], 0, 0
-                with opened(location) as file:
-                    for record in _records(file):
-                        rows.append((location, record.removesuffix(b"\n"), seq))
-                        held, seq = held + len(record), seq + 1
-                        if held > size:
-                            yield pd.DataFrame(rows, columns=["location", "value", "seq"])
-                            rows, held = [], 0
+                try:
+                    with opened(location) as file:
+                        for record in _records(file):
+                            rows.append((location, record.removesuffix(b"\n"), seq))
+                            held, seq = held + len(record), seq + 1
+                            if held > size:
+                                yield pd.DataFrame(rows, columns=["location", "value", "seq"])
+                                rows, held = [], 0
+                except OSError:
+                    pass
                 yield pd.DataFrame(rows, columns=["location", "value", "seq"])
 
     return files.select("location").mapInPandas(read, "location string, value binary, seq bigint")

@@ -119,3 +119,64 @@ def test_published_bundle_names_stay_text(spark, tmp_path):
     (tmp_path / "half" / "lines").mkdir(parents=True)
     with pytest.raises(Exception):
         read_published(spark, str(tmp_path / "half"))
+
+
+def test_an_unreadable_file_costs_no_other(spark, tmp_path, monkeypatch):
+    """Files that go bad after they were listed: one removed, one cut, one hidden, one binary; and text under names of packed files."""
+    import maskloom.jobs as jobs
+    from maskloom.sources.lines import dispositions
+
+    folder = tmp_path / "many"
+    (folder / "sub").mkdir(parents=True)
+    for i in range(200):
+        (folder / f"{i}.log").write_text(f"user=u{i}\nline {i}" + "\n" * (i % 2))
+    (folder / "sub" / "plain.log.gz").write_text("user=packed\r\nby name only\n")
+    (folder / "sub" / "bom.txt").write_bytes(b"\xef\xbb\xbfuser=x\r\n\r\n")
+    (folder / "sub" / ".hidden").write_text("a\nb")
+    (folder / "empty").write_text("")
+    for name in ("gone.bin", "kept.bin"):
+        (folder / "sub" / name).write_bytes(b"\x00" * 50)
+
+    def listed_then_damaged(files, *args, **kwargs):
+        found = dispositions(files, *args, **kwargs)
+        if (folder / "7.log").exists():
+            (folder / "7.log").unlink()
+            (folder / "8.log").write_text("user=")
+            (folder / "sub" / ".hidden").unlink()
+            (folder / "sub" / "gone.bin").write_bytes(b"\x00")
+        return found
+
+    monkeypatch.setattr(jobs, "dispositions", listed_then_damaged)
+    target = str(tmp_path / "out")
+    summary = {r["bundle"]: r for r in anonymise(spark, [str(folder)], target, RULES).collect()}
+    told = summary[None]
+    assert (told["n_failed_files"], told["n_failed"], told["n_succeeded"], told["n_files"]) == (4, 0, 1, 206)
+    assert (told["n_anonymised"], told["n_passthrough"]) == (201, 1)
+    out = texts(spark, target)
+    assert out[("many", "sub/plain.log.gz")] == "user=[USER]\r\nby name only\n"
+    assert out[("many", "sub/bom.txt")] == "user=[USER]\r\n\r\n"
+    assert {path for _, path in out} == {f"{i}.log" for i in range(200) if i not in (7, 8)} | {"sub/plain.log.gz", "sub/bom.txt"}
+    assert [r["rel_path"] for r in spark.read.parquet(f"{target}/files").collect()] == ["sub/kept.bin"]
+
+
+def test_a_file_that_changes_while_it_is_written_stops_the_run(spark, sources, tmp_path, monkeypatch):
+    import maskloom.jobs as jobs
+    from maskloom.sources.publish import NotPublished
+
+    real = jobs.read_listed
+
+    def read_then_damaged(*args, **kwargs):
+        read = real(*args, **kwargs)
+        (tmp_path / "first" / "alice.log").unlink(missing_ok=True)
+        return read
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "read_listed", read_then_damaged)
+        with pytest.raises(OSError, match="run again"):
+            anonymise(spark, [sources["first"]], str(tmp_path / "out"), RULES)
+    from maskloom.sources.files import read_published
+
+    with pytest.raises(NotPublished):
+        read_published(spark, str(tmp_path / "out"))
+    anonymise(spark, [sources["first"]], str(tmp_path / "out"), RULES)
+    assert {path for _, path in texts(spark, str(tmp_path / "out"))} == {"host1/bob.log"}
