@@ -180,6 +180,10 @@ UNION ALL SELECT bundle, 'lang.txt', lang, failed FROM packed WHERE NOT failed
 UNION ALL SELECT bundle, NULL, NULL, failed FROM packed WHERE failed"""
 
 
+def documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_to_documents(t.document_lines(spark, sf_dir))
+
+
 def rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_to_documents(t.document_lines(spark, sf_dir), chunk_lines=8)
 
@@ -235,6 +239,14 @@ QUERIES = [
             FROM classified WHERE disposition <> 'excluded' QUALIFY rank <= 20""",
         ),
     ),
+    Query(
+        "documents_whole",
+        documents_whole,
+        with_tables(
+            t.DOCUMENTS,
+            body="SELECT path, 0::BIGINT AS chunk_no, 0::BIGINT AS \"offset\", text FROM docs WHERE text <> ''",
+        ),
+    ),
     Query(
         "lines_to_documents",
         rejoined,

@@ -13,7 +13,7 @@ from maskloom.plans import tables as t
 from maskloom.plans.rewriting import DOC_STEPS, DOCUMENT_RULES, SALT
 from maskloom.plans.tables import Query, with_tables
 from maskloom.sources.files import qualified
-from maskloom.streaming.operators import detection_rate, drain, drain_complete
+from maskloom.streaming.operators import detection_rate, drain, drain_complete, drain_rates
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,13 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumns(times)
 
 
+def rated_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, the open ones from the state of the finished stream."""
+    lines = t.kv_lines_of(_stream(spark, sf_dir, "events"))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return drain_rates(detection_rate(lines)).rates.withColumns(times)
+
+
 _SECRETS_AND_TEXTS = """scan_lines AS (
   SELECT path, line_no, line FROM secret_lines UNION ALL SELECT path, line_no, line FROM doc_lines
 )"""
@@ -73,4 +80,17 @@ QUERIES = [
             GROUP BY ALL""",
         ),
     ),
+    Query(
+        "stream_detection_rate_whole",
+        rated_whole,
+        with_tables(
+            t.KV_LINES,
+            _KV_ONLY,
+            detecting.ALL_FOUND,
+            body="""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, kind, count(*) AS n,
+              date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS closed
+            FROM found JOIN kv_lines USING (path, line_no)
+            GROUP BY ALL""",
+        ),
+    ),
 ]

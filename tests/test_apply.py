@@ -182,3 +182,24 @@ def test_outside_the_spans_the_output_comes_from_the_input(lines):
         rest = iter(row["line"])
         assert all(c in rest for c in kept)
         assert all(a["end"] < b["start"] for a, b in zip(row["spans"], row["spans"][1:]))
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 7, 100, 5000, 1 << 28])
+def test_documents_come_back_whole(spark, chunk_bytes, monkeypatch):
+    """Short, long, many-lined and wide-lined documents, one of them of most lines; chunks are bounded and tell their offset."""
+    from maskloom.operators import documents
+
+    monkeypatch.setattr(documents, "LEAF_LINES", 16)
+    monkeypatch.setattr(documents, "LEAF_BYTES", 64)
+    texts = {"a": "x", "b": "\n" * 30, "c": "é\r\n" * 200 + "end", "d": "w" * 6000 + "\nq", None: "null key\r" * 9, "hot": "".join(f"{i}\n" for i in range(3000))}
+    df = spark.createDataFrame([("s", *item) for item in texts.items()], "bundle string, path string, text string")
+    lines = documents_to_lines(df, "text", ("bundle", "path"))
+    rows = lines_to_documents(lines.repartition(8), ("bundle", "path"), chunk_bytes=chunk_bytes).collect()
+    for name, text in texts.items():
+        mine = sorted((r["chunk_no"], r["offset"], r["text"]) for r in rows if r["path"] == name)
+        assert "".join(part for _, _, part in mine) == text
+        sizes = [len(part.encode()) for _, _, part in mine]
+        assert [offset for _, offset, _ in mine] == [sum(sizes[:i]) for i in range(len(sizes))]
+        assert len(mine) == 1 or len(text.encode()) > chunk_bytes
+        longest = max(len(line.encode()) for line in text.splitlines(keepends=True))
+        assert all(size < chunk_bytes + longest or len(mine) == 1 for size in sizes)

@@ -7,7 +7,7 @@ from maskloom.operators.apply import apply_rules, rule_stats
 from maskloom.operators.detect import detections
 from maskloom.operators.profile import matches_by_kind
 from maskloom.rules import Mask, Rule, builtin_rules
-from maskloom.streaming.operators import detection_rate, drain, drain_complete
+from maskloom.streaming.operators import detection_rate, drain, drain_complete, drain_rates, late_rates
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -66,3 +66,29 @@ def test_a_stream_without_input_is_empty(spark, source, tmp_path):
     (tmp_path / "none").mkdir()
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "none"))
     assert drain_complete(matches_by_kind(detections(stream, keep=("line_no",)))).count() == 0
+
+
+def test_a_drained_stream_tells_open_windows_and_late_rows(spark, source, tmp_path):
+    """Files in order of time, then one with rows of long closed windows beside new ones."""
+    table, _ = source
+    for i, hours in enumerate(((0, 2), (2, 4), (4, 9))):
+        part = table.where((F.hour("ts") >= hours[0]) & (F.hour("ts") < hours[1]))
+        late = spark.createDataFrame([(1000, START + datetime.timedelta(minutes=5), "late a@b.org from 10.0.0.1")], table.schema)
+        (part.unionByName(late) if i == 2 else part).coalesce(1).write.parquet(str(tmp_path / "in2" / f"{i}"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in2/*"))
+    drained = drain_rates(detection_rate(stream))
+    whole = detection_rate(spark.read.schema(table.schema).parquet(str(tmp_path / "in2/*")))
+    got = {(r["window_start"], r["kind"]): (r["n"], r["closed"]) for r in drained.rates.collect()}
+    late = {(r["window_start"], r["kind"]): r["n_late"] for r in late_rates(whole, drained.rates).collect()}
+    assert late == {(START, "email"): 1, (START, "ipv4"): 1} and drained.n_dropped == 2
+    want = {(r["window_start"], r["kind"]): r["n"] for r in whole.collect()}
+    assert {key: n - late.get(key, 0) for key, n in want.items()} == {key: n for key, (n, _) in got.items()}
+    # 06:39 less ten minutes: the window from six on is open, those before are not.
+    assert {start.hour for (start, _), (_, closed) in got.items() if not closed} == {6}
+
+
+def test_drained_rates_without_input(spark, source, tmp_path):
+    table, _ = source
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "none"))
+    assert drain_rates(detection_rate(stream)).rates.count() == 0
