@@ -12,10 +12,15 @@ from maskloom.functions.actions import rewrite, runs_on_jvm, triggered
 from maskloom.functions.binding import Step, fold, let
 from maskloom.functions.dialect import translate
 from maskloom.functions.pyrewrite import python_step
+from maskloom.functions.triggers import may_fire
 from maskloom.operators.spans import with_changed_spans
 from maskloom.rules import Rule, active_rules
 
 
+# Lists from this length on are searched for all triggers at once, and in blocks.
+LONG_LIST, BLOCK = 24, 32
+
+
 def _text_step(rule: Rule, salt: str) -> Step:
     def step(text: Column) -> Column:
         changed = rewrite(text, rule, salt)
@@ -51,12 +56,25 @@ def total_matches(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda total, hit: total + matches_of(hit))
 
 
+def _fold_rules(start: Column, rules: Sequence[Rule], steps: Sequence[Step], text_of: Step) -> Column:
+    """The steps of a rule list; a long one is skipped, whole or in blocks, where nothing in it can fire."""
+    if len(rules) < LONG_LIST:
+        return fold(start, steps)
+
+    def block(low: int) -> Step:
+        own, guard = steps[low : low + BLOCK], rules[low : low + BLOCK]
+        return lambda state: F.when(may_fire(text_of(state), guard), fold(state, own)).otherwise(state)
+
+    blocks = [block(low) for low in range(0, len(rules), BLOCK)]
+    return let(start, lambda state: F.when(may_fire(text_of(state), rules), fold(state, blocks)).otherwise(state))
+
+
 def rewritten_text(text: Column, rules: Sequence[Rule], salt: str = "") -> Column:
     """``text`` after all rules, each on the output of the one before, as one Column."""
     rules = active_rules(rules)
     if not all(runs_on_jvm(rule) for rule in rules):
         raise ValueError("a pattern needs Python's re: use apply_rules on the DataFrame")
-    return fold(text, [_text_step(rule, salt) for rule in rules])
+    return _fold_rules(text, rules, [_text_step(rule, salt) for rule in rules], lambda state: state)
 
 
 def _start(text: Column) -> Column:
@@ -68,7 +86,12 @@ def with_state(df: DataFrame, rules: Sequence[Rule], salt: str, text: Column, ou
     df = df.withColumn(out, _start(text))
     for on_jvm, run in groupby(enumerate(active_rules(rules)), key=lambda placed: runs_on_jvm(placed[1])):
         if on_jvm:
-            df = df.withColumn(out, fold(F.col(out), [_counting_step(place, rule, salt) for place, rule in run]))
+            placed = list(run)
+            steps = [_counting_step(place, rule, salt) for place, rule in placed]
+            # A rule without a trigger is triggered by every line, and that counts here.
+            guarded = all(rule.trigger for _, rule in placed)
+            own = [rule for _, rule in placed] if guarded else []
+            df = df.withColumn(out, _fold_rules(F.col(out), own, steps, lambda state: state["text"]))
         else:
             for place, rule in run:
                 df = df.withColumn(out, python_step(F.col(out)["text"], F.col(out)["hits"], place, rule, salt))

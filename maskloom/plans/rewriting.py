@@ -346,6 +346,21 @@ def write_anonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_published(spark, target)
 
 
+def apply_long_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 rules, one a user, on users' lines and on texts; one more fires on what another wrote."""
+    rules = [Rule(f"u{i}", f"user=u{i} ", f"user=u{i} ", Replace(f"[U{i}] ")) for i in range(400)]
+    rules.append(Rule("seven", "[u7]", r"\[U7\]", Replace("[SEVEN]"), case_sensitive=False))
+    kv = t.kv_lines(spark, sf_dir).select("path", "line_no", "line")
+    lines = kv.unionByName(t.document_lines(spark, sf_dir).select("path", "line_no", "line"))
+    return apply.apply_rules(lines, rules).select("path", "line_no", "line_out")
+
+
+LONG_RULES_SQL = r"""SELECT path, line_no,
+  CASE WHEN regexp_matches(line, '^user=u[1-3]?[0-9]{1,2} ')
+    THEN replace(regexp_replace(line, '^user=u([0-9]+) ', '[U\1] '), '[U7]', '[SEVEN]') ELSE line END AS line_out
+FROM (SELECT path, line_no, line FROM kv_lines UNION ALL SELECT path, line_no, line FROM doc_lines)"""
+
+
 def published_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the manifest of a published output tells of each bundle; the second run replaces the first."""
     from maskloom.sources.files import write_anonymised as publish
@@ -515,5 +530,6 @@ QUERIES = [
     ),
     Query("audit_spans", audit_spans, AUDIT_SPANS_SQL),
     Query("write_anonymised", write_anonymised, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=_LINES_BACK)),
+    Query("apply_long_rules", apply_long_rules, with_tables(t.KV_LINES, t.DOCUMENT_LINES, body=LONG_RULES_SQL)),
     Query("published_manifest", published_manifest, with_tables(t.DOCUMENT_LINES, DOC_STEPS, body=PUBLISHED_SQL)),
 ]

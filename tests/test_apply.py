@@ -203,3 +203,42 @@ def test_documents_come_back_whole(spark, chunk_bytes, monkeypatch):
         assert len(mine) == 1 or len(text.encode()) > chunk_bytes
         longest = max(len(line.encode()) for line in text.splitlines(keepends=True))
         assert all(size < chunk_bytes + longest or len(mine) == 1 for size in sizes)
+
+
+def test_long_rule_lists_give_what_the_plain_fold_gives(spark, monkeypatch):
+    """Random triggers, in any case or not, without one, beyond ASCII, that other rules write; nulls and empty lines."""
+    from maskloom.operators import apply
+
+    rng = random.Random(8)
+    letters = "abkKiIé[.= "
+    some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    texts = [None, "", *(some(12) for _ in range(80)), "\u212a", "x\u0130", "É", "zzz" * 5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_no bigint, line string")
+    for with_plain in (False, True):
+        rules = []
+        for i in range(40):
+            trigger = "" if with_plain and i % 30 == 7 else some(4)
+            search = re.escape(some(2)) if i % 3 else re.escape(trigger or "b")
+            rules.append(Rule(f"r{i % 50}", trigger, search, rng.choice([Replace(some(3).replace("\\", "")), Redact(), Mask()]), case_sensitive=bool(i % 4)))
+        columns = ["line_no", "line_out", "n_replacements", "triggered", "by_rule"]
+        told = []
+        for length in (24, 10**6):
+            monkeypatch.setattr(apply, "LONG_LIST", length)
+            monkeypatch.setattr(apply, "BLOCK", 16)
+            stats = rule_stats(df, rules).select(*columns).orderBy("line_no").collect()
+            out = apply_rules(df, rules).orderBy("line_no").collect()
+            told.append((stats, out))
+        assert told[0] == told[1]
+        assert any(a["line_out"] != t for a, t in zip(told[0][1], texts, strict=True))
+
+
+def test_a_pattern_holds_every_trigger():
+    from maskloom.functions.triggers import trigger_pattern
+
+    rng = random.Random(3)
+    for _ in range(60):
+        triggers = ["".join(rng.choice("abcdefghijklmnop.*") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 80))]
+        pattern = re.compile(trigger_pattern([Rule("t", t, "x", Redact()) for t in triggers]).replace("\\x{", "\\x").replace("}", ""))
+        for _ in range(40):
+            text = "".join(rng.choice("abcdefghijklmnop.*") for _ in range(6))
+            assert bool(pattern.search(text)) == any(t in text for t in triggers)
