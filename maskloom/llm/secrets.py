@@ -10,7 +10,8 @@ stretches that overlap the likeliest is told. Everything is DataFrame functions;
 128 x 128 numbers in the plan.
 
 Cases: a null or empty text has no span; overlapping matches of different patterns
-are all told, a random run only where no pattern matches; without any match there
+are all told, random strings in what the matches leave of a run, on both sides of
+them; without any match there
 is nothing to learn from and only the patterns count; rows repeated with the same
 id give a row each; an empty table gives an empty result.
 """
@@ -134,8 +135,22 @@ def random_spans(text: Column, base: Column, ratio: list[float], threshold: floa
         pairs = F.filter(pairs, lambda v: v["pair"].isNotNull())
         return F.aggregate(pairs, first, step, told)
 
-    found = match_spans(text, RUN)
-    apart = F.filter(found, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    def between(r: Column) -> Column:
+        """What the patterns' matches leave of a run, on all sides of them."""
+        within = F.filter(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        gap = lambda start, end: F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+        first = F.struct(r["start"].cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("gaps"))
+        gaps = F.aggregate(
+            within,
+            first,
+            lambda s, b: F.struct(F.greatest(s["at"], b["end"].cast("bigint")).alias("at"), F.concat(s["gaps"], gap(s["at"], b["start"])).alias("gaps")),
+            lambda s: F.concat(s["gaps"], gap(s["at"], r["end"])),
+        )
+        long = F.filter(gaps, lambda g: g["end"] - g["start"] >= LEAST_RUN)
+        part = lambda g: F.substring(r["hit"], (g["start"] - r["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+        return F.transform(long, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), part(g).alias("hit")))
+
+    apart = F.flatten(F.transform(match_spans(text, RUN), between))
 
     def cut(r: Column) -> Column:
         start, end = (lambda s: r["start"] + s["from"]), (lambda s: r["start"] + s["to"] + 1)

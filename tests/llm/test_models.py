@@ -178,3 +178,31 @@ def test_random_strings_are_found_in_paths(spark):
 def test_secrets_stay_in_the_jvm(spark):
     plan = secrets.find_secrets(spark.createDataFrame([(1, "token=abcdefgh other_identifier")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_random_strings_beside_a_match_are_told(spark):
+    """The models see what the patterns leave of a run, before, between and behind their matches."""
+    rng = random.Random(12)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["customers", "information", "development_tools", "configuration", "services-running", "documents"]
+    train = [" ".join(rng.choice(words) for _ in range(20)) + f" token={some(mixed, 30)} {some('0123456789abcdef', 32)}" for _ in range(80)]
+    texts, wanted = [], []
+    for i in range(40):
+        hexes, strings = [some("0123456789abcdef", 24) for _ in range(2)], [some(mixed, 32) for _ in range(2)]
+        text = (f"{hexes[0]}/{strings[0]}", f"{strings[0]}/{hexes[0]}/{strings[1]}", f"{hexes[0]}/{hexes[1]}/{strings[0]}")[i % 3]
+        texts.append(text)
+        wanted.append([s for s in strings if s in text])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(train + texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    told = missed = 0
+    for i, (text, strings) in enumerate(zip(texts, wanted, strict=True), len(train)):
+        spans = [(s["start"], s["end"]) for s in found[i]["extra"]]
+        assert all(text[a:b] == s["hit"] for (a, b), s in zip(spans, found[i]["extra"], strict=True))
+        base = [(s["start"], s["end"]) for s in found[i]["base"]]
+        assert not any(a < d and c < b for a, b in spans for c, d in base)
+        for string in strings:
+            at = text.index(string)
+            held = max((min(b, at + 32) - max(a, at) for a, b in spans), default=0)
+            told, missed = told + (held >= 24), missed + (held < 24)
+    assert told >= 0.95 * (told + missed)
