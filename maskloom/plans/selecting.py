@@ -12,6 +12,7 @@ from maskloom.functions.globs import DEFAULT_EXCLUDES
 from maskloom.functions.text import decode_text, is_text
 from maskloom.operators import bundles, files
 from maskloom.operators.documents import lines_to_documents
+from maskloom.operators.excludes import exclude_by_table
 from maskloom.plans import tables as t
 from maskloom.plans.rewriting import DOCUMENT_RULES
 from maskloom.plans.tables import Query, with_tables
@@ -44,6 +45,35 @@ def _excluded(patterns: Sequence[str], defaults: bool, case_insensitive: bool =
     return run, with_tables(t.PAGE_PATHS, body=f"SELECT bundle, rel_path, {verdict} AS excluded FROM page_paths")
 
 
+# 10,000 patterns by a rule that Spark and SQL both read: ends, beginnings, what lies between, whole paths, sets, negations.
+_LONG_LIST = """CASE i % 6
+  WHEN 0 THEN concat('*', i % 1000, '.log')
+  WHEN 1 THEN concat('!*/en/', i % 500, '*')
+  WHEN 2 THEN concat('th*-', i % 300, '.*')
+  WHEN 3 THEN concat('!*[0-4]', i % 100, '.p?m')
+  WHEN 4 THEN concat('*e/d[a-e]/*', i % 90, '*')
+  ELSE concat('*/fr/', i % 1000, '[?#/]*') END"""
+
+
+def exclude_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = spark.range(10_000).selectExpr("id AS idx", f"{_LONG_LIST.replace('i % ', 'id % ')} AS pattern")
+    return exclude_by_table(t.page_paths(spark, sf_dir), patterns).select("bundle", "rel_path", "excluded")
+
+
+EXCLUDE_TABLE_SQL = with_tables(
+    t.PAGE_PATHS,
+    f"""patterns AS (SELECT i AS idx, {_LONG_LIST} AS pattern FROM (SELECT unnest(range(10000)) AS i)),
+    globs AS (SELECT max(idx) AS idx, NOT starts_with(pattern, '!') AS excluded, ltrim(pattern, '!') AS glb FROM patterns GROUP BY ALL),
+    verdicts AS (
+      SELECT rel_path, max_by(excluded, idx) AS excluded
+      FROM (SELECT DISTINCT rel_path, regexp_extract(rel_path, '[^/]*$') AS base FROM page_paths) CROSS JOIN globs
+      WHERE (rel_path GLOB glb) OR (base GLOB glb) OR (('/' || rel_path) GLOB glb)
+      GROUP BY rel_path
+    )""",
+    body="SELECT bundle, p.rel_path, coalesce(v.excluded, false) AS excluded FROM page_paths p LEFT JOIN verdicts v USING (rel_path)",
+)
+
+
 # Signatures in hexadecimal, and the control bytes that count against text.
 _SIGNATURES = ("255044462D", "89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "504B0304", "1F8B", "50415231", "4F626A01")
 _CONTROL = ", ".join(f"'{b:02X}'" for b in range(160) if b == 127 or b >= 128 or (b < 32 and b not in (9, 10, 12, 13)))
@@ -199,6 +229,7 @@ QUERIES = [
         with_tables(t.DOCUMENT_LINES, body="SELECT bundle, path, line_no, line, eol FROM doc_lines"),
     ),
     Query("expand_archives", unpacked, UNPACKED_SQL),
+    Query("exclude_files_table", exclude_files_table, EXCLUDE_TABLE_SQL),
     _case("exclude_files", (), True),
     _case("exclude_files_negation", PATTERNS, True),
     _case("exclude_files_any_case", ("*STACKTRACE*", "*.Log", "!*-2*.loG"), False, True),
