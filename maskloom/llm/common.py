@@ -129,17 +129,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` is connected with.
 
     Large-star and small-star steps alternate until nothing changes: the number
-    of rounds grows with the logarithm of the longest chain. Every round is a
+    of rounds grows with the logarithm of the longest chain. The root of a large
+    component is one key with all its members: such keys are few, their least
+    neighbours are broadcast, and their links stay where they are. Every round is a
     table in shared storage, so lineage stays short.
     """
     links = settled(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = settled(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_groups(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settled(large.filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_groups(large, least, "u", "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = settled(small.select("e.u", "e.v").filter("u <> v").distinct())
         # A star forest: every node has one link, and no root has one.
         n = small.count()
