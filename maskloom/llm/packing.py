@@ -264,7 +264,7 @@ def complete_bins(counts: np.ndarray, limit: int = LIMIT, nodes: int = NODES) ->
                 return best
             ahead = False
         else:
-            visited += 1
+            visited += best.bins >= 0  # the first descent finds the first plan, however long it is
             ahead = choose(options())
         while not ahead:
             if not trail or (best.bins >= 0 and visited > nodes):
