@@ -64,7 +64,7 @@ def _ngrams():
         shape = word
         for pattern, to in classes:
             shape = pattern.sub(to, shape)
-        return hashed(word.lower()), hashed(shape[:16])
+        return hashed(word.lower()), hashed(shape)
 
     def bucket(view: np.uint64, *parts: np.ndarray) -> np.ndarray:
         h = np.full(len(parts[0]), view)
@@ -197,8 +197,9 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = labelled.select(F.col(id_col).alias("id"), level_label, "text").mapInArrow(_scorer(model), f"id {kind}, label int, n_grams bigint, importance double")
     uniform = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = settled(scored.withColumn("noisy", F.col("importance") - F.log(-F.log(uniform))))
-    # At most MAX_LABELS rows, unless a labelled id repeats.
-    told = scored.filter("label IS NOT NULL").select("importance", "label").limit(MAX_LABELS).toPandas()
+    # One row a labelled id and text: at most MAX_LABELS of them unless texts of one id differ, and then in an order of their own.
+    told = scored.filter("label IS NOT NULL").select("id", "importance", "label").distinct()
+    told = told.orderBy(F.xxhash64("id", "importance"), "label").limit(MAX_LABELS).select("importance", "label").toPandas()
     level = best_level(told["importance"].to_numpy(), told["label"].to_numpy())
     k = scored.filter(F.col("importance") > level).count()
     cut = kth_largest(scored, "noisy", k) if k else float("inf")
