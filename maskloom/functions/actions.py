@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.binding import let
 from maskloom.functions.dates import compile_format, days_from_hash, is_native_format, shift_with_format
-from maskloom.functions.dialect import UntranslatablePattern, split_at_group, translate, translate_template
+from maskloom.functions.dialect import UntranslatablePattern, split_off, translate, translate_template
 from maskloom.rules import Bucketize, Compute, DateShift, Mask, Redact, Replace, Rule, SecureHash
 
 ColumnFn = Callable[[Column], Column]
@@ -110,13 +110,17 @@ def rewrite_matches(text: Column, java: str, value: ColumnFn) -> Column:
 
 def rewrite_groups(text: Column, rule: Rule, value: ColumnFn) -> Column:
     """Replace one group inside every match and keep the rest of the match."""
-    cut = split_at_group(rule.search, rule.action.group, rule.flags)
+    cut = split_off(rule.search, rule.action.group, rule.flags)
 
     def part(index: int) -> Column:
         return F.regexp_extract_all(text, F.lit(cut.java), F.lit(index))
 
+    def own(held: Column) -> Column:
+        # Without the group, the match stays as it is.
+        return F.when(held == "", held).otherwise(value(held)) if cut.optional else value(held)
+
     def body(inside: Column) -> Column:
-        values = F.transform(inside, value)
+        values = F.transform(inside, own)
         if cut.before is not None:
             values = F.zip_with(part(cut.before), values, lambda a, b: F.concat(a, b))
         if cut.after is not None:
@@ -135,7 +139,7 @@ def runs_on_jvm(rule: Rule) -> bool:
         if isinstance(rule.action, DateShift) and not all(map(is_native_format, rule.action.formats)):
             return False
         if rule.action.group:
-            split_at_group(rule.search, rule.action.group, rule.flags)
+            split_off(rule.search, rule.action.group, rule.flags)
         return not pattern.may_be_empty
     except UntranslatablePattern:
         return False

@@ -60,6 +60,7 @@ class GroupSplit:
     before: int | None
     inside: int
     after: int | None
+    optional: bool = False  # a match may lack the group; what it holds otherwise is never empty
 
 
 def _width(pattern: str, flags: int) -> tuple[int, int]:
@@ -226,6 +227,76 @@ def split_at_group(pattern: str, group: int, flags: int = 0) -> GroupSplit:
     )
 
 
+def split_off(pattern: str, group: int, flags: int = 0) -> GroupSplit:
+    """``split_at_group``, also for a group that is optional, repeated or within others.
+
+    Brackets around it that neither repeat nor choose are dropped, since captures are
+    all they do. An optional group stays so between its neighbours. Of a group with
+    ``+`` whose repeats are equally wide, all but the last belong to what is before it.
+    """
+    try:
+        return split_at_group(pattern, group, flags)
+    except UntranslatablePattern:
+        pass
+    translate(pattern, flags)
+    tokens = _tokens(pattern)
+    if any(k == "named_ref" or (k == "escape" and t[1] in "123456789" and len(t) < 4) for k, t in tokens):
+        raise UntranslatablePattern("back-reference next to a group action")
+
+    captures, opens = ("group", "named_group"), ("group", "named_group", "plain_group", "conditional")
+    closed: dict[int, int] = {}
+    choosing: set[int | None] = set()  # brackets, or the whole, that an alternation parts
+    open_now: list[int] = []
+    target, number = None, 0
+    for i, (kind, _) in enumerate(tokens):
+        if kind in opens:
+            open_now.append(i)
+            number += kind in captures
+            if kind in captures and number == group:
+                target, around = i, list(open_now[:-1])
+        elif kind == "close":
+            closed[open_now.pop()] = i
+        elif kind == "alternation":
+            choosing.add(open_now[-1] if open_now else None)
+    if target is None:
+        raise ValueError(f"pattern has no group {group}")
+    repeated = lambda close: close + 1 < len(tokens) and tokens[close + 1][0] == "repeat"
+    for i in around:
+        if not (tokens[i][0] in captures or tokens[i][1] == "(?:") or repeated(closed[i]):
+            raise UntranslatablePattern("group within a repeated or looking group")
+    if choosing & {None, *around}:
+        raise UntranslatablePattern("alternation around a group")
+
+    dropped = {*around, *(closed[i] for i in around)}
+    rest = lambda low, high: [tokens[i] for i in range(low, high) if i not in dropped]
+    end = closed[target]
+    repeat = tokens[end + 1][1] if repeated(end) else ""
+    lead_end = 0
+    while tokens[lead_end][0] in ("flags", "comment"):
+        lead_end += 1
+    before, inside, after = rest(lead_end, target), rest(target, end + 1), rest(end + 1 + bool(repeat), len(tokens))
+    java = lambda part: "".join(_translate_token(k, t) for k, t in part)
+    width = lambda part: _width("".join(t for _, t in part), flags) if part else (0, 0)
+    held = lambda part: sum(k in captures for k, _ in part)
+
+    narrow, wide = width(inside)
+    earlier, own = java(before), java(inside)
+    if repeat in ("?", "??", "?+") and narrow:
+        own += repeat
+    elif repeat == "+" and narrow == wide > 0 and held(inside) == 1:
+        earlier += f"(?:{java(inside[1:-1])})*"
+    elif repeat:
+        raise UntranslatablePattern("repeated group")
+    first = held(before) + 2
+    return GroupSplit(
+        java=f"{_prefix(pattern, flags)}{java(tokens[:lead_end])}({earlier}){own}({java(after)})",
+        before=1 if width(before)[1] or repeat == "+" else None,
+        inside=first,
+        after=first + held(inside) if width(after)[1] else None,
+        optional=repeat.startswith("?"),
+    )
+
+
 # Escapes a replacement template may contain.
 _TEMPLATE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b", "\\": "\\"}
 _TEMPLATE = re.compile(r"\\g<(?P<name>\w+)>|\\(?P<number>0[0-7]{0,2}|[0-3][0-7]{2}|[1-9][0-9]?)|\\(?P<escape>.)|(?P<char>.)", re.DOTALL)

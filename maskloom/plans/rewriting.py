@@ -382,6 +382,12 @@ FROM s5 GROUP BY bundle"""
 _LINES_BACK = "SELECT bundle, path AS rel_path, line_no, line_out AS line, eol FROM s5"
 
 
+_LAST = r"regexp_extract(line, 'from [0-9]+(\.[0-9])+')"
+_GROUPS_SQL = (
+    r"regexp_replace(replace(replace(line, 'user = w', 'user___w'), "
+    rf"{_LAST}, {_LAST}[1:length({_LAST}) - 2] || '##'), 'pin=([0-9])[0-9]{{3}}', 'pin=\1***')"
+)
+
 QUERIES = [
     Query("rule_application_summary", flagship, FLAGSHIP_SQL),
     Query(
@@ -429,6 +435,18 @@ QUERIES = [
             ),
         ),
     ),
+    _line_query(
+        "act_group_optional",
+        t.kv_lines,
+        t.KV_LINES,
+        "kv_lines",
+        [
+            Rule("gap", "user", r"user( = )?[=uw]", Mask("_", group=1)),
+            Rule("pin", "pin", r"(?:pin=(?:(\d+)))", Mask(keep_first=1, group=1)),
+            Rule("net", "from", r"from (?:\d+)(\.\d)+", Mask("#", group=1)),
+        ],
+        _GROUPS_SQL,
+    ),
     _line_query(
         "act_mask_group",
         t.account_lines,

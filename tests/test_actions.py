@@ -160,3 +160,21 @@ def test_own_actions(spark):
     whole = Rule("u", "id=", r"id=\w+", Compute(F.upper))
     inside = Rule("r", "", r"ID=(\w+)", Compute(F.reverse, group=1))
     assert apply_rules(df, [whole, inside]).first()["line_out"] == "ID=BA x ID=DC"
+
+
+GROUPS = [r"a(b)?c", r"x(?:=(\d+))y?", r"(?:k(=\d)+;)", r"((ab)?c)", r"<(q)??(r)?>", r"u(?:(v)?w)x"]
+
+
+@pytest.mark.parametrize("pattern", GROUPS)
+@pytest.mark.parametrize("group", [1, 2])
+def test_optional_nested_and_repeated_groups_stay_on_the_jvm(lines, pattern, group):
+    if group > re.compile(pattern).groups:
+        return
+    texts = ["abc ac abcabc", "x=12y x=3", "k=1=2=3; k=4;", "abc c", "<qr> <r> <> <q>", "uvwx uwx", "", None]
+    for action in (Mask("#", group=group), SecureHash(8) if group == 1 else Mask("é", keep_last=1, group=group)):
+        rule = Rule("g", "", pattern, action)
+        out = apply_rules(lines(*texts), [rule], "s")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
+        want = [t if t is None else re.sub(pattern, match_writer(rule, "s"), t) for t in texts]
+        assert [r["line_out"] for r in out.orderBy("line_no").collect()] == want

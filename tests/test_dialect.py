@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from maskloom.functions.dialect import UntranslatablePattern, split_at_group, translate, translate_template
+from maskloom.functions.dialect import UntranslatablePattern, split_at_group, split_off, translate, translate_template
 
 TEXTS = [
     "", "a", "user=bob", "é1234 1234é 1234", "x[1]&&y^z", "a{b} {2,} {,3} aaaa", "tab\tnl\nend", "line\r", "A B  ",
@@ -82,3 +82,38 @@ def test_split_groups_agree_with_python(spark, pattern, group):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in df.select("t", F.regexp_extract_all("t", F.lit(cut.java), F.lit(cut.inside)).alias("m")).collect():
         assert row["m"] == [m.group(group) for m in re.finditer(pattern, row["t"])]
+
+
+@pytest.mark.parametrize(
+    "pattern, group",
+    [
+        (r"(?:x(a))", 1), (r"(a)+", 1), (r"(a)?b", 1), (r"((a)b)", 2), (r"(x)?(?:(q)(?:a(b)?)c)d", 3), (r"(?i)k(=\d)+;", 1), (r"a(b)??(c)?d", 1),
+        (r"a(b)??(c)?d", 2), (r"((\d)(,))+x|", 2), (r"(?P<n>a(?:b(c|cc)?))", 2), (r"(ab|cd)+c", 1), (r"x(\d)+\d", 1), (r"(?:(a)|b)", 1), (r"(?:(a)b)+", 1),
+        (r"(?=(a))a", 1), (r"(a|bb)+", 1), (r"(a*)?b", 1), (r"(a){2}", 1),
+    ],
+)
+def test_groups_split_off_agree_with_python(spark, pattern, group):
+    """Where a group can be split off, its parts are those of Python's matches; else the pattern is left to Python."""
+    texts = ["xa", "aaa", "ab b", "xqabcd qacd", "k=1=2; K=3;", "abd ad acd abcd", "1,2,x", "abcc ab a", "abcdc cdabc", "x123 x45", "ba ab", "bba", ""]
+    try:
+        cut = split_off(pattern, group)
+    except UntranslatablePattern:
+        assert pattern in (r"((\d)(,))+x|", r"(?:(a)|b)", r"(?:(a)b)+", r"(?=(a))a", r"(a|bb)+", r"(a*)?b", r"(a){2}")
+        return
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    parts = [F.regexp_extract_all("t", F.lit(cut.java), F.lit(i)) for i in (0, cut.before, cut.inside, cut.after) if i is not None]
+    held = [i is not None for i in (cut.before, cut.after)]
+    for row in df.select("t", *[p.alias(f"p{i}") for i, p in enumerate(parts)]).collect():
+        found = list(re.finditer(pattern, row["t"]))
+        want = [[m.group() for m in found]]
+        span = lambda m: m.span(group) if m.group(group) is not None else (None, None)
+        if held[0] and all(m.group(group) is not None for m in found):
+            want.append([m.string[m.start() : span(m)[0]] for m in found])
+        elif held[0]:
+            want.append(row["p1"])
+        want.append([m.group(group) or "" for m in found])
+        if held[1] and all(m.group(group) is not None for m in found):
+            want.append([m.string[span(m)[1] : m.end()] for m in found])
+        elif held[1]:
+            want.append(row[f"p{len(parts) - 1}"])
+        assert [row[f"p{i}"] for i in range(len(parts))] == want
