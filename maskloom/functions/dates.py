@@ -29,6 +29,9 @@ _ACCEPTS = {
     "S": r"[0-5][0-9]|[0-9]",
     "f": r"[0-9]{1,6}",
     "p": r"am|pm",
+    "z": r"[+-][0-9]{2}:?[0-5][0-9](?::?[0-5][0-9](?:\.[0-9]{1,6})?)?|(?-i:Z)",
+    "u": r"[1-7]",
+    "w": r"[0-6]",
 }
 MARK = "\x01"
 
@@ -37,6 +40,8 @@ _MONTHS = [
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",
 ]
+# English week-day names, Monday first.
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
 @dataclass(frozen=True)
@@ -62,8 +67,9 @@ def compile_format(source: str) -> DateFormat:
             pattern += r"\s+" if text.isspace() else re.sub(r"([\\.^$*+?{}\[\]|()-])", r"\\\1", text)
             pieces.append(("text", text))
             continue
-        if directive in ("b", "B"):
-            names = [n[:3] if directive == "b" else n for n in _MONTHS]
+        if directive in "bBaA":
+            # A week-day's name, like its number, tells nothing that the date does not; it is written anew.
+            names = [n[:3] if directive in "ab" else n for n in (_MONTHS if directive in "bB" else _DAYS)]
             accepts = "|".join(sorted(names, key=len, reverse=True))
         elif directive in _ACCEPTS:
             accepts = _ACCEPTS[directive]
@@ -110,6 +116,19 @@ def _two(value: Column) -> Column:
     return F.lpad(value.cast("string"), 2, "0")
 
 
+def _offset(text: Column) -> Column:
+    """An offset as Python writes it, ``+HHMM`` with seconds and fraction where there are any; NULL for one it refuses."""
+    digits = F.translate(F.substring_index(F.substring(text, 2, 20), ".", 1), ":", "")
+    fraction = F.when(F.contains(text, F.lit(".")), F.rpad(F.substring_index(text, ".", -1), 6, "0")).otherwise("000000")
+    seconds = F.rpad(F.substring(digits, 5, 2), 2, "0")
+    # Seconds are set apart as minutes are, and an offset is less than a day.
+    even = F.rlike(text, F.lit(r"\A(?:Z|[+-](?:[01][0-9]|2[0-3])(?:[0-9]{2}(?:[0-9]{2}.*)?|:[0-9]{2}(?::[0-9]{2}.*)?))\z"))
+    fine = F.when(fraction != "000000", F.concat(seconds, F.lit("."), fraction)).when(seconds != "00", seconds).otherwise("")
+    none = (text == "Z") | ((F.substring(digits, 1, 4) == "0000") & (fine == ""))
+    written = F.when(none, F.lit("+0000")).otherwise(F.concat(F.substring(text, 1, 1), F.substring(digits, 1, 4), fine))
+    return F.when(even, written)
+
+
 def _month_number(text: Column, short: bool) -> Column:
     prefix = F.lower(F.substring(text, 1, 3))
     return F.array_position(F.array(*[F.lit(n[:3].lower()) for n in _MONTHS]), prefix)
@@ -165,6 +184,7 @@ def _shifted_fields(parts: Column, fmt: DateFormat, days: Column) -> Column:
         twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
         names = F.array(*[F.lit(n) for n in _MONTHS])
         month_name = F.element_at(names, F.month(moved))
+        day_name = F.element_at(F.array(*[F.lit(n) for n in _DAYS]), F.weekday(moved) + 1)
         rendered = {
             "Y": lambda: F.lpad(F.year(moved).cast("string"), 4, "0"),
             "y": lambda: _two(F.year(moved) % 100),
@@ -179,6 +199,11 @@ def _shifted_fields(parts: Column, fmt: DateFormat, days: Column) -> Column:
             "S": lambda: second,
             "f": lambda: fraction,
             "p": lambda: F.when(hour >= 12, F.lit("PM")).otherwise(F.lit("AM")),
+            "z": lambda: let(field("z"), _offset),
+            "a": lambda: F.substring(day_name, 1, 3),
+            "A": lambda: day_name,
+            "u": lambda: (F.weekday(moved) + 1).cast("string"),
+            "w": lambda: ((F.weekday(moved) + 1) % 7).cast("string"),
             "iso": lambda: moved.cast("string"),
         }
         return F.concat(*[F.lit(t) if kind == "text" else rendered[t]() for kind, t in fmt.pieces])

@@ -268,6 +268,34 @@ DATE_SQL = with_tables(
 )
 
 
+ACCESS_RULES = [
+    Rule("Access", "[", r"[0-9]{2}/\w{3}/[0-9]{4}:[0-9:]{8} [^\] ]+", DateShift(("%d/%b/%Y:%H:%M:%S %z",), 30)),
+    Rule("Mail", "Date: ", r"\w{3}, [0-9]{2} \w{3} [0-9]{4}", DateShift(("%a, %d %b %Y",), 12)),
+]
+
+
+def _moved(key: str, days: int) -> Callable[[str, str], str]:
+    number = lambda m: f"('0x' || substr(sha256('{SALT}:{key}:' || {m}), 1, 8))::BIGINT"
+    return lambda m, day: f"({day} + ({number(m)} % {2 * days + 1} - {days})::INT)"
+
+
+_OFFSET_SQL = "CASE split_part(m, ' ', 2) WHEN 'Z' THEN '+0000' ELSE replace(split_part(m, ' ', 2), ':', '') END"
+ACCESS_SQL = with_tables(
+    t.ACCESS_LINES,
+    r"""hits AS (
+      SELECT *, regexp_extract(line, '[0-9]{2}/\w{3}/[0-9]{4}:[0-9:]{8} [^\] ]+') AS m, regexp_extract(line, '\w{3}, [0-9]{2} \w{3} [0-9]{4}') AS d
+      FROM access_lines
+    )""",
+    f"""days AS (
+      SELECT *, strptime(left(m, 11), '%d/%b/%Y')::DATE AS access_day, strptime(d, '%a, %d %b %Y')::DATE AS mail_day FROM hits
+    )""",
+    body=f"""SELECT path, line_no, replace(
+        CASE WHEN m LIKE '%+99:00' THEN line
+          ELSE replace(line, m, strftime({_moved("Access", 30)("m", "access_day")}, '%d/%b/%Y') || substr(m, 12, 10) || {_OFFSET_SQL}) END,
+        d, strftime({_moved("Mail", 12)("d", "mail_day")}, '%a, %d %b %Y')) AS line_out FROM days""",
+)
+
+
 # --- merged and built-in rules -----------------------------------------------
 
 _USER = r"regexp_replace({0}, '\buser\s*=\s*([A-Za-z0-9._-]+)\b', '{1}', 'gi')"
@@ -477,6 +505,7 @@ QUERIES = [
             ),
         ),
     ),
+    Query("act_date_offsets", _applied(t.access_lines, ACCESS_RULES), ACCESS_SQL),
     Query("act_date_shift", _applied(t.date_lines, DATE_RULES), DATE_SQL),
     _line_query(
         "act_bucket",

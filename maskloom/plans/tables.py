@@ -203,6 +203,35 @@ date_lines AS (
 )"""
 
 
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with offsets and week-days as servers and mails write them."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    offset = F.element_at(F.array(*[F.lit(x) for x in OFFSETS]), (key % len(OFFSETS) + 1).cast("int"))
+    return o.select(
+        F.concat(F.lit("cust-"), text_of("o_custkey")).alias("path"),
+        key.alias("line_no"),
+        F.concat(
+            F.lit("["), F.date_format(day, "dd/MMM/yyyy"), F.lit(":"), padded(key % 24, 2), F.lit(":"), padded(key % 60, 2), F.lit(":"),
+            padded(key % 59, 2), F.lit(" "), offset, F.lit("] Date: "), F.date_format(day, "EEE, dd MMM yyyy"),
+            F.lit(" "), padded(key % 24, 2), F.lit(" until "), F.date_format(day, "EEEE d MMMM"),
+        ).alias("line"),
+    )
+
+
+# Offsets from UTC in the ways that logs write them; the last is none.
+OFFSETS = ("+0000", "-0730", "+05:30", "Z", "+99:00")
+
+ACCESS_LINES = f"""
+access_lines AS (
+  SELECT 'cust-' || o_custkey AS path, o_orderkey AS line_no,
+    '[' || strftime(day, '%d/%b/%Y') || ':' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':'
+    || lpad((o_orderkey % 59)::VARCHAR, 2, '0') || ' ' || (['{"', '".join(OFFSETS)}'])[(o_orderkey % {len(OFFSETS)} + 1)::INT] || '] Date: '
+    || strftime(day, '%a, %d %b %Y') || ' ' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ' until ' || strftime(day, '%A %-d %B') AS line
+  FROM (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders)
+)"""
+
+
 def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account numbers, principals and addresses from ``customer``."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")

@@ -178,3 +178,28 @@ def test_optional_nested_and_repeated_groups_stay_on_the_jvm(lines, pattern, gro
         assert "Python" not in plan
         want = [t if t is None else re.sub(pattern, match_writer(rule, "s"), t) for t in texts]
         assert [r["line_out"] for r in out.orderBy("line_no").collect()] == want
+
+
+OFFSETS = ["+0000", "-0000", "-0030", "+05:30", "Z", "z", "+0100:30", "+01:0030", "+010030", "-01:00:30", "+01:00:00", "+00:00:00.5", "-235959.000001", "+2400", "+99:00", "+1", "+01 00"]
+
+
+@pytest.mark.parametrize(
+    "fmt, texts",
+    [
+        ("%d/%b/%Y:%H:%M:%S %z", [f"10/Oct/2000:13:55:36 {z}" for z in OFFSETS]),
+        ("%z %d.%m.%Y", [f"{z} 1.2.2024" for z in OFFSETS]),
+        ("%a, %d %b %Y", ["Mon, 01 Jan 2024", "sun, 29 FEB 2024", "Xyz, 01 Jan 2024", "Mon 01 Jan 2024"]),
+        ("%A %d %B %Y %I%p", ["Monday 01 January 2024 11AM", "wednesday 31 december 1999 12pm", "Mon 01 January 2024 1AM"]),
+        ("%u %w %Y-%j", ["1 1 2024-001", "7 0 2024-366", "0 1 2024-001", "1 7 2024-001"]),
+        ("%Y-%m-%dT%H:%M:%S.%f%z", ["2024-02-28T23:59:59.12+01:00", "0001-01-01T00:00:00.0Z", "9999-12-31T00:00:00.0-0000"]),
+    ],
+)
+def test_offsets_and_week_days_are_shifted_on_the_jvm(spark, fmt, texts):
+    rule = Rule("d", "", ".+", DateShift((fmt,), 20))
+    df = spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+    out = apply_rules(df, [rule], "s")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got, want = [r["line_out"] for r in out.collect()], [re.sub(".+", match_writer(rule, "s"), text) for text in texts]
+    # Years are written with four digits, whatever the platform's strftime does.
+    assert got == [re.sub(r"\b([0-9]{1,3})(?=-[0-9]{2}-[0-9]{2}T)", lambda m: m[1].zfill(4), text) for text in want]
+    assert got != texts
