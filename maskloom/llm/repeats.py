@@ -41,7 +41,7 @@ from maskloom.llm.suffixes import MEMORY, Text, repeated_starts
 from maskloom.sources.scratch import BROADCAST_BYTES, settled
 
 GRAM = 32  # bytes of a mark, at most; a power of two
-HOT = 1024
+HOT = 4096
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 19
 PIECE = "key bigint, mark bigint, d1 bigint, d2 bigint, row bigint, first int, last int, weight bigint"
