@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +16,10 @@ from maskloom.operators.excludes import exclude_by_table
 from maskloom.plans import tables as t
 from maskloom.plans.rewriting import DOCUMENT_RULES
 from maskloom.plans.tables import Query, with_tables
+from maskloom.sources import files as files_source
 from maskloom.sources.archives import expand_archives, whole_bundles
-from maskloom.sources.scratch import settled
+from maskloom.sources.scratch import new_folder, settled
+from maskloom.sources.trees import created
 
 PATTERNS = ("*.log", "!*-1*.log", "*/en/*", "!*krb5.conf", "?xample.net/d[a-e]/*", "!*[!0-9].pem")
 
@@ -120,6 +122,32 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.document_lines(spark, sf_dir)
 
 
+def read_lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own, written by the tasks that hold it, and read through the file source."""
+    target = new_folder(spark, "source")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                with created(f"{target}/{name}") as file:
+                    file.write(text.encode())
+            yield batch[["name"]]
+
+    documents = t.table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    name = F.concat(F.col("source"), F.lit("/doc-"), t.padded(F.col("doc_id"), 10), F.lit(".log"))
+    settled(documents.select(name.alias("name"), "text").mapInPandas(write, "name string"))
+    return files_source.read_lines(spark, target).select("rel_path", "line_no", "line", "eol")
+
+
+READ_SOURCE_SQL = with_tables(
+    t.DOCUMENT_LINES,
+    "document_files AS (SELECT bundle, path, encode(text) AS content FROM docs)",
+    TEXT_FILES,
+    body="""SELECT bundle || '/' || path || '.log' AS rel_path, line_no, line, eol
+    FROM doc_lines JOIN sniffed USING (bundle, path) WHERE is_text""",
+)
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose numbers end in 7 stand for files that failed by themselves."""
     unreadable = F.when(F.startswith("content", F.lit(bytearray(b"\x1f\x8b"))), F.lit("unreadable"))
@@ -288,4 +316,5 @@ QUERIES = [
         ),
     ),
     Query("bundle_summary", summary, SUMMARY_SQL),
+    Query("read_lines_source", read_lines_source, READ_SOURCE_SQL),
 ]
