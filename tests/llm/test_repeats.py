@@ -115,3 +115,12 @@ def test_a_queue_gives_tuples_in_order():
     out += [pair for block in queue.drain(9) for pair in pairs(block)]
     assert sorted(out) == sorted(held) and [t[0] for t in out] == sorted(t[0] for t in out)
     assert all(a[1] < b[1] for a, b in zip(out, out[1:], strict=False) if a[0] == b[0])
+
+
+def test_strings_that_repeat_within_one_text_alone(spark):
+    length = 400
+    texts = ["x" * 700, "y" * 401, "z" * 400, "head " + "abc" * 150, "_-" * 250 + "tail", ("q" * 20 + "r" * 60) * 6, "0123456789" * 45]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(df, length=length).collect()}
+    assert rows == dict(enumerate(expected([t.encode() for t in texts], length)))
+    assert rows[0][1] == 700 and rows[1][1] == 401 and rows[2][1] == 0
