@@ -3,11 +3,12 @@
 The network sees two words to the left and two to the right and predicts the word
 between, as a class and a word of that class. The vocabulary is the most frequent
 words of all documents, counted in full; other words share symbols by their last
-letters. Windows for training come from every document, one in ``EVERY`` tokens, so
-they grow with the corpus. Trainers start each round from the same weights, pass
-over their windows, and what they changed is averaged; the driver sees weights,
-never windows. Every token of every text is then predicted from both sides, and the
-sum of the log-probabilities is the score.
+letters. Every token of every document is the middle of one window for training.
+Texts are dealt out to trainers and rounds in runs of tokens; in each round trainers
+start from the same weights, pass over their windows of that round, and what they
+changed is averaged; the driver sees weights, never windows. Every token of every
+text is then predicted from both sides, and the sum of the log-probabilities is the
+score.
 
 Cases: a null or empty text has no token and log-probability 0 (its mean is null);
 rows repeated with the same id get equal scores; a null id is allowed; an empty table
@@ -34,13 +35,15 @@ WORDS, RARE = 768, 256  # symbols of frequent words, and of all others
 CLASS = 32  # symbols in a class
 DEPTH, HIDDEN = 16, 32
 SIDES = (-2, -1, 1, 2)
-EVERY, TRAINERS, ROUNDS, BATCH = 32, 64, 3, 256
+EVERY, TRAINERS, ROUNDS, BATCH = 1, 64, 3, 1024
+RUN = 256  # tokens that go to a trainer together
 RATE = 0.2
 BLOCK_BYTES = 1 << 20
 COUNTED = 1 << 19  # distinct words that a task counts before it passes them on
 CACHED_WORDS = 100_000
 SYMBOLS = WORDS + RARE
 PAD = SYMBOLS
+ASIDE = 1 << 15  # marks a symbol of a run that is only a neighbour
 SEED = 42
 
 
@@ -84,14 +87,12 @@ class _Symbols(dict):
             self[word] = symbol
         return symbol
 
-    def of(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts in one row with padding around each; where its tokens are; how many each text has."""
+    def of(self, block: list[bytes]) -> pa.Array:
+        """The symbols of each text."""
         parts = [_split(text) for text in block]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.full(int(sizes.sum()) + 2 * len(parts) + 2, PAD, np.int64)
-        at = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(1, len(parts) + 1), sizes)
-        flat[at] = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, len(at))
-        return flat, at, sizes
+        ends = np.cumsum([0, *map(len, parts)])
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.uint16, int(ends[-1]))
+        return pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(flat)])
 
 
 def _scattered(values: np.ndarray) -> np.ndarray:
@@ -101,32 +102,73 @@ def _scattered(values: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def training_windows(rows: DataFrame, words: list[bytes], every: int) -> DataFrame:
-    """(trainer, windows): one in ``every`` tokens with its neighbours, from (text, seed)."""
+def coded(rows: DataFrame, words: list[bytes]) -> DataFrame:
+    """(id, seed, symbols) of (id, seed, text): the symbol of each token as two bytes."""
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = _Symbols(words)
+        for batch in batches:
+            for start, block in text_blocks(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(start, len(block))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), symbols.of(block)], ["id", "seed", "symbols"])
+            release_memory()
+
+    return rows.mapInArrow(run, f"id {kind}, seed bigint, symbols binary")
+
+
+def _padded(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts, as symbols, in one row with padding around each; where its tokens are; how many each text has."""
+    sizes = np.array([len(text) // 2 for text in block], np.int64)
+    flat = np.full(int(sizes.sum()) + 2 * len(block) + 2, PAD, np.int64)
+    at = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(1, len(block) + 1), sizes)
+    flat[at] = np.frombuffer(b"".join(block), np.uint16)
+    return flat, at, sizes
+
+
+def training_windows(rows: DataFrame, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+    """(trainer, round, runs) from (id, seed, symbols): runs of tokens with two neighbours at each end, one in ``every`` tokens not set aside.
+
+    A run goes to one trainer in one round, so a token is the middle of one window in all.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds = batch.column(1).to_numpy().view(np.uint64)
-            for start, block in text_blocks(batch.column(0), BLOCK_BYTES):
-                parts = [_split(text) for text in block]
-                sizes = np.array([len(p) for p in parts], np.int64)
-                owner, tokens = np.repeat(np.arange(len(parts)), sizes), list(chain.from_iterable(parts))
-                place = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[owner]
-                h = _scattered(place.astype(np.uint64) + seeds[start : start + len(block)][owner])
-                at = np.flatnonzero(h % np.uint64(every) == 0)
-                trainer = (h[at] >> np.uint64(32)).astype(np.int64) % TRAINERS
-                window = np.full((len(at), 1 + len(SIDES)), PAD, np.uint16)
-                for column, side in enumerate((0, *SIDES)):
-                    # Only the words that windows hold are looked up.
-                    inside = (place[at] + side >= 0) & (place[at] + side < sizes[owner[at]])
-                    window[inside, column] = [symbols[tokens[i]] for i in (at[inside] + side).tolist()]
-                order = np.argsort(trainer, kind="stable")
-                numbers, first = np.unique(trainer[order], return_index=True)
-                packed = [w.tobytes() for w in np.split(window[order], first[1:])] if len(numbers) else []
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(packed, pa.binary())], ["trainer", "windows"])
-
-    return rows.mapInArrow(cut, "trainer bigint, windows binary")
+            for start, block in text_blocks(batch.column(2), BLOCK_BYTES):
+                flat, at, sizes = _padded(block)
+                n = -(-sizes // RUN)
+                text = np.repeat(np.arange(len(block)), n)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                first = at[(np.cumsum(sizes) - sizes)[text] + number * RUN] if len(text) else number
+                length = np.minimum(sizes[text] - number * RUN, RUN)
+                h = _scattered(number.astype(np.uint64) + seeds[start : start + len(block)][text])
+                dealt = (h >> np.uint64(32)).astype(np.int64) % (TRAINERS * rounds)
+                order = np.argsort(dealt, kind="stable")
+                width = length[order] + 4
+                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                symbol = flat[np.repeat(first[order] - 2, width) + place]
+                aside = (place < 2) | (place >= np.repeat(width - 2, width))
+                if every > 1:
+                    aside |= _scattered(place.astype(np.uint64) + np.repeat(h[order], width)) % np.uint64(every) != 0
+                symbol[aside] |= ASIDE
+                numbers, low = np.unique(dealt[order], return_index=True)
+                ends = 2 * np.append(np.cumsum(width), 0)[np.append(low[1:], len(width)) - 1]
+                data = symbol.astype(np.uint16).tobytes()
+                packed = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(numbers) else []
+                arrays = [pa.array(numbers // rounds), pa.array(numbers % rounds), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["trainer", "round", "runs"])
+            release_memory()
+
+    return rows.mapInArrow(cut, "trainer bigint, round bigint, runs binary")
+
+
+def windows_of(runs: bytes) -> np.ndarray:
+    """A row a window: the middle symbol, then its neighbours."""
+    flat = np.frombuffer(runs, np.uint16).astype(np.int64)
+    at = np.flatnonzero(flat < PAD)
+    flat &= ASIDE - 1
+    return np.stack([flat[at + side] for side in (0, *SIDES)], axis=1)
 
 
 # --- the network -------------------------------------------------------------
@@ -157,13 +199,24 @@ def _runs(groups: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(groups[low]), slice(low, high)
 
 
+def _parts(w: Weights) -> list[np.ndarray]:
+    """The inner layer of each symbol at each side."""
+    return [w["embed"] @ w["inner"][i * DEPTH : (i + 1) * DEPTH] for i in range(len(SIDES))]
+
+
+def _hidden(w: Weights, sides: np.ndarray) -> np.ndarray:
+    h = np.repeat(w["inner0"][None], len(sides), axis=0)
+    for i, part in enumerate(_parts(w)):
+        h += part[sides[:, i]]
+    return np.tanh(h, out=h)
+
+
 def gradients(w: Weights, window: np.ndarray) -> Weights:
     """Of the mean negative log-probability of the middle words."""
     window = window[np.argsort(window[:, 0] // CLASS, kind="stable")]
     target, sides, n = window[:, 0], window[:, 1:], len(window)
     group, every = target // CLASS, np.arange(n)
-    x = w["embed"][sides].reshape(n, -1)
-    h = np.tanh(x @ w["inner"] + w["inner0"])
+    h = _hidden(w, sides)
     out, _ = _softmax(h @ w["group"] + w["group0"])
     out[every, group] -= 1
     g: Weights = {"group": h.T @ out, "group0": out.sum(axis=0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
@@ -174,14 +227,21 @@ def gradients(w: Weights, window: np.ndarray) -> Weights:
         g["word"][c], g["word0"][c] = h[part].T @ p, p.sum(axis=0)
         back[part] += p @ w["word"][c].T
     back *= 1 - h * h
-    g["inner"], g["inner0"] = x.T @ back, back.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], sides.reshape(-1), (back @ w["inner"].T).reshape(-1, DEPTH))
+    g["inner"], g["inner0"], g["embed"] = np.zeros_like(w["inner"]), back.sum(axis=0), np.zeros_like(w["embed"])
+    for i in range(len(SIDES)):
+        inner = slice(i * DEPTH, (i + 1) * DEPTH)
+        order = np.argsort(sides[:, i].astype(np.uint16), kind="stable")
+        symbol = sides[order, i]
+        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        told = symbol[first]
+        summed = np.add.reduceat(back[order], first, axis=0)
+        g["inner"][inner] = w["embed"][told].T @ summed
+        g["embed"][told] += summed @ w["inner"][inner].T
     return {k: v / n for k, v in g.items()}
 
 
 def _trainer(weights: Weights, rate: float):
-    """(trainer, windows) to what one pass of Adagrad over them changes in the weights."""
+    """(runs) to what one pass of Adagrad over them changes in the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = {k: v.copy() for k, v in weights.items()}
@@ -195,11 +255,12 @@ def _trainer(weights: Weights, rate: float):
                 w[k] -= rate * g / np.sqrt(seen[k])
 
         for batch in batches:
-            for packed in batch.column(1).to_pylist():
-                held = np.concatenate([held, np.frombuffer(packed, np.uint16).reshape(-1, 1 + len(SIDES)).astype(np.int64)])
+            for runs in batch.column(0).to_pylist():
+                held = np.concatenate([held, windows_of(runs)])
                 while len(held) >= BATCH:
                     learn(held[:BATCH])
                     held, n = held[BATCH:], n + 1
+        release_memory()
         if len(held):
             learn(held)
             n += 1
@@ -222,23 +283,24 @@ def _mean_change(group: pd.DataFrame) -> pd.DataFrame:
 def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SYMBOLS, np.int64)
     for batch in batches:
-        for packed in batch.column(1).to_pylist():
-            counts += np.bincount(np.frombuffer(packed, np.uint16)[:: 1 + len(SIDES)], minlength=SYMBOLS)
+        for packed in batch.column(0).to_pylist():
+            counts += np.bincount(np.frombuffer(packed, np.uint16), minlength=SYMBOLS)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS)), pa.array(counts)], ["symbol", "n"])
 
 
-def fit(windows: DataFrame, rounds: int = ROUNDS) -> Weights:
-    """Weights from (trainer, windows); they start from how frequent each symbol is."""
+def fit(symbols: DataFrame, windows: DataFrame, rounds: int = ROUNDS) -> Weights:
+    """Weights from (trainer, round, runs); they start from how frequent each symbol is."""
     w = new_weights()
     counts = np.ones(SYMBOLS)
     # A row a symbol.
-    for row in windows.mapInArrow(_middles, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for row in symbols.select("symbols").mapInArrow(_middles, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[row["symbol"]] += row["n"]
     counts = counts.reshape(-1, CLASS)
     w["group0"] = np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32)
     w["word0"] = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     for number in range(rounds):
-        changed = windows.repartition(TRAINERS, "trainer").mapInArrow(_trainer(w, RATE / (1 + number)), "name string, change binary")
+        mine = windows.filter(F.col("round") == number).repartition(TRAINERS, "trainer").select("runs")
+        changed = mine.mapInArrow(_trainer(w, RATE / (1 + number)), "name string, change binary")
         for row in changed.groupBy("name").applyInPandas(_mean_change, "name string, change binary").collect():
             w[row["name"]] = w[row["name"]] + np.frombuffer(row["change"], np.float32).reshape(w[row["name"]].shape)
     return w
@@ -247,8 +309,7 @@ def fit(windows: DataFrame, rounds: int = ROUNDS) -> Weights:
 def log_probabilities(w: Weights, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each token at ``at``, given its neighbours."""
     out = np.empty(len(at), np.float32)
-    # The inner layer of each symbol at each side, once for all tokens.
-    parts = [w["embed"] @ w["inner"][i * DEPTH : (i + 1) * DEPTH] for i in range(len(SIDES))]
+    parts = _parts(w)  # once for all tokens
     # The hidden layer lies within 1, which bounds what comes after it.
     small = all((np.abs(w[k]).sum(axis=-2) + np.abs(w[k + "0"])).max() < 60 for k in ("group", "word"))
     for start in range(0, len(at), 1 << 14):
@@ -281,13 +342,12 @@ def _log_sum(z: np.ndarray, small: bool) -> np.ndarray:
     return np.log(np.exp(np.subtract(z, top[:, None], out=z), out=z).sum(axis=1)) + top
 
 
-def _scorer(words: list[bytes], w: Weights):
+def _scorer(w: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = _Symbols(words)
         for batch in batches:
             n, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for start, block in text_blocks(batch.column(1), BLOCK_BYTES):
-                flat, at, sizes = symbols.of(block)
+                flat, at, sizes = _padded(block)
                 owner = np.repeat(np.arange(len(block)), sizes)
                 n[start : start + len(block)] = sizes
                 score[start : start + len(block)] = np.bincount(owner, log_probabilities(w, flat, at), len(block))
@@ -299,10 +359,10 @@ def _scorer(words: list[bytes], w: Weights):
 
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob), one row for each of ``df``."""
-    rows = df.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    words = vocabulary(rows.select("text"))
-    seeds = F.xxhash64(F.col("id"), F.lit(SEED)).alias("seed")
-    weights = fit(settled(training_windows(rows.select("text", seeds), words, every)))
+    seed = F.xxhash64(F.col(id_col), F.lit(SEED)).alias("seed")
+    rows = df.select(F.col(id_col).alias("id"), seed, whole_text(text_col).alias("text"))
+    symbols = settled(coded(rows, vocabulary(rows.select("text"))))
+    weights = fit(symbols, settled(training_windows(symbols, every)))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(_scorer(words, weights), f"id {kind}, n_tokens bigint, log_prob double")
+    scored = symbols.select("id", "symbols").mapInArrow(_scorer(weights), f"id {kind}, n_tokens bigint, log_prob double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "log_prob", F.try_divide("log_prob", "n_tokens").alias("mean_log_prob"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 
@@ -206,3 +207,17 @@ def test_random_strings_beside_a_match_are_told(spark):
             held = max((min(b, at + 32) - max(a, at) for a, b in spans), default=0)
             told, missed = told + (held >= 24), missed + (held < 24)
     assert told >= 0.95 * (told + missed)
+
+
+def test_every_token_is_the_middle_of_one_training_window(spark):
+    texts = ["", " ".join(f"w{i % 40}" for i in range(1000)), "a b", "c", " ".join(f"v{i % 7}" for i in range(pseudo.RUN + 1))]
+    rows = spark.createDataFrame([(i, i * 77, t) for i, t in enumerate(texts)], "id bigint, seed bigint, text string")
+    words = [f"w{i}".encode() for i in range(40)]
+    symbols = pseudo.coded(rows, words).collect()
+    want = Counter()
+    for row in symbols:
+        flat = [pseudo.PAD] * 2 + np.frombuffer(row["symbols"], np.uint16).tolist() + [pseudo.PAD] * 2
+        want.update((flat[i], *(flat[i + side] for side in pseudo.SIDES)) for i in range(2, len(flat) - 2))
+    cut = pseudo.training_windows(spark.createDataFrame(symbols, "id bigint, seed bigint, symbols binary")).collect()
+    assert Counter(tuple(w) for r in cut for w in pseudo.windows_of(r["runs"]).tolist()) == want
+    assert sum(want.values()) == sum(len(t.split()) for t in texts) and {r["round"] for r in cut} <= set(range(pseudo.ROUNDS))
