@@ -47,6 +47,47 @@ BINS = 2048
 LOSS = 10.0
 
 
+MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def _mixed(h: np.ndarray | np.uint64, part: np.ndarray) -> np.ndarray:
+    h = (h ^ part) * MIX[0]
+    h ^= h >> np.uint64(29)
+    h *= MIX[1]
+    return h
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+
+
+class _Words(dict):
+    """Words to numbers; ``tables`` holds by number what n-grams take from a word or its shape: hash, bucket alone, hash as the first of a pair."""
+
+    def __init__(self, learn, views: list[np.uint64]):
+        self.learn, self.views = learn, views
+        self.forget()
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(self.learn(word))
+        self[word] = number = len(self)
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self.shapes: dict[bytes, int] = {}
+        self.new: list[tuple[int, int]] = []
+        self.tables = [np.zeros(0, kind) for kind in (np.uint64, np.int64, np.uint64) * 2]
+
+    def settle(self) -> list[np.ndarray]:
+        if self.new:
+            hashes = np.array(self.new, np.uint64).T
+            more = [t for h, v in zip(hashes, (0, 2), strict=True) for t in (h, _bucket(_mixed(self.views[v], h)), _mixed(self.views[v + 1], h))]
+            self.tables = [np.concatenate(pair) for pair in zip(self.tables, more, strict=True)]
+            self.new = []
+        return self.tables
+
+
 def _ngrams():
     """Texts to (bucket of each n-gram, n-grams of each text)."""
     import re
@@ -55,42 +96,47 @@ def _ngrams():
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
-    classes = [(re.compile(p), r) for p, r in ((rb"[a-z\x80-\xff]+", b"a"), (rb"[A-Z]+", b"A"), (rb"[0-9]+", b"0"), (rb"([^a0A])\1+", rb"\1\1"))]
-    known = worker_cache("ngrams")
-    mix = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    # A character stands for its class; then runs of a class count once, those of any other character twice.
+    classes = bytes(97 if 97 <= b <= 122 or b > 127 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+    runs = [(re.compile(p), r) for p, r in ((rb"([aA0])\1+", rb"\1"), (rb"([^aA0])\1+", rb"\1\1"))]
     views = [np.uint64(hashed(name)) for name in (b"word", b"words", b"shape", b"shapes", b"again")]
+    back = np.arange(9, dtype=np.uint64)
+    again_bucket = _bucket(_mixed(_mixed(views[4], back)[:, None], back))
 
     def learn(word: bytes) -> tuple[int, int]:
-        shape = word
-        for pattern, to in classes:
-            shape = pattern.sub(to, shape)
-        return hashed(word.lower()), hashed(shape)
-
-    def bucket(view: np.uint64, *parts: np.ndarray) -> np.ndarray:
-        h = np.full(len(parts[0]), view)
-        for part in parts:
-            h = (h ^ part) * mix[0]
-            h ^= h >> np.uint64(29)
-            h *= mix[1]
-        return (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+        kinds = word.translate(classes)
+        if (shape := known.shapes.get(kinds)) is None:
+            squeezed = kinds
+            for pattern, to in runs:
+                squeezed = pattern.sub(to, squeezed)
+            shape = known.shapes[kinds] = hashed(squeezed)
+        return hashed(word.lower()), shape
+
+    cache = worker_cache("ngrams")
+    if "words" not in cache:
+        cache["words"] = _Words(learn, views)
+    known = cache["words"]
 
     def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         cut = [t.split() for t in texts]
         if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in set(chain.from_iterable(cut)).difference(known):
-            known[w] = learn(w)
+            known.forget()
         sizes = np.array([len(c) for c in cut], np.int64)
-        pairs = np.fromiter(chain.from_iterable(map(known.__getitem__, chain.from_iterable(cut))), np.uint64, 2 * sizes.sum()).reshape(-1, 2)
-        word, shape = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        number = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        word, word_bucket, word_first, shape, shape_bucket, shape_first = known.settle()
         owner = np.repeat(np.arange(len(texts)), sizes)
-        again = np.zeros(len(word), np.uint64)
+        place = np.minimum(np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 8).astype(np.uint8)
+        again, words = np.zeros(len(number), np.uint8), word[number]
         for back in (8, 7, 6, 5, 4, 3, 2, 1):
-            same = (word[back:] == word[:-back]) & (owner[back:] == owner[:-back])
-            again[back:][same] = back
-        joined = owner[1:] == owner[:-1]
-        found = [bucket(views[0], word), bucket(views[2], shape), *[bucket(v, x[:-1], x[1:])[joined] for v, x in zip(views[1::2], (word, shape), strict=False)], bucket(views[4], again[:-1], again[1:])[joined]]
-        owners = [owner, owner, *[owner[1:][joined]] * 3]
+            same = words[back:] == words[:-back]
+            same &= place[back:] >= back
+            np.copyto(again[back:], np.uint8(back), where=same)
+        right = np.flatnonzero(place)
+        left = right - 1
+        first, second = number[left], number[right]
+        pairs = [_bucket(_mixed(word_first[first], words[right])), _bucket(_mixed(shape_first[first], shape[second]))]
+        found = [word_bucket[number], shape_bucket[number], *pairs, again_bucket[again[left], again[right]]]
+        owners = [owner, owner, *[owner[right]] * 3]
         return np.concatenate(found), np.concatenate(owners)
 
     return run
@@ -104,7 +150,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, texts in text_blocks(batch.column(0), BLOCK_BYTES):
             bucket, owner = ngrams(texts)
             raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[good[start + owner]], minlength=BUCKETS)
+            if (mine := good[start : start + len(texts)]).any():
+                target += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
         release_memory()
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
