@@ -18,7 +18,7 @@ from maskloom.llm.mixing import mix_by_source
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import keep_quality
 from maskloom.llm.queries import tokenizer
-from maskloom.llm.simhash import drop_similar
+from maskloom.llm.simhash import drop_near_duplicates
 from maskloom.plans.tables import Query
 from maskloom.sources.scratch import measured, settled
 
@@ -34,8 +34,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
-    return drop_similar(docs, words=5, similarity=0.8)
+    """One document of each group whose SimHash fingerprints link: at most 4 of 64 bits apart, met by pigeonring."""
+    return drop_near_duplicates(docs, words=4, distance=4)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

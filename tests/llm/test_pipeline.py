@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from test_duplicates import LOWER, shingles
+from test_duplicates import LOWER, brute_components, fingerprint, shingles
 from test_packing import check_places
 from tokenizers import Tokenizer
 
@@ -105,3 +105,19 @@ def test_stages_take_odd_documents(spark, odd_documents):
     mixed = corpus_pipeline.mix(spark, odd_documents, SF)
     taken = mixing.mix_by_source(odd_documents).agg({"copies": "sum"}).first()[0]
     assert mixed.count() == taken
+
+
+def test_near_copies_are_told_by_their_fingerprints(spark):
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{n}" for n in range(14))
+    rows = [" ".join([passage] * 10 + [f"own{i}n{n}" for n in range(104)]) for i in range(4)]
+    for group in range(12):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 150)]
+        rows += [" ".join(f"x{n}" if rng.random() < share else w for n, w in enumerate(words)) for share in (0, 0.005, 0.02, 0.1)]
+    # Far apart as sets, near by what they repeat.
+    rows += [" ".join(["same"] * 300 + [f"other{i}n{n}" for n in range(54)]) for i in range(4)]
+    pairs = [(i, fingerprint(t, 4)) for i, t in enumerate(rows)]
+    heads = brute_components(pairs, 4)
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(rows)], "doc_id bigint, text string, source string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
+    assert kept == set(heads) and len(set(heads[-4:])) == 1
