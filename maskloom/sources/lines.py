@@ -1,10 +1,12 @@
 """Lines of text files of any size.
 
 The files are listed, excluded by path, and told text from binary by their first
-bytes; only then are contents read, by Spark's text source, which splits a file
-over many tasks. What that source passes over, names that begin with ``.`` or
-``_``, and what it would unpack by its name is read record by record. A file whose
-bytes are not all there when it is read is kept apart with an error; the others go on.
+bytes; only then are contents read. Files of up to ``WHOLE_BYTES`` are read whole by
+the tasks they are dealt out to, many to a task; larger ones by Spark's text source,
+which splits a file over many tasks. What that source passes over, names that begin
+with ``.`` or ``_``, and what it would unpack by its name is read record by record. A
+file whose bytes are not all there when it is read is kept apart with an error; the
+others go on.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.globs import DEFAULT_EXCLUDES, is_excluded
-from maskloom.functions.text import SNIFF_BYTES, is_text, line_structs
+from maskloom.functions.text import SNIFF_BYTES, decode_text, is_text, line_structs
 from maskloom.operators.files import ANONYMISE, EXCLUDED, FAILED, PASSTHROUGH
 from maskloom.sources.scratch import measured, settled
-from maskloom.sources.trees import hidden_texts, with_head
+from maskloom.sources.trees import hidden_texts, with_head, with_whole
 
 HIDDEN = r"(^|/)[._]"
 # Suffixes that make Spark's text source unpack a file, whatever it holds.
 PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
 UNREAD = "unreadable: its bytes were not all there when it was read"
+# Files of up to so many bytes are read whole: the text source takes one file for as costly as 4 MB, and a task for a few of them.
+WHOLE_BYTES = 4 << 20
 
 
 def dispositions(files: DataFrame, exclude: Iterable[str] = (), any_case: bool = False, defaults: bool = True) -> DataFrame:
@@ -53,7 +57,7 @@ def _location() -> Column:
 
 
 def _records(spark: SparkSession, files: DataFrame, roots: Sequence[str], excluded: Column | None) -> DataFrame:
-    """(location, block, seq, value): what lies between line feeds, in order within a block."""
+    """(location, block, seq, value) of files above ``WHOLE_BYTES``: what lies between line feeds, in order within a block."""
     passed_over = files.where(F.col("rel_path").rlike(HIDDEN) | F.col("location").rlike(PACKED))
     hidden = hidden_texts(passed_over).withColumn("block", F.lit(0).cast("bigint"))
     if not roots:
@@ -61,8 +65,8 @@ def _records(spark: SparkSession, files: DataFrame, roots: Sequence[str], exclud
     raw = (
         # What cannot be read leaves no record; its bytes are then missed.
         spark.read.options(lineSep="\n", recursiveFileLookup=True, ignoreCorruptFiles=True, ignoreMissingFiles=True).text(list(roots))
-        # A filter on the path alone is applied to the listing: the source does not open what it rules out.
-        .where(~_location().rlike(PACKED) & (F.lit(True) if excluded is None else ~excluded))
+        # A filter on path and size alone is applied to the listing: the source does not open what it rules out.
+        .where(~_location().rlike(PACKED) & (F.col("_metadata.file_size") > WHOLE_BYTES) & (F.lit(True) if excluded is None else ~excluded))
         .select(
             _location().alias("location"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -120,8 +124,37 @@ def read_listed(
 ) -> ReadLines:
     """The lines of the listed files, all of them text, below ``roots``, and the files of which bytes are missing.
 
-    ``files`` must be settled. A leading byte-order mark is no part of a line. Lines end at ``\\n``, ``\\r\\n`` or ``\\r``. Spark reads the
-    blocks of a file in order, so a record's place follows from the sizes of the
+    ``files`` must be settled. A leading byte-order mark is no part of a line. Lines end at ``\\n``, ``\\r\\n`` or ``\\r``.
+    """
+    small = _read_whole(files.where(F.col("length") <= WHOLE_BYTES), keep)
+    large = files.where(F.col("length") > WHOLE_BYTES)
+    if large.isEmpty():
+        return small
+    split = _read_split(spark, large, roots, excluded, keep)
+    return ReadLines(small.lines.unionByName(split.lines), small.failed.unionByName(split.failed), small.counts.unionByName(split.counts))
+
+
+def _read_whole(files: DataFrame, keep: Sequence[str]) -> ReadLines:
+    """Every file in one row: it is opened to be checked, and again where its lines are used."""
+    listed = list(dict.fromkeys([*keep, "location"]))
+    unmarked = F.when(F.col("marked"), F.substring("content", 4, WHOLE_BYTES)).otherwise(F.col("content"))
+    whole = F.coalesce(F.octet_length("content") == F.col("length"), F.lit(False))
+
+    def texts(files: DataFrame) -> DataFrame:
+        return with_whole(files.select(*listed, "length", "marked")).select(*listed, whole.alias("sound"), decode_text(unmarked).alias("text"))
+
+    checked = settled(texts(files).select(*listed, F.when(F.col("sound"), F.size(line_structs(F.col("text")))).cast("bigint").alias("n_lines"), "sound"))
+    failed = checked.where("NOT sound").select(*listed, F.lit(UNREAD).alias("error"))
+    sound = files.join(failed.select("location"), "location", "left_anti")
+    told = texts(sound).where("sound").select(*keep, F.posexplode(line_structs(F.col("text"))).alias("pos", "part"))
+    lines = told.select(*keep, (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("part.line").alias("line"), F.col("part.eol").alias("eol"))
+    return ReadLines(lines, failed, checked.where("sound").select(*keep, "n_lines"))
+
+
+def _read_split(spark: SparkSession, files: DataFrame, roots: Sequence[str], excluded: Column | None, keep: Sequence[str]) -> ReadLines:
+    """Files that are split over many tasks.
+
+    Spark reads the blocks of a file in order, so a record's place follows from the sizes of the
     blocks before it; lone ``\\r`` are counted within those blocks that have any.
     """
     records = _records(spark, files, roots, excluded)

@@ -20,6 +20,7 @@ from maskloom.sources.scratch import settled
 ENTRIES = "rel_path string, is_dir boolean, length bigint"
 BATCH_ROWS = 10_000
 BATCH_BYTES = 16 << 20
+OPENED_FILES, OPENED_BYTES = 4096, 64 << 20  # what a task opens and reads, where there are enough tasks
 
 
 def is_local(root: str) -> bool:
@@ -172,8 +173,41 @@ def with_head(files: DataFrame, size: int) -> DataFrame:
             yield batch.assign(error=errors, head=heads, open_end=ends)
 
     columns = ["bundle", "rel_path", "location", "length"]
-    # Opening is slow and uneven: deal the files out before.
-    return files.select(*columns).repartition("location").mapInPandas(read, f"{CATALOGUE}, head binary, open_end boolean")
+    return _dealt(files.select(*columns), size).mapInPandas(read, f"{CATALOGUE}, head binary, open_end boolean")
+
+
+def _dealt(files: DataFrame, most: int) -> DataFrame:
+    """Opening is slow and uneven: settled files dealt out by their number and the bytes to read, up to ``most`` of each.
+
+    The rows that name them are too small to tell how many tasks they are worth.
+    """
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least(F.col("length"), F.lit(most))), F.lit(0))).first()
+    tasks = max(n // OPENED_FILES, size // OPENED_BYTES, min(n, files.sparkSession.sparkContext.defaultParallelism), 1)
+    return files.repartition(int(tasks), "location")
+
+
+def with_whole(files: DataFrame) -> DataFrame:
+    """Add ``content``: all bytes of every listed file, null where it cannot be read. One that grew comes with a byte more than listed."""
+    columns = files.columns
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents: list[bytes | None] = []
+            start = held = 0
+            for location, length in zip(batch["location"], batch["length"]):
+                try:
+                    with opened(location) as file:
+                        contents.append(file.read(int(length) + 1))
+                except OSError:
+                    contents.append(None)
+                held += int(length)
+                if held >= BATCH_BYTES:
+                    yield batch.iloc[start : start + len(contents)].assign(content=contents)
+                    start, held, contents = start + len(contents), 0, []
+            yield batch.iloc[start:].assign(content=pd.Series(contents, dtype="object", index=batch.index[start:]))
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in files.dtypes)
+    return _dealt(files, 1 << 62).select(*columns).mapInPandas(read, f"{kinds}, content binary")
 
 
 def pieces(files: DataFrame, size: int = 64 << 20) -> DataFrame:

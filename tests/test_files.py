@@ -207,3 +207,46 @@ def test_archive_members_in_pieces_are_the_same_lines(spark, tmp_path):
     whole = spark.createDataFrame([("x", n, bytearray(d)) for n, d in texts.items()], "bundle string, rel_path string, content binary")
     expected = documents_to_lines(whole.withColumn("text", decode_text(F.col("content"))), "text", ("bundle", "rel_path"))
     assert sorted(lines_of_pieces(pieces).collect()) == sorted(expected.collect())
+
+
+def test_small_files_are_read_whole(spark, tmp_path, monkeypatch):
+    """Many to a task, with the lines and failures that the text source gives."""
+    from maskloom.sources import lines as source
+
+    (tmp_path / "sub").mkdir()
+    odd = {
+        "a.log": b"one\ntwo", "b.log": b"", "c.log": b"\xef\xbb\xbfmark\r\nx\ry\n", "d.log": b"\xef\xbb\xbf", "e.log": b"caf\xe9\r\r\n\n",
+        "sub/.hidden": b"h\n", "sub/f.gz.log": b"g\n", "sub/g.gz": b"plain\r", "sub/long.log": b"w" * 9000 + b"\n" + "é\n".encode() * 9000, "sub/nul.bin": b"\x00",
+    }
+    for name, content in odd.items():
+        (tmp_path / name).write_bytes(content)
+    for i in range(300):
+        (tmp_path / "sub" / f"{i}.log").write_bytes(b"line %d\n" % i)
+    found = read_lines(spark, str(tmp_path))
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, found.collect()))
+    assert len(whole) == 300 + 2 + 3 + 3 + 1 + 1 + 1 + 9001
+    assert {(r[1], *r[2:]) for r in whole if r[1] in ("c.log", "e.log")} == {
+        ("c.log", 1, "mark", "\r\n"), ("c.log", 2, "x", "\r"), ("c.log", 3, "y", "\n"), ("e.log", 1, "café", "\r"), ("e.log", 2, "", "\r\n"), ("e.log", 3, "", "\n"),
+    }
+    for split_above in (100, 0):
+        monkeypatch.setattr(source, "WHOLE_BYTES", split_above)
+        assert sorted(map(tuple, read_lines(spark, str(tmp_path)).collect())) == whole
+
+
+@pytest.mark.parametrize("whole_bytes", [4 << 20, 0])
+def test_changed_files_fail_alone(spark, tmp_path, monkeypatch, whole_bytes):
+    from maskloom.sources import lines as source
+    from maskloom.sources.trees import catalogue
+
+    monkeypatch.setattr(source, "WHOLE_BYTES", whole_bytes)
+    for name in ("kept", "longer", "shorter", "gone"):
+        (tmp_path / f"{name}.log").write_bytes(b"a\nb\n")
+    listed = source.dispositions(catalogue(spark, [("b", str(tmp_path))]))
+    (tmp_path / "longer.log").write_bytes(b"a\nb\nc\nd\n")
+    (tmp_path / "shorter.log").write_bytes(b"a\n")
+    (tmp_path / "gone.log").unlink()
+    read = source.read_listed(spark, listed, [str(tmp_path)])
+    assert sorted((r["rel_path"], r["line_no"], r["line"]) for r in read.lines.collect()) == [("kept.log", 1, "a"), ("kept.log", 2, "b")]
+    assert {r["rel_path"] for r in read.failed.collect()} == {"longer.log", "shorter.log", "gone.log"}
+    assert [(r["rel_path"], r["n_lines"]) for r in read.counts.collect()] == [("kept.log", 2)]
