@@ -182,13 +182,11 @@ def new_weights() -> Weights:
     return {k: (rng.normal(size=s) * (0.1 if len(s) > 1 and not k.endswith("0") else 0)).astype(np.float32) for k, s in shapes.items()}
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the logarithm of what they were divided by; ``z`` is overwritten."""
-    top = z.max(axis=1, keepdims=True)
-    np.exp(np.subtract(z, top, out=z), out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return z, (np.log(total) + top)[:, 0]
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities; ``z`` is overwritten."""
+    np.exp(np.subtract(z, z.max(axis=1, keepdims=True), out=z), out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def _runs(groups: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -204,40 +202,43 @@ def _parts(w: Weights) -> list[np.ndarray]:
     return [w["embed"] @ w["inner"][i * DEPTH : (i + 1) * DEPTH] for i in range(len(SIDES))]
 
 
-def _hidden(w: Weights, sides: np.ndarray) -> np.ndarray:
-    h = np.repeat(w["inner0"][None], len(sides), axis=0)
-    for i, part in enumerate(_parts(w)):
-        h += part[sides[:, i]]
-    return np.tanh(h, out=h)
-
-
 def gradients(w: Weights, window: np.ndarray) -> Weights:
     """Of the mean negative log-probability of the middle words."""
-    window = window[np.argsort(window[:, 0] // CLASS, kind="stable")]
+    window = window[np.argsort((window[:, 0] // CLASS).astype(np.uint8), kind="stable")]
     target, sides, n = window[:, 0], window[:, 1:], len(window)
     group, every = target // CLASS, np.arange(n)
-    h = _hidden(w, sides)
-    out, _ = _softmax(h @ w["group"] + w["group0"])
+    near = w["embed"][sides].reshape(n, -1)
+    h = near @ w["inner"]
+    h += w["inner0"]
+    np.tanh(h, out=h)
+    out = _softmax(h @ w["group"] + w["group0"])
     out[every, group] -= 1
     g: Weights = {"group": h.T @ out, "group0": out.sum(axis=0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
     back = out @ w["group"].T
-    for c, part in _runs(group):
-        p, _ = _softmax(h[part] @ w["word"][c] + w["word0"][c])
-        p[np.arange(len(p)), target[part] % CLASS] -= 1
-        g["word"][c], g["word0"][c] = h[part].T @ p, p.sum(axis=0)
-        back[part] += p @ w["word"][c].T
+    # Each class has weights of its own; what needs none of them is done for all rows at once.
+    runs, p, below = list(_runs(group)), np.empty((n, CLASS), h.dtype), np.empty_like(back)
+    for c, part in runs:
+        np.matmul(h[part], w["word"][c], out=p[part])
+    p += w["word0"][group]
+    p = _softmax(p)
+    p[every, target % CLASS] -= 1
+    for c, part in runs:
+        np.matmul(h[part].T, p[part], out=g["word"][c])
+        p[part].sum(axis=0, out=g["word0"][c])
+        np.matmul(p[part], w["word"][c].T, out=below[part])
+    back += below
     back *= 1 - h * h
-    g["inner"], g["inner0"], g["embed"] = np.zeros_like(w["inner"]), back.sum(axis=0), np.zeros_like(w["embed"])
-    for i in range(len(SIDES)):
-        inner = slice(i * DEPTH, (i + 1) * DEPTH)
-        order = np.argsort(sides[:, i].astype(np.uint16), kind="stable")
-        symbol = sides[order, i]
-        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-        told = symbol[first]
-        summed = np.add.reduceat(back[order], first, axis=0)
-        g["inner"][inner] = w["embed"][told].T @ summed
-        g["embed"][told] += summed @ w["inner"][inner].T
-    return {k: v / n for k, v in g.items()}
+    g["inner"], g["inner0"], g["embed"] = near.T @ back, back.sum(axis=0), np.zeros_like(w["embed"])
+    shares = (back @ w["inner"].T).reshape(-1, DEPTH)
+    symbol = sides.ravel().astype(np.uint16)
+    order = np.argsort(symbol, kind="stable")
+    symbol = symbol[order]
+    first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+    # Two numbers at a time: a sum of complex numbers is that of both parts.
+    g["embed"][symbol[first]] = np.add.reduceat(shares[order].view(np.result_type(shares, np.complex64)), first, axis=0).view(shares.dtype)
+    for v in g.values():
+        v /= n
+    return g
 
 
 def _trainer(weights: Weights, rate: float):
@@ -251,8 +252,10 @@ def _trainer(weights: Weights, rate: float):
 
         def learn(window: np.ndarray) -> None:
             for k, g in gradients(w, window).items():
-                seen[k] += g * g
-                w[k] -= rate * g / np.sqrt(seen[k])
+                step = rate * g
+                seen[k] += np.square(g, out=g)
+                step /= np.sqrt(seen[k], out=g)
+                w[k] -= step
 
         for batch in batches:
             for runs in batch.column(0).to_pylist():

@@ -221,3 +221,13 @@ def test_every_token_is_the_middle_of_one_training_window(spark):
     cut = pseudo.training_windows(spark.createDataFrame(symbols, "id bigint, seed bigint, symbols binary")).collect()
     assert Counter(tuple(w) for r in cut for w in pseudo.windows_of(r["runs"]).tolist()) == want
     assert sum(want.values()) == sum(len(t.split()) for t in texts) and {r["round"] for r in cut} <= set(range(pseudo.ROUNDS))
+
+
+def test_a_symbol_that_fills_a_batch_gets_the_sum_of_its_windows():
+    rng = np.random.default_rng(1)
+    w = pseudo.new_weights()
+    window = np.where(rng.random((600, 5)) < 0.7, 3, rng.integers(0, pseudo.SYMBOLS, (600, 5)))
+    whole = pseudo.gradients(w, window)
+    parts = [pseudo.gradients(w, window[i : i + 1]) for i in range(600)]
+    for name, g in whole.items():
+        assert np.allclose(g, np.mean([part[name].astype(float) for part in parts], axis=0), atol=1e-5), name
