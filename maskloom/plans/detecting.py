@@ -16,7 +16,10 @@ from maskloom.plans.tables import Query, with_tables
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose, turns, raw pages, key/value and secret lines together: (path, line_no, line)."""
     keep = ("path", "line_no", "line")
-    parts = [t.document_lines(spark, sf_dir), t.more_lines(spark, sf_dir), t.kv_lines(spark, sf_dir), t.secret_lines(spark, sf_dir)]
+    events = t.dealt(t.table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts"))
+    orders = t.dealt(t.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    narrow = [t.kv_lines_of(events), t.secret_lines_of(orders)]
+    parts = [t.document_lines(spark, sf_dir), t.more_lines(spark, sf_dir), *narrow]
     first, *rest = [part.select(*keep) for part in parts]
     for part in rest:
         first = first.unionByName(part)

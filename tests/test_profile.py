@@ -125,3 +125,27 @@ def test_suggested_rules_hide_what_was_found(lines):
 def test_nothing_found_changes_nothing(lines):
     df = lines("plain")
     assert profile_then_apply(df, detections(df)).first()["line_out"] == "plain"
+
+
+def test_one_row_group_is_scanned_by_many_tasks(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    from maskloom.plans import tables
+    from maskloom.plans.detecting import scan_lines
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    day = pd.Timestamp("2024-01-01")
+    rows = {
+        "documents": {"doc_id": [1], "source": ["s"], "text": ["a"]},
+        "conversations": {"conv_id": [1], "turn": [1], "text": ["b"]},
+        "pages": {"page_id": [1], "html": ["c"]},
+        "events": {"event_id": range(500), "user_id": [1] * 500, "event_type": ["t"] * 500, "ts": [day] * 500},
+        "orders": {"o_orderkey": [7, None] * 500, "o_custkey": [3] * 1000},
+    }
+    for name, columns in rows.items():
+        pd.DataFrame(columns).astype({"o_orderkey": "Int64"} if name == "orders" else {}).to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    found = scan_lines(spark, str(tmp_path))
+    assert found.count() == 3 + 500 + 1000
+    for kind, n in (("user-", 500), ("cust-", 1000)):
+        parts = found.where(F.startswith("path", F.lit(kind))).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in parts) == n
+        assert max(r["count"] for r in parts) <= 200
