@@ -21,10 +21,11 @@ from collections import deque
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import WORD, whole_text, with_running_total
+from maskloom.llm.common import WORD, small_table, whole_text, with_running_total
 from maskloom.sources.scratch import settled
 
 MAX_PATTERNS = 100_000
@@ -32,6 +33,13 @@ MAX_PATTERNS = 100_000
 FEW = 20_000
 
 
+BIG = pa.int64()
+TAKEN = pa.schema({"p": pa.int32(), "before": BIG, "extra": BIG})
+BOUNDS = pa.list_(pa.struct({"upto": BIG, "quota": pa.string()}))
+PLAN = pa.schema({"pattern": pa.string(), "p": pa.int32(), "offer": BIG, "whole": BIG, "rest": BIG, "bounds": BOUNDS})
+SOURCES = pa.schema({"source": pa.string(), "source_size": BIG, "target": pa.float64()})
+
+
 def words_in(text: str) -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("bigint")
 
@@ -135,7 +143,7 @@ def _filled(summed: DataFrame) -> DataFrame:
             free[row["p"]] = room - row["size"]
             taken.append((row["p"], row["before"], 1))
     # At most FEW rows. Of documents with words, each has a place of its own.
-    taken = F.broadcast(summed.sparkSession.createDataFrame(taken, "p int, before bigint, extra bigint"))
+    taken = F.broadcast(small_table(summed.sparkSession, taken, TAKEN))
     parts.append(left.join(taken, ["p", "before"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("bigint"))).select(*out))
     return reduce(DataFrame.unionByName, parts)
 
@@ -161,13 +169,11 @@ def mix(rows: DataFrame, quotas: Mapping[str | None, float], repeats: int = 2, s
         total, bounds, offer = 0, [], row["offer"]
         for q, amount in flow[i].items():
             total += amount
-            bounds += [(total, names[q])] * bool(amount)
+            bounds += [{"upto": total, "quota": names[q]}] * bool(amount)
         whole = total // offer if offer else 0
         plan.append((row["pattern"], i, offer, whole, total - whole * offer, bounds))
-    spark = rows.sparkSession
-    schema = "pattern string, p int, offer bigint, whole bigint, rest bigint, bounds array<struct<upto:bigint,quota:string>>"
     # One row a pattern, at most MAX_PATTERNS.
-    planned = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), "pattern")
+    planned = rows.join(F.broadcast(small_table(rows.sparkSession, plan, PLAN)), "pattern")
     order = F.xxhash64(F.col("id"), F.lit(seed))
     summed = settled(with_running_total(settled(planned.drop("pattern").withColumn("h", order)), "p", ["h", "id", "size"], F.col("size")))
     chosen = _filled(summed).withColumn("copies", F.col("whole") + F.col("extra"))
@@ -191,7 +197,7 @@ def mix_by_source(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = mix(rows, {r["source"]: t for r, t in zip(found, targets, strict=True)}, most, seed)
     told = [(r["source"], r["size"], float(t)) for r, t in zip(found, targets, strict=True)]
     # One row a source, at most MAX_PATTERNS.
-    table = F.broadcast(df.sparkSession.createDataFrame(told, "source string, source_size bigint, target double"))
+    table = F.broadcast(small_table(df.sparkSession, told, SOURCES))
     return mixed.join(table, F.col("members")[0].eqNullSafe(F.col("source"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )

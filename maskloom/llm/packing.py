@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import release_memory, whole_text, with_running_total, worker_cache
+from maskloom.llm.common import release_memory, small_batches, whole_text, with_running_total, worker_cache
 from maskloom.sources.scratch import settled
 
 LIMIT = 4096
@@ -38,7 +38,7 @@ FILLINGS, NODES = 48, 6000
 # --- token ids ---------------------------------------------------------------
 
 CACHED_WORDS = 300_000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def _encoder(path: str):
@@ -56,6 +56,7 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    release_memory()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     of = {c: "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == c) for c in "LN"}
     # What the tokenizer's own pattern tells apart.
@@ -313,6 +314,7 @@ def pack(rows: DataFrame, order: list[str], limit: int = LIMIT) -> DataFrame:
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = 1) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every text."""
-    rows = settled(pieces(df, tokenizer_path, id_col, text_col, limit, end_id).withColumn("h", F.xxhash64("id", "piece")))
+    with small_batches(df.sparkSession):
+        rows = settled(pieces(df, tokenizer_path, id_col, text_col, limit, end_id).withColumn("h", F.xxhash64("id", "piece")))
     packed = pack(rows, ["h", "id", "piece", "ids_crc32"], limit)
     return packed.drop("h").withColumnRenamed("id", id_col)

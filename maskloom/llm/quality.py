@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import fresh, release_memory, text_blocks, whole_text, worker_cache
+from maskloom.llm.common import fresh, release_memory, small_batches, text_blocks, whole_text, worker_cache
 from maskloom.sources.scratch import measured, settled
 
 BUCKETS = 1 << 13
@@ -176,8 +176,10 @@ def fit(labelled: DataFrame) -> Model | None:
     """The ratio of two n-gram models from (text, label): all texts are raw, those of label 1 the target."""
     parts = labelled.mapInArrow(_counts, "bucket bigint, raw bigint, target bigint")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    # A row a bucket.
-    for row in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+    with small_batches(labelled.sparkSession):
+        # A row a bucket.
+        found = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    for row in found:
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not target.sum():
         return None
@@ -243,7 +245,8 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     level_label = F.when(~F.col("fits"), F.col("label")).alias("label")
     scored = labelled.select(F.col(id_col).alias("id"), level_label, "text").mapInArrow(_scorer(model), f"id {kind}, label int, n_grams bigint, importance double")
     uniform = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = settled(scored.withColumn("noisy", F.col("importance") - F.log(-F.log(uniform))))
+    with small_batches(df.sparkSession):
+        scored = settled(scored.withColumn("noisy", F.col("importance") - F.log(-F.log(uniform))))
     # One row a labelled id and text: at most MAX_LABELS of them unless texts of one id differ, and then in an order of their own.
     told = scored.filter("label IS NOT NULL").select("id", "importance", "label").distinct()
     told = told.orderBy(F.xxhash64("id", "importance"), "label").limit(MAX_LABELS).select("importance", "label").toPandas()

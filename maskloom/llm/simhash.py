@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import components, fresh, join_groups, release_memory, whole_text
+from maskloom.llm.common import components, fresh, join_groups, release_memory, small_batches, whole_text
 from maskloom.sources.scratch import measured, settled
 
 BITS = 64
@@ -340,7 +340,8 @@ def exact_links(texts: DataFrame, nodes: DataFrame, candidates: DataFrame, words
 
 
 def _members(df: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
-    rows = settled(with_fingerprint(df, id_col, text_col, words))
+    with small_batches(df.sparkSession):
+        rows = settled(with_fingerprint(df, id_col, text_col, words))
     nodes = settled(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(hamming_links(nodes.select("fp"), distance), "x", "y")
     roots = settled(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))

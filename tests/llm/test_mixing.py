@@ -106,3 +106,16 @@ def test_no_document_that_fits_is_left(spark, monkeypatch, few):
 
 def test_mix_empty(no_documents):
     assert mixing.mix_by_source(no_documents).count() == 0
+
+
+def test_plan_needs_no_python_workers(spark, monkeypatch):
+    """What the driver tells is part of the plan: rows dealt out by Spark's Python side start workers that stay on."""
+
+    def forbidden(*_, **__):
+        raise AssertionError("rows go through Python workers")
+
+    rows = settled(spark.range(40).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 AS int)) AS text", "if(id % 3 = 0, NULL, concat('s', id % 3)) AS source"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", forbidden)
+    got = mixing.mix_by_source(rows).collect()
+    assert len(got) == 40 and sum(r["taken"] for r in got) > 0
+    assert mixing.mix_by_source(rows.filter("false")).count() == 0

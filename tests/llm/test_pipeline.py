@@ -5,13 +5,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_duplicates import LOWER, brute_components, fingerprint, shingles
 from test_packing import check_places
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from maskloom.llm import mixing, quality
+from maskloom.llm import mixing, packing, quality, simhash
+from maskloom.llm.common import ARROW_BYTES, BATCH_BYTES
 from maskloom.sources.scratch import settled
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +123,35 @@ def test_near_copies_are_told_by_their_fingerprints(spark):
     df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(rows)], "doc_id bigint, text string, source string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
     assert kept == set(heads) and len(set(heads[-4:])) == 1
+
+
+@pytest.mark.parametrize("own", [None, str(1 << 20)])
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch, own):
+    """8 MB of text in one partition: the batches of each stage with whole texts hold 4 MB or what the session says."""
+    from pyspark.sql import functions as F
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    texts = settled(spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ten bytes "), 1000).alias("text")))
+    labels = spark.range(4).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    sizes = []
+
+    def measuring(df):
+        sizes.append(texts.mapInArrow(largest, "n bigint").agg(F.max("n")).first()[0])
+        return settled(df)
+
+    for module in (packing, quality, simhash):
+        monkeypatch.setattr(module, "settled", measuring)
+    if own:
+        spark.conf.set(ARROW_BYTES, own)
+    try:
+        before = spark.conf.get(ARROW_BYTES)
+        for run in (lambda: quality.resample(texts, labels), lambda: simhash.near_duplicates(texts), lambda: packing.pack_documents(texts, corpus_pipeline.tokenizer("word_bpe_49k.json"))):
+            sizes.clear()
+            run()
+            assert sizes[0] <= (int(own) if own else BATCH_BYTES) + 20_000
+        assert spark.conf.get(ARROW_BYTES) == before
+    finally:
+        spark.conf.unset(ARROW_BYTES)
