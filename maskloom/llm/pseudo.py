@@ -17,10 +17,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import release_memory, text_blocks, whole_text
+from maskloom.llm.words import Block, Counts, Endings, Places
 from maskloom.sources.scratch import settled
 
 WORDS, RARE = 768, 256  # symbols of frequent words, and of all others
@@ -38,61 +36,48 @@ SIDES = (-2, -1, 1, 2)
 EVERY, TRAINERS, ROUNDS, BATCH = 1, 64, 3, 1024
 RUN = 256  # tokens that go to a trainer together
 RATE = 0.2
+STEP = 1 << 13  # weights that are changed together; it bears on speed alone
 BLOCK_BYTES = 1 << 20
-COUNTED = 1 << 19  # distinct words that a task counts before it passes them on
-CACHED_WORDS = 100_000
+COUNTED = 1 << 19  # distinct words that a task holds before it passes their counts on
 SYMBOLS = WORDS + RARE
 PAD = SYMBOLS
+AT_ONCE = 1 << 14  # tokens scored together
 ASIDE = 1 << 15  # marks a symbol of a run that is only a neighbour
 SEED = 42
 
 
-def _split(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def vocabulary(texts: DataFrame) -> list[bytes]:
     """The ``WORDS`` most frequent words of all texts, ties by bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
-
+        counts = Counts(COUNTED)
         for batch in batches:
             for _, block in text_blocks(batch.column(0), BLOCK_BYTES):
-                counts.update(chain.from_iterable(map(_split, block)))
-                if len(counts) > COUNTED:
-                    yield told()
-        yield told()
+                yield from counts.add(block)
+        yield counts.told()
         release_memory()
 
     counted = texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(row["word"]) for row in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
 
 
-class _Symbols(dict):
+class _Symbols:
     """Words to symbols; what is not frequent goes by its last three bytes."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(words)})
-        self.bound = len(words) + CACHED_WORDS
+        self.places, self.endings = Places(words), Endings()
 
-    def __missing__(self, word: bytes) -> int:
-        symbol = WORDS + zlib.crc32(word[-3:]) % RARE
-        if len(self) < self.bound:
-            self[word] = symbol
-        return symbol
-
-    def of(self, block: list[bytes]) -> pa.Array:
+    def of(self, texts: list[bytes]) -> pa.Array:
         """The symbols of each text."""
-        parts = [_split(text) for text in block]
-        ends = np.cumsum([0, *map(len, parts)])
-        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.uint16, int(ends[-1]))
-        return pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(flat)])
+        block = Block(texts)
+        flat = np.empty(len(block), np.uint16)
+        for part, keys in block.keys():
+            symbol = self.places.of(block, part, keys)
+            rare = np.flatnonzero(symbol == self.places.n)
+            symbol[rare] = WORDS + self.endings.of(keys[0].take(rare), keys[2].take(rare)) % RARE
+            flat[part] = symbol
+        ends = np.append(0, np.cumsum(2 * block.sizes)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
 
 
 def _scattered(values: np.ndarray) -> np.ndarray:
@@ -165,10 +150,13 @@ def training_windows(rows: DataFrame, every: int = EVERY, rounds: int = ROUNDS)
 
 def windows_of(runs: bytes) -> np.ndarray:
     """A row a window: the middle symbol, then its neighbours."""
-    flat = np.frombuffer(runs, np.uint16).astype(np.int64)
+    flat = np.frombuffer(runs, np.uint16)
     at = np.flatnonzero(flat < PAD)
-    flat &= ASIDE - 1
-    return np.stack([flat[at + side] for side in (0, *SIDES)], axis=1)
+    flat = flat & np.uint16(ASIDE - 1)
+    out = np.empty((len(at), 1 + len(SIDES)), np.uint16)
+    for i, side in enumerate((0, *SIDES)):
+        out[:, i] = flat[at + side]
+    return out
 
 
 # --- the network -------------------------------------------------------------
@@ -184,7 +172,9 @@ def new_weights() -> Weights:
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Probabilities; ``z`` is overwritten."""
-    np.exp(np.subtract(z, z.max(axis=1, keepdims=True), out=z), out=z)
+    # The largest of a short row is found faster across rows.
+    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
+    np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
@@ -202,60 +192,87 @@ def _parts(w: Weights) -> list[np.ndarray]:
     return [w["embed"] @ w["inner"][i * DEPTH : (i + 1) * DEPTH] for i in range(len(SIDES))]
 
 
+def _rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values.take(at, axis=0, mode="clip")  # unchecked: faster
+
+
 def gradients(w: Weights, window: np.ndarray) -> Weights:
     """Of the mean negative log-probability of the middle words."""
-    window = window[np.argsort((window[:, 0] // CLASS).astype(np.uint8), kind="stable")]
-    target, sides, n = window[:, 0], window[:, 1:], len(window)
-    group, every = target // CLASS, np.arange(n)
-    near = w["embed"][sides].reshape(n, -1)
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    summed_gradients(w, window, g)
+    for v in g.values():
+        v /= len(window)
+    return g
+
+
+def summed_gradients(w: Weights, window: np.ndarray, g: Weights) -> None:
+    """Those of the sum, into ``g``, which holds zeros."""
+    window = _rows(window, np.argsort((window[:, 0] // CLASS).astype(np.uint8), kind="stable"))
+    target, sides, n = window[:, 0].astype(np.int64), np.ascontiguousarray(window[:, 1:]), len(window)
+    group, first = target // CLASS, np.arange(0, n * CLASS, CLASS)
+    near = _rows(w["embed"], sides).reshape(n, -1)
     h = near @ w["inner"]
     h += w["inner0"]
     np.tanh(h, out=h)
-    out = _softmax(h @ w["group"] + w["group0"])
-    out[every, group] -= 1
-    g: Weights = {"group": h.T @ out, "group0": out.sum(axis=0), "word": np.zeros_like(w["word"]), "word0": np.zeros_like(w["word0"])}
+    out = h @ w["group"]
+    out += w["group0"]
+    out = _softmax(out)
+    out.reshape(-1)[np.arange(0, out.size, out.shape[1]) + group] -= 1
+    np.matmul(h.T, out, out=g["group"])
+    np.einsum("ij->j", out, out=g["group0"])  # row added to row, as by sum, in less time
     back = out @ w["group"].T
     # Each class has weights of its own; what needs none of them is done for all rows at once.
+    # dot is matmul with less to do before the product, which counts for few rows.
     runs, p, below = list(_runs(group)), np.empty((n, CLASS), h.dtype), np.empty_like(back)
     for c, part in runs:
-        np.matmul(h[part], w["word"][c], out=p[part])
-    p += w["word0"][group]
+        np.dot(h[part], w["word"][c], out=p[part])
+    p += _rows(w["word0"], group)
     p = _softmax(p)
-    p[every, target % CLASS] -= 1
+    p.reshape(-1)[first + target % CLASS] -= 1
     for c, part in runs:
-        np.matmul(h[part].T, p[part], out=g["word"][c])
-        p[part].sum(axis=0, out=g["word0"][c])
-        np.matmul(p[part], w["word"][c].T, out=below[part])
+        mine = p[part]
+        np.dot(h[part].T, mine, out=g["word"][c])
+        np.add.reduce(mine, 0, None, g["word0"][c])
+        np.dot(mine, w["word"][c].T, out=below[part])
     back += below
-    back *= 1 - h * h
-    g["inner"], g["inner0"], g["embed"] = near.T @ back, back.sum(axis=0), np.zeros_like(w["embed"])
+    np.multiply(h, h, out=h)
+    back *= np.subtract(1, h, out=h)
+    np.matmul(near.T, back, out=g["inner"])
+    np.einsum("ij->j", back, out=g["inner0"])
     shares = (back @ w["inner"].T).reshape(-1, DEPTH)
-    symbol = sides.ravel().astype(np.uint16)
+    symbol = sides.reshape(-1).astype(np.uint16, copy=False)
     order = np.argsort(symbol, kind="stable")
-    symbol = symbol[order]
-    first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+    symbol = symbol.take(order)
+    starts = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
     # Two numbers at a time: a sum of complex numbers is that of both parts.
-    g["embed"][symbol[first]] = np.add.reduceat(shares[order].view(np.result_type(shares, np.complex64)), first, axis=0).view(shares.dtype)
-    for v in g.values():
-        v /= n
-    return g
+    g["embed"][symbol.take(starts)] = np.add.reduceat(_rows(shares, order).view(np.result_type(shares, np.complex64)), starts, axis=0).view(shares.dtype)
 
 
 def _trainer(weights: Weights, rate: float):
     """(runs) to what one pass of Adagrad over them changes in the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = {k: v.copy() for k, v in weights.items()}
-        seen = {k: np.full_like(v, 1e-4) for k, v in w.items()}
-        held = np.zeros((0, 1 + len(SIDES)), np.int64)
+        # All weights in one row; what ``w`` and ``g`` hold are parts of it.
+        row = np.concatenate([v.reshape(-1) for v in weights.values()])
+        sums, seen = np.zeros_like(row), np.full_like(row, 1e-4)
+        cuts = np.cumsum([v.size for v in weights.values()])[:-1]
+        w, g = ({k: part.reshape(v.shape) for (k, v), part in zip(weights.items(), np.split(whole, cuts), strict=True)} for whole in (row, sums))
+        step = np.empty(STEP, row.dtype)
+        held = np.zeros((0, 1 + len(SIDES)), np.uint16)
         n = 0
 
         def learn(window: np.ndarray) -> None:
-            for k, g in gradients(w, window).items():
-                step = rate * g
-                seen[k] += np.square(g, out=g)
-                step /= np.sqrt(seen[k], out=g)
-                w[k] -= step
+            sums.fill(0)
+            summed_gradients(w, window, g)
+            for start in range(0, len(row), STEP):
+                part = slice(start, start + STEP)
+                mean = sums[part]
+                mean /= len(window)
+                by = np.multiply(mean, rate, out=step[: len(mean)])
+                past = seen[part]
+                past += np.square(mean, out=mean)
+                by /= np.sqrt(past, out=mean)
+                row[part] -= by
 
         for batch in batches:
             for runs in batch.column(0).to_pylist():
@@ -313,26 +330,31 @@ def log_probabilities(w: Weights, flat: np.ndarray, at: np.ndarray) -> np.ndarra
     """Of each token at ``at``, given its neighbours."""
     out = np.empty(len(at), np.float32)
     parts = _parts(w)  # once for all tokens
+    parts[0] += w["inner0"]
     # The hidden layer lies within 1, which bounds what comes after it.
     small = all((np.abs(w[k]).sum(axis=-2) + np.abs(w[k + "0"])).max() < 60 for k in ("group", "word"))
-    for start in range(0, len(at), 1 << 14):
-        middle = at[start : start + (1 << 14)]
-        order = np.argsort((flat[middle] // CLASS).astype(np.uint8), kind="stable")
-        middle = middle[order]
-        target = flat[middle]
-        group = target // CLASS
-        h = w["inner0"] + parts[0][flat[middle + SIDES[0]]]
+    # Tables in place of those of one chunk, which are made anew by no other.
+    h, near, z = (np.empty((min(len(at), AT_ONCE), width), parts[0].dtype) for width in (HIDDEN, HIDDEN, CLASS))
+    for start in range(0, len(at), AT_ONCE):
+        middle = at[start : start + AT_ONCE]
+        order = np.argsort((flat.take(middle) // CLASS).astype(np.uint8), kind="stable")
+        middle = middle.take(order)
+        target = flat.take(middle)
+        group, n = target // CLASS, len(middle)
+        h, near, z = h[:n], near[:n], z[:n]
+        parts[0].take(flat.take(middle + SIDES[0]), axis=0, out=h, mode="clip")
         for side, part in zip(SIDES[1:], parts[1:], strict=True):
-            h += part[flat[middle + side]]
+            h += part.take(flat.take(middle + side), axis=0, out=near, mode="clip")
         np.tanh(h, out=h)
-        z = h @ w["group"] + w["group0"]
-        every = np.arange(len(z))
-        score = z[every, group]
-        score -= _log_sum(z, small)
+        by_class = h @ w["group"]
+        by_class += w["group0"]
+        score = by_class.reshape(-1).take(np.arange(0, by_class.size, by_class.shape[1]) + group)
+        score -= _log_sum(by_class, small)
         for c, span in _runs(group):
-            z = h[span] @ w["word"][c] + w["word0"][c]
-            score[span] += z[np.arange(len(z)), target[span] % CLASS]
-            score[span] -= _log_sum(z, small)
+            np.dot(h[span], w["word"][c], out=z[span])
+        z += _rows(w["word0"], group)
+        score += z.reshape(-1).take(np.arange(0, z.size, CLASS) + target % CLASS)
+        score -= _log_sum(z, small)
         out[start + order] = score
     return out
 
